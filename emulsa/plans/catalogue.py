@@ -30,6 +30,8 @@ DAMAGE, KNOWN = "((x * 7 + y * 3) % 10 < 3)", "((x + y) % 9 <> 0)"
 HOLE = "((x % 16 between 3 and 6 and y % 16 between 2 and 7) or (x % 16 = 9 and y % 16 > 10))"
 TARGETS = {"tr": "0.9e0 * r + 0.05e0 * g", "tg": "0.8e0 * g + 0.1e0 * b * b", "tb": "b * r + 0.1e0"}
 
+NUDGE = 2.3e-10
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -48,7 +50,8 @@ PAIRS_SQL = f"pairs as (select *, {DAMAGE} as damage, {KNOWN} as known, {PROBABI
 
 
 def rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    return df.select(*keys, *[(F.round(c, 6) + 0.0).alias(c) for c in values])
+    """To six places; a nudge decides alike, in both engines, what lies half-way but for the last bits."""
+    return df.select(*keys, *[(F.round(F.col(c) + NUDGE, 6) + 0.0).alias(c) for c in values])
 
 
 def with_sql(body: str, *ctes: str) -> str:
@@ -56,7 +59,7 @@ def with_sql(body: str, *ctes: str) -> str:
 
 
 def r6(**cols: str) -> str:
-    return ", ".join(f"round({v}, 6) + 0e0 as {k}" for k, v in cols.items())
+    return ", ".join(f"round(({v}) + {NUDGE!r}::double, 6) + 0e0 as {k}" for k, v in cols.items())
 
 
 def query(name: str, sql: str | None = None):
@@ -94,10 +97,10 @@ def box_sql(source: str, out: str, cols: dict[str, str], r: int) -> str:
 def local_sql(source: str, out: str, cols: dict[str, str], r: int) -> str:
     """CTEs of means (m_*) and variances (v_*) over windows cut off at the border."""
     x = ", ".join(f"sum({e}) over {WX.format(frame(r))} as _s{o}, sum(({e}) * ({e})) over {WX.format(frame(r))} as _q{o}" for o, e in cols.items())
-    y = ", ".join(f"sum(_s{o}) over {WY.format(frame(r))} / _n as m_{o}, sum(_q{o}) over {WY.format(frame(r))} / _n as _e{o}" for o in cols)
+    y = ", ".join(f"sum(_s{o}) over {WY.format(frame(r))} / _n{r} as m_{o}, sum(_q{o}) over {WY.format(frame(r))} / _n{r} as _e{o}" for o in cols)
     n = f"((least(x + {r}, width - 1) - greatest(x - {r}, 0) + 1) * (least(y + {r}, height - 1) - greatest(y - {r}, 0) + 1))"
     v = ", ".join(f"greatest(0e0, _e{o} - m_{o} * m_{o}) as v_{o}" for o in cols)
-    return f"{out}_x as (select *, {n} as _n, {x} from {source}),\n{out}_y as (select *, {y} from {out}_x),\n{out} as (select *, {v} from {out}_y)"
+    return f"{out}_x as (select *, {n} as _n{r}, {x} from {source}),\n{out}_y as (select *, {y} from {out}_x),\n{out} as (select *, {v} from {out}_y)"
 
 
 def near(e: str, axis: str, step: int) -> str:
@@ -460,7 +463,7 @@ _T = list(ln.TERMS)
 _PAIRS = [(a, b) for i, a in enumerate(_T) for b in _T[i:]] + [(a, t) for a in _T for t in TARGETS]
 
 
-@query("normal_equations", with_sql("select image_id, split_part(k, ':', 1) as i, split_part(k, ':', 2) as j, round(v, 6) + 0e0 as value from (unpivot (select image_id, " + ", ".join(f"""sum(({ln.TERMS[a]}) * ({ln.TERMS.get(b, b)})) as "{a}:{b}\"""" for a, b in _PAIRS) + " from pairs where known group by image_id) on columns(* exclude (image_id)) into name k value v)", PAIRS_SQL))
+@query("normal_equations", with_sql(f"select image_id, split_part(k, ':', 1) as i, split_part(k, ':', 2) as j, round(v + {NUDGE!r}::double, 6) + 0e0 as value from (unpivot (select image_id, " + ", ".join(f"""sum(({ln.TERMS[a]}) * ({ln.TERMS.get(b, b)})) as "{a}:{b}\"""" for a, b in _PAIRS) + " from pairs where known group by image_id) on columns(* exclude (image_id)) into name k value v)", PAIRS_SQL))
 def normal_equations(spark, sf):
     return rounded(ln.normal_equations(pairs(spark, sf).where("known"), ["image_id"]), ["image_id", "i", "j"], ["value"])
 
