@@ -185,6 +185,8 @@ def repeats(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of_right[right] = np.cumsum(right_common < SIDE - o)
         of_left[left] = np.cumsum(left_common < o)
         on = np.flatnonzero((e["low"] <= o) & (o <= e["high"]))
+        if not len(on):
+            continue
         key = of_right[on] * (len(e) + 1) + of_left[on]
         by = np.lexsort((rank[on], key))
         on, key = on[by], key[by]
@@ -193,7 +195,8 @@ def repeats(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         later = (e["uid"][on] != e["uid"][first]) | (e["pos"][on] != e["pos"][first])
         which.append(on[later])
         starts.append(e["pos"][on[later]] - o)
-    return np.concatenate(which), np.concatenate(starts)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *which]), np.concatenate([none, *starts])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
