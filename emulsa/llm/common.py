@@ -85,6 +85,12 @@ def hash_strings(strings: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in strings.cast(pa.binary()).to_pylist()), np.uint64, len(strings))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The ascending distinct values; sorting is many times faster here than a table of hashes."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

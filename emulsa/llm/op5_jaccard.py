@@ -9,12 +9,14 @@ ceil(t n).  Second, within a region distances are telling, and there pivots are
 
 1. Regions: word shingles are counted in a table of ``CELLS`` cells (fixed size, broadcast as classes of
    counts) which orders shingles by rarity; any order gives the same result.  Equal sets are one node.
+   Only hashes, nodes and size classes are sent.
 2. In every region each node is compared with the region's pivot (its least node).  Nodes that link to a
    pivot merge into clusters; what lies within a cluster needs no further comparison.
 3. Then only pairs of different clusters in a region remain.  The metric of symmetric difference, split
    by hash over ``PARTS`` parts of the shingle universe, has the empty set as a pivot in each part: by the
    triangle inequality the sum of |distance differences| is at most the distance.  Pairs outside that
-   window are dropped without looking at sets, and the rest are compared exactly.
+   window are dropped without looking at sets, and the rest are compared exactly.  The same window comes
+   before the comparisons of step 2.  Sets are built anew from the texts, for the nodes that pass it.
 
 Null or empty text, or one without words: no shingles, linked with nothing.  Fewer than five words: one
 shingle, the whole sequence.  Repeated rows are equal sets.  Null ids never lead a component unless it
@@ -31,15 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import cut, hash_strings, mix, n_buckets, packed, slices, split_words, unpacked
+from emulsa.llm.common import cut, distinct, hash_strings, mix, n_buckets, packed, slices, split_words, unpacked
 from emulsa.llm.components import components
 from emulsa.llm.op3_lm import lower_ascii
 
 WORDS, SHARE = 5, 75
 CELLS, SLICE_CELLS, PARTS = 1 << 22, 1 << 16, 96
 KEPT_BITS = np.uint64(48)
-ENTRY = np.dtype([("hash", "<u8"), ("node", "<i8"), ("n", "<i4")])
-SLICE = 12 << 20
+ENTRY = np.dtype([("hash", "<u8"), ("node", "<i8"), ("size", "<i2")])
+SENT = "bucket int, low binary, high binary, nodes binary, sizes binary"
+SLICE, SIEVE_BITS = 12 << 20, 1 << 25
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         full = mix(full[inside])
     short = np.flatnonzero((n > 0) & (n < WORDS))
     whole = np.array([xxhash.xxh3_64_intdigest(h[offsets[i] : offsets[i + 1]].tobytes(), int(n[i])) for i in short], np.uint64)
-    key = np.unique(np.r_[doc, short.astype(np.uint64)] << KEPT_BITS | np.r_[full, whole] >> np.uint64(16))
+    key = distinct(np.r_[doc, short.astype(np.uint64)] << KEPT_BITS | np.r_[full, whole] >> np.uint64(16))
     return key & np.uint64((1 << 48) - 1), np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << KEPT_BITS)
 
 
@@ -73,36 +76,63 @@ def cell(h: np.ndarray) -> np.ndarray:
     return (mix(h) % np.uint64(CELLS)).astype(np.int64)
 
 
+def tally(positions: DataFrame, cells: int) -> np.ndarray:
+    """How often each cell occurs, for a table of packed (bucket, cells, counts): 4 log2 of the counts, in ``cells`` bytes."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.bincount(unpacked(table["cells"], "<u2"), weights=unpacked(table["counts"], "<u2"), minlength=SLICE_CELLS)
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "classes": [np.ceil(4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
+
+    out = np.zeros(cells, np.uint8)
+    for r in positions.groupBy("bucket").applyInArrow(add, "bucket int, classes binary").collect():  # ``cells`` bytes in all
+        out[r.bucket * SLICE_CELLS : (r.bucket + 1) * SLICE_CELLS] = np.frombuffer(bytes(r.classes), np.uint8)
+    return out
+
+
+def used_cells(seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    used = np.flatnonzero(seen)
+    yield from packed((used // SLICE_CELLS).astype(np.int32), {"cells": (used % SLICE_CELLS).astype("<u2"), "counts": np.minimum(seen[used], 65535).astype("<u2")})
+
+
 def rarity(rows: DataFrame) -> np.ndarray:
-    """The class of each cell's count, over all rows: CELLS bytes."""
+    """The class (0 to 31) of each cell's count over all rows, against the mean count of a cell."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.uint32)
         for batch in slices(batches, most=SLICE):
             seen += np.bincount(cell(shingle_sets(batch.column(0))[0]), minlength=CELLS).astype(np.uint32)
-        used = np.flatnonzero(seen)
-        yield from packed((used // SLICE_CELLS).astype(np.int32), {"cells": (used % SLICE_CELLS).astype("<u2"), "counts": np.minimum(seen[used], 65535).astype("<u2")})
+        yield from used_cells(seen)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.bincount(unpacked(table["cells"], "<u2"), weights=unpacked(table["counts"], "<u2"), minlength=SLICE_CELLS)
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "classes": [np.minimum(2 * np.log2(total + 1), 31).astype(np.uint8).tobytes()]})
+    fours = tally(rows.select("text").mapInArrow(count, "bucket int, cells binary, counts binary"), CELLS).astype(int)
+    mean = 4 * np.log2(np.mean(2 ** (fours / 4)))
+    return np.clip(8 + (fours - mean) // 2, 0, 31).astype(np.uint8)
 
-    out = np.zeros(CELLS, np.uint8)
-    counted = rows.select("text").mapInArrow(count, "bucket int, cells binary, counts binary").groupBy("bucket").applyInArrow(add, "bucket int, classes binary")
-    for r in counted.collect():  # CELLS bytes in all
-        out[r.bucket * SLICE_CELLS : (r.bucket + 1) * SLICE_CELLS] = np.frombuffer(bytes(r.classes), np.uint8)
-    return out
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A bit for each wanted key (column ``key``); what has no bit is not wanted."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SIEVE_BITS, np.uint32)
+        for batch in batches:
+            seen[sieve_bit(batch.column(0).to_numpy())] = 1
+        yield from used_cells(seen)
+
+    return np.packbits(tally(keys.select("key").mapInArrow(mark, "bucket int, cells binary, counts binary"), SIEVE_BITS) > 0)
+
+
+def sieve_bit(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(SIEVE_BITS)).astype(np.int64)
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, index of their set): each set's rarest n - ceil(t n) + 1 shingles."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    key = np.sort(doc << np.uint64(50) | classes[cell(h)].astype(np.uint64) << np.uint64(45) | h >> np.uint64(3))
+    key = np.sort(doc << np.uint64(48) | classes[cell(h)].astype(np.uint64) << np.uint64(43) | h >> np.uint64(5))
     doc = doc.astype(np.int64)
     rank = np.arange(len(key)) - at[doc]
     keep = rank <= n[doc] - -(-SHARE * n[doc] // 100)
-    return key[keep] & np.uint64((1 << 50) - 1), doc[keep]
+    return key[keep] & np.uint64((1 << 48) - 1), doc[keep]
 
 
 def parts_of(h: np.ndarray) -> bytes:
@@ -119,19 +149,17 @@ def from_five(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sized(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n, m).astype(np.int64) >= SHARE * np.maximum(n, m).astype(np.int64)
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes in logarithmic steps, 32 of them to the ratio that a link allows."""
+    return np.floor(32 * np.log(np.maximum(n, 1)) / -np.log(SHARE / 100)).astype(np.int16)
 
 
-def runs(e: np.ndarray) -> Iterator[np.ndarray]:
-    """The entries (sorted by hash) of each region of two or more."""
-    edge = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1], True])
-    for s, t in zip(edge[:-1], edge[1:], strict=True):
-        if t - s > 1:
-            yield e[s:t]
+def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these size classes can link at all."""
+    return np.abs(a.astype(np.int32) - b) <= 33
 
 
-def pair_batch(pairs: set | np.ndarray) -> pa.RecordBatch:
+def pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
 
@@ -142,7 +170,7 @@ def star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = np.frombuffer(raw, ENTRY)
             first = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1]])
             pivot = e[first[np.cumsum(np.r_[True, e["hash"][1:] != e["hash"][:-1]]) - 1]]
-            ok = (pivot["node"] != e["node"]) & sized(pivot["n"], e["n"])
+            ok = (pivot["node"] != e["node"]) & sized(pivot["size"], e["size"])
             if ok.any():
                 yield pair_batch(np.unique(np.stack([pivot["node"][ok], e["node"][ok]], 1), axis=0))
 
@@ -160,19 +188,20 @@ def shared_regions(rows: DataFrame) -> DataFrame:
             once[np.unique(node, return_index=True)[1]] = True
             key, doc = prefixes(h, at, classes.value)
             key, doc = key[once[doc]], doc[once[doc]]
-            out = np.empty(len(key), ENTRY)
-            out["hash"], out["node"], out["n"] = key, node[doc], np.diff(at)[doc]
-            yield from packed((mix(key) % np.uint64(n)).astype(np.int32), {"entries": out})
+            yield from packed((mix(key) % np.uint64(n)).astype(np.int32), {"low": key.astype("<u4"), "high": (key >> np.uint64(32)).astype("<u2"), "nodes": node[doc], "sizes": size_class(np.diff(at))[doc]})
 
     def keep(table: pa.Table) -> pa.Table:
-        e = unpacked(table["entries"], ENTRY)
+        node = unpacked(table["nodes"], "<i8")
+        e = np.empty(len(node), ENTRY)
+        e["hash"] = unpacked(table["high"], "<u2").astype(np.uint64) << np.uint64(32) | unpacked(table["low"], "<u4")
+        e["node"], e["size"] = node, unpacked(table["sizes"], "<i2")
         e = e[np.lexsort((e["node"], e["hash"]))]
         e = e[np.r_[True, (e["hash"][1:] != e["hash"][:-1]) | (e["node"][1:] != e["node"][:-1])]]
         same = e["hash"][1:] == e["hash"][:-1]
         e = e[np.r_[False, same] | np.r_[same, False]]
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "entries": [e.tobytes()]}) if len(e) else pa.table({"bucket": pa.array([], pa.int32()), "entries": pa.array([], pa.binary())})
 
-    return rows.select("text").mapInArrow(send, "bucket int, entries binary").groupBy("bucket").applyInArrow(keep, "bucket int, entries binary")
+    return rows.select("text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(keep, "bucket int, entries binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,7 +221,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def links(rows: DataFrame) -> DataFrame:
+def sets_of(rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its hashes, for the nodes of the pairs; texts are read again, and only these sets are shuffled."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
+    wanted = cut(wanted)
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            bit = sieve_bit(whole.column(0).to_numpy())
+            few = whole.filter(pa.array((bits.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
+            for batch in slices(iter([few]), most=SLICE):
+                h, at = shingle_sets(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([five_bytes(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "hashes"])
+
+    built = rows.select("key", "text").mapInArrow(build, "key long, hashes binary")
+    return cut(wanted.join(built, "key").select("node", "hashes").dropDuplicates(["node"]))
+
+
+def within_window(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that the triangle inequality, with the empty set as pivot of each part, doesn't rule out."""
+
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64) for c in (3, 5))
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+            ok = pa.array((100 + SHARE) * np.abs(x - y).sum(1) <= (100 - SHARE) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    small = nodes.select("node", "n_shingles", "parts")
+    both = pairs.join(small.toDF("a", "n_a", "p_a"), "a").join(small.toDF("b", "n_b", "p_b"), "b")
+    return cut(both.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(window, "a long, b long"))
+
+
+def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links; rows has key and text."""
     shared = cut(shared_regions(rows))
 
@@ -200,34 +262,18 @@ def links(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 e = np.frombuffer(raw, ENTRY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), bucket, np.int32)), pa.array(e["hash"].astype(np.int64)), pa.array(e["node"]), pa.array(e["n"])], names=["bucket", "hash", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), bucket, np.int32)), pa.array(e["hash"].astype(np.int64)), pa.array(e["node"]), pa.array(e["size"])], names=["bucket", "hash", "node", "size"])
 
-    def only_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(raw, ENTRY)["node"]))], names=["node"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
-            h, at = shingle_sets(batch.column(1))
-            each = [h[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int32()), pa.array([parts_of(x) for x in each], pa.binary()), pa.array([five_bytes(x) for x in each], pa.binary())], names=["node", "n", "parts", "hashes"])
-
-    # one text for each node that shares a region; its key comes from the table of nodes
-    wanted = shared.select("entries").mapInArrow(only_nodes, "node long").distinct().join(node_table(rows).groupBy("node").agg(F.min("key").alias("key")), "node")
-    sets = rows.join(wanted, "key").select("node", "text").mapInArrow(build, "node long, n int, parts binary, hashes binary").dropDuplicates(["node"])
-    sets = cut(sets)
-    star = verified(shared.select("entries").mapInArrow(star_pairs, "a long, b long").distinct(), sets)
-    star = cut(star)
+    star = within_window(shared.select("entries").mapInArrow(star_pairs, "a long, b long").distinct(), nodes)
+    star = cut(verified(star, sets_of(rows, star, nodes)))
     cluster = cut(components(star, rounds=2))
-    labelled = shared.mapInArrow(unpack, "bucket int, hash long, node long, n int").join(cluster, "node", "left")
-    labelled = labelled.select("bucket", "hash", "node", "n", F.coalesce("label", "node").alias("label"))
+    labelled = shared.mapInArrow(unpack, "bucket int, hash long, node long, size short").join(cluster, "node", "left")
+    labelled = labelled.select("bucket", "hash", "node", "size", F.coalesce("label", "node").alias("label"))
 
     def across(table: pa.Table) -> pa.Table:
-        names = ("hash", "node", "n", "label")
-        h, node, n, label = (table[c].to_numpy() for c in names)
+        h, node, size, label = (table[c].to_numpy() for c in ("hash", "node", "size", "label"))
         by = np.lexsort((node, h))
-        h, node, n, label = h[by], node[by], n[by], label[by]
+        h, node, size, label = h[by], node[by], size[by], label[by]
         found, waiting = [], 0
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
         for s, t in zip(edge[:-1], edge[1:], strict=True):
@@ -235,7 +281,7 @@ def links(rows: DataFrame) -> DataFrame:
                 continue
             for i in range(s, t - 1):
                 j = np.arange(i + 1, t)
-                j = j[(label[j] != label[i]) & sized(n[j], np.full(len(j), n[i]))]
+                j = j[(label[j] != label[i]) & sized(size[j], size[i])]
                 if len(j):
                     found.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
                     waiting += len(j)
@@ -245,36 +291,28 @@ def links(rows: DataFrame) -> DataFrame:
         out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.Table.from_batches([pair_batch(out)])
 
-    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64) for c in (3, 5))
-            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
-            ok = pa.array((100 + SHARE) * np.abs(x - y).sum(1) <= (100 - SHARE) * n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
-
-    rest = labelled.groupBy("bucket").applyInArrow(across, "a long, b long").distinct()
-    small = sets.select("node", "n", "parts")
-    rest = rest.join(small.toDF("a", "n_a", "p_a"), "a").join(small.toDF("b", "n_b", "p_b"), "b").select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(window, "a long, b long")
-    return star.union(verified(rest, sets))
+    rest = within_window(labelled.groupBy("bucket").applyInArrow(across, "a long, b long").distinct(), nodes)
+    return star.union(verified(rest, sets_of(rows, rest, nodes)))
 
 
 def node_table(rows: DataFrame) -> DataFrame:
-    """key, node and n_shingles of every row; rows has key and text."""
+    """doc_id, key, node, n_shingles and parts of every row; rows has key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             h, at = shingle_sets(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(np.diff(at), pa.int64())], names=["doc_id", "key", "node", "n_shingles"])
+            parts = [parts_of(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(np.diff(at), pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "key", "node", "n_shingles", "parts"])
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, n_shingles long")
+    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, n_shingles long, parts binary")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    comp = components(links(rows))
-    named = node_table(rows)
-    full = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(comp, "node", "left")
+    named = cut(node_table(rows))
+    nodes = cut(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts")))
+    full = nodes.select("node", "first").join(components(links(rows, nodes)), "node", "left")
     label = F.coalesce("label", "node")
     least = full.groupBy(label.alias("label")).agg(F.min("first").alias("component_id"))
     full = cut(full.select("node", label.alias("label")).join(least, "label").select("node", "component_id"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.llm.common import crc_mod, slices, split_words
+from emulsa.llm.common import distinct as distinct_of
 
 SAMPLE, SHAPES, THRESHOLD = 8_000, 192, 0.3
 STEPS, RATE, DECAY, LEAST = 300, 0.05, 1e-4, 0.002
@@ -61,7 +62,7 @@ def features(col: pa.Array) -> np.ndarray:
     if len(codes):
         same[1:] = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])
     again = np.bincount(doc, weights=same, minlength=len(n))
-    distinct = np.bincount(np.unique(doc * (len(words) + 1) + codes) // (len(words) + 1), minlength=len(n)) if len(codes) else np.zeros(len(n))
+    distinct = np.bincount(distinct_of(doc * (len(words) + 1) + codes) // (len(words) + 1), minlength=len(n)) if len(codes) else np.zeros(len(n))
     lines = pc.count_substring(pc.fill_null(col.cast(pa.string()), ""), "\n").to_numpy(zero_copy_only=False) + 1
     length = np.bincount(doc, weights=size[codes], minlength=len(n)) / per
     cols = [np.ones(len(n)), n == 0, again / per, np.log1p(again) / 4, distinct / per, np.log1p(n) / 8, length / 10, np.abs(length - 5) / 10, lines / per, np.log1p(lines) / 4, n < 20, distinct / per * np.log1p(n) / 8]
