@@ -10,9 +10,9 @@ ceil(t n).  Second, within a region distances are telling, and there pivots are
 1. Regions: word shingles are counted in a table of ``CELLS`` cells (fixed size, broadcast as classes of
    counts) which orders shingles by rarity; any order gives the same result.  Equal sets are one node.
    Only hashes, nodes and size classes are sent.
-2. In every region each node is compared with the region's pivot (its least node).  Nodes that link to a
+2. In every region each node is compared with the region's pivot (its node of least hash).  Nodes that link to a
    pivot merge into clusters; what lies within a cluster needs no further comparison.
-3. Then only pairs of different clusters in a region remain.  The metric of symmetric difference, split
+3. Then only pairs of different clusters in a region, neither of them its pivot, remain.  The metric of symmetric difference, split
    by hash over ``PARTS`` parts of the shingle universe, has the empty set as a pivot in each part: by the
    triangle inequality the sum of |distance differences| is at most the distance.  Pairs outside that
    window are dropped without looking at sets, and the rest are compared exactly.  The same window comes
@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from emulsa.llm.common import cut, distinct, hash_strings, mix, n_buckets, packed, slices, split_words, unpacked
 from emulsa.llm.components import components
 from emulsa.llm.op3_lm import lower_ascii
+from emulsa.llm.sieve import passes, sieve, tally, used_cells
 
 WORDS, SHARE = 5, 75
-CELLS, SLICE_CELLS, PARTS = 1 << 22, 1 << 16, 96
+CELLS, PARTS = 1 << 22, 96
 KEPT_BITS = np.uint64(48)
 ENTRY = np.dtype([("hash", "<u8"), ("node", "<i8"), ("size", "<i2")])
 SENT = "bucket int, low binary, high binary, nodes binary, sizes binary"
-SLICE, SIEVE_BITS = 12 << 20, 1 << 25
+SLICE, HASHES = 12 << 20, 16
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,24 +77,6 @@ def cell(h: np.ndarray) -> np.ndarray:
     return (mix(h) % np.uint64(CELLS)).astype(np.int64)
 
 
-def tally(positions: DataFrame, cells: int) -> np.ndarray:
-    """How often each cell occurs, for a table of packed (bucket, cells, counts): 4 log2 of the counts, in ``cells`` bytes."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.bincount(unpacked(table["cells"], "<u2"), weights=unpacked(table["counts"], "<u2"), minlength=SLICE_CELLS)
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "classes": [np.ceil(4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
-
-    out = np.zeros(cells, np.uint8)
-    for r in positions.groupBy("bucket").applyInArrow(add, "bucket int, classes binary").collect():  # ``cells`` bytes in all
-        out[r.bucket * SLICE_CELLS : (r.bucket + 1) * SLICE_CELLS] = np.frombuffer(bytes(r.classes), np.uint8)
-    return out
-
-
-def used_cells(seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    used = np.flatnonzero(seen)
-    yield from packed((used // SLICE_CELLS).astype(np.int32), {"cells": (used % SLICE_CELLS).astype("<u2"), "counts": np.minimum(seen[used], 65535).astype("<u2")})
-
-
 def rarity(rows: DataFrame) -> np.ndarray:
     """The class (0 to 31) of each cell's count over all rows, against the mean count of a cell."""
 
@@ -108,22 +91,6 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return np.clip(8 + (fours - mean) // 2, 0, 31).astype(np.uint8)
 
 
-def sieve(keys: DataFrame) -> np.ndarray:
-    """A bit for each wanted key (column ``key``); what has no bit is not wanted."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SIEVE_BITS, np.uint32)
-        for batch in batches:
-            seen[sieve_bit(batch.column(0).to_numpy())] = 1
-        yield from used_cells(seen)
-
-    return np.packbits(tally(keys.select("key").mapInArrow(mark, "bucket int, cells binary, counts binary"), SIEVE_BITS) > 0)
-
-
-def sieve_bit(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) % np.uint64(SIEVE_BITS)).astype(np.int64)
-
-
 def prefixes(h: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, index of their set): each set's rarest n - ceil(t n) + 1 shingles."""
     n = np.diff(at)
@@ -163,16 +130,64 @@ def pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
 
+def regions_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(region, whether it is its pivot) of each entry, sorted by hash.
+
+    Of a region's nodes, that of least hash is the pivot; regions use ``HASHES`` different hashes, so members
+    of a large group, which share many regions, meet several pivots.
+    """
+    new = np.r_[True, e["hash"][1:] != e["hash"][:-1]]
+    region = np.cumsum(new) - 1
+    score = mix(e["node"].view(np.uint64) ^ mix(e["hash"] % np.uint64(HASHES)))
+    return region, score == np.minimum.reduceat(score, np.flatnonzero(new))[region]
+
+
 def star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(least node of the region, another): one comparison for each place in a region."""
+    """(pivot of the region, another), by node: one comparison for each place in a region."""
     for batch in batches:
         for raw in batch.column(0).to_pylist():
             e = np.frombuffer(raw, ENTRY)
-            first = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1]])
-            pivot = e[first[np.cumsum(np.r_[True, e["hash"][1:] != e["hash"][:-1]]) - 1]]
-            ok = (pivot["node"] != e["node"]) & sized(pivot["size"], e["size"])
+            region, leads = regions_of(e)
+            pivot = e[np.flatnonzero(leads)[region]]
+            ok = ~leads & sized(pivot["size"], e["size"])
             if ok.any():
-                yield pair_batch(np.unique(np.stack([pivot["node"][ok], e["node"][ok]], 1), axis=0))
+                both = np.sort(np.stack([pivot["node"][ok], e["node"][ok]], 1), axis=1)
+                yield pair_batch(np.unique(both, axis=0))
+
+
+def beyond_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other entries of regions that have at least two beside the pivot, as rows."""
+    for batch in batches:
+        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            e = np.frombuffer(raw, ENTRY)
+            region, leads = regions_of(e)
+            e = e[~leads & (np.bincount(region)[region] > 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), bucket, np.int32)), pa.array(e["hash"].astype(np.int64)), pa.array(e["node"])], names=["bucket", "hash", "node"])
+
+
+def across(table: pa.Table) -> pa.Table:
+    """Pairs of a bucket's regions whose clusters differ and that pass the window."""
+    h, node, n, label = (table[c].to_numpy() for c in ("hash", "node", "n_shingles", "label"))
+    parts = np.frombuffer(b"".join(table["parts"].to_pylist()), np.uint8).reshape(-1, PARTS)
+    by = np.lexsort((node, n, h))
+    h, node, n, label, parts = h[by], node[by], n[by], label[by], parts[by].astype(np.int16)
+    found, waiting = [], 0
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+    for s, t in zip(edge[:-1], edge[1:], strict=True):
+        if (label[s:t] == label[s]).all():
+            continue
+        ends = s + np.searchsorted(SHARE * n[s:t], 100 * n[s:t], "right")
+        for i, end in zip(range(s, t), ends, strict=True):
+            j = np.arange(i + 1, end)
+            j = j[label[j] != label[i]]
+            j = j[(100 + SHARE) * np.abs(parts[j] - parts[i]).sum(1, dtype=np.int64) <= (100 - SHARE) * (n[j] + n[i])] if len(j) else j
+            if len(j):
+                found.append(np.sort(np.stack([np.full(len(j), node[i]), node[j]], 1), axis=1))
+                waiting += len(j)
+        if waiting > 1 << 21:  # a pair recurs in many regions
+            found = [np.unique(np.concatenate(found), axis=0)]
+            waiting = len(found[0])
+    return pa.Table.from_batches([pair_batch(np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64))])
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
@@ -225,12 +240,11 @@ def sets_of(rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and its hashes, for the nodes of the pairs; texts are read again, and only these sets are shuffled."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
     wanted = cut(wanted)
-    bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted))
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted.select("key")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            bit = sieve_bit(whole.column(0).to_numpy())
-            few = whole.filter(pa.array((bits.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
+            few = whole.filter(pa.array(passes(bits.value, whole.column(0).to_numpy())))
             for batch in slices(iter([few]), most=SLICE):
                 h, at = shingle_sets(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([five_bytes(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "hashes"])
@@ -258,40 +272,12 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links; rows has key and text."""
     shared = cut(shared_regions(rows))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                e = np.frombuffer(raw, ENTRY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), bucket, np.int32)), pa.array(e["hash"].astype(np.int64)), pa.array(e["node"]), pa.array(e["size"])], names=["bucket", "hash", "node", "size"])
-
     star = within_window(shared.select("entries").mapInArrow(star_pairs, "a long, b long").distinct(), nodes)
     star = cut(verified(star, sets_of(rows, star, nodes)))
-    cluster = cut(components(star, rounds=2))
-    labelled = shared.mapInArrow(unpack, "bucket int, hash long, node long, size short").join(cluster, "node", "left")
-    labelled = labelled.select("bucket", "hash", "node", "size", F.coalesce("label", "node").alias("label"))
-
-    def across(table: pa.Table) -> pa.Table:
-        h, node, size, label = (table[c].to_numpy() for c in ("hash", "node", "size", "label"))
-        by = np.lexsort((node, h))
-        h, node, size, label = h[by], node[by], size[by], label[by]
-        found, waiting = [], 0
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-        for s, t in zip(edge[:-1], edge[1:], strict=True):
-            if t - s < 2 or (label[s:t] == label[s]).all():
-                continue
-            for i in range(s, t - 1):
-                j = np.arange(i + 1, t)
-                j = j[(label[j] != label[i]) & sized(size[j], size[i])]
-                if len(j):
-                    found.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
-                    waiting += len(j)
-            if waiting > 1 << 21:  # a pair recurs in many regions
-                found = [np.unique(np.concatenate(found), axis=0)]
-                waiting = len(found[0])
-        out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.Table.from_batches([pair_batch(out)])
-
-    rest = within_window(labelled.groupBy("bucket").applyInArrow(across, "a long, b long").distinct(), nodes)
+    cluster = cut(components(star))
+    known = nodes.select("node", "n_shingles", "parts").join(cluster, "node", "left").select("node", "n_shingles", "parts", F.coalesce("label", "node").alias("label"))
+    others = shared.mapInArrow(beyond_pivots, "bucket int, hash long, node long").join(known, "node")
+    rest = cut(others.groupBy("bucket").applyInArrow(across, "a long, b long").distinct())
     return star.union(verified(rest, sets_of(rows, rest, nodes)))
 
 
