@@ -12,7 +12,8 @@ contexts around equal anchors finds every repeat, while about one position in 35
    eight-byte words to a depth of ``SHALLOW`` bytes, then a blind trie for each group with a longer
    common prefix.  The common prefixes of neighbours tell, for each place of the gram in a string, which
    strings are equal, byte by byte; all but the earliest are marked.
-3. The spans go back to their documents, whose text is read again.
+3. The spans go back to their documents, whose text is read again.  Texts that have no span, or no open
+   anchor in step 2, are sifted out where they are read and not shuffled.
 
 Order: by id (null first), then by the text's hash where ids repeat or are null (such input is numbered
 in one sort of ids and hashes).  Rows that agree in everything count as one after another.  Null text:
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulsa.llm.common import cut, filled, mix, n_buckets, packed, slices, unpacked
+from emulsa.llm.sieve import passes, sieve
 
 LENGTH, GRAM, SHALLOW = 100, 32, 16
 SIDE = LENGTH - GRAM
@@ -299,10 +301,30 @@ def spans(rows: DataFrame) -> DataFrame:
         uid, each = by_uid(table, SPAN)
         return pa.table({"uid": pa.array(uid, pa.int64()), "marked": pa.array([x.tobytes() for x in each], pa.binary())})
 
-    asked = rows.select("uid", "text").join(first.where("open is not null").select("uid", "open"), "uid").select("text", "open")
+    opened = first.where("open is not null").select("uid", "open")
+    asked = sifted(rows.select("uid", "text"), opened).join(opened, "uid").select("text", "open")
     second = asked.mapInArrow(contexts, "bucket int, rows binary").groupBy("bucket").applyInArrow(compare, "bucket int, rows binary")
     second = second.groupBy("bucket").applyInArrow(gather_spans, "uid long, marked binary")
-    return first.where("settled is not null").select("uid", "settled").join(second, "uid", "full_outer")
+    return cut(first.where("settled is not null").select("uid", "settled").join(second, "uid", "full_outer"))
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows whose uid may be wanted (or, without ``keep``, certainly is not), found where they are read."""
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted.select("uid")))
+    at = rows.columns.index("uid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits.value, batch.column(at).to_numpy()) == keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def with_spans(rows: DataFrame) -> DataFrame:
+    """rows with ``settled`` and ``marked``; texts that lose nothing are not shuffled."""
+    found = spans(rows)
+    none = F.lit(None).cast("binary")
+    return sifted(rows, found).join(found, "uid", "left").unionByName(sifted(rows, found, False).withColumns({"settled": none, "marked": none}))
 
 
 def removed(size: int, settled: bytes | None, marked: bytes | None) -> np.ndarray:
@@ -340,7 +362,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    marked = rows.join(spans(rows), "uid", "left").select("doc_id", "text", "settled", "marked")
+    marked = with_spans(rows).select("doc_id", "text", "settled", "marked")
     return marked.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -378,7 +400,7 @@ def deduplicate_texts(docs: DataFrame) -> DataFrame:
                 cols, names = [*cols, batch.column(4)], [*names, "rest"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    marked = base.join(spans(rows), "uid", "left").select("doc_id", "text", "settled", "marked", *(["rest"] if rest else []))
+    marked = with_spans(base).select("doc_id", "text", "settled", "marked", *(["rest"] if rest else []))
     schema = marked.select("doc_id", "text", *(["rest"] if rest else [])).schema
     out = marked.mapInArrow(finish, schema)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}
