@@ -28,7 +28,7 @@ def tally(positions: DataFrame, cells: int) -> np.ndarray:
 
 def used_cells(seen: np.ndarray) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(seen)
-    yield from packed((used // SLICE_CELLS).astype(np.int32), {"cells": (used % SLICE_CELLS).astype("<u2"), "counts": np.minimum(seen[used], 65535).astype("<u2")})
+    yield from packed((used // SLICE_CELLS).astype(np.int32), {"cells": (used % SLICE_CELLS).astype("<u2"), "counts": np.minimum(seen[used].astype(np.uint32), 65535).astype("<u2")})
 
 
 def sieve(keys: DataFrame) -> np.ndarray:
