@@ -49,7 +49,7 @@ def test_filter_holds_quantised_counts():
     h = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
     c = np.maximum(1, rng.zipf(1.5, 20_000) % 100_000).astype(np.int64)
     bits, least = op3_lm.build_filter(h, c, np.zeros(len(h), bool), 1 << 24)
-    f = op3_lm.Filters({0: bits}, 1)
+    f = op3_lm.Filters(*op3_lm.side_by_side({0: bits}, 1))
     got = f.counts(h)
     assert (got >= c / op3_lm.BASE).all()  # never fewer than the level says
     assert np.mean(got <= c * op3_lm.BASE) > 0.9
