@@ -12,7 +12,8 @@ ceil(t n).  Second, within a region distances are telling, and there pivots are
    Only hashes, nodes and size classes are sent.
 2. In every region each node is compared with the region's pivot (its node of least hash).  Nodes that link to a
    pivot merge into clusters; what lies within a cluster needs no further comparison.
-3. Then only pairs of different clusters in a region, neither of them its pivot, remain.  The metric of symmetric difference, split
+3. Then only pairs of different clusters in a region, neither of them its pivot, remain: first, for each
+   node, the nearest one, so that it joins its cluster; then all that are still apart.  The metric of symmetric difference, split
    by hash over ``PARTS`` parts of the shingle universe, has the empty set as a pivot in each part: by the
    triangle inequality the sum of |distance differences| is at most the distance.  Pairs outside that
    window are dropped without looking at sets, and the rest are compared exactly.  The same window comes
@@ -165,8 +166,11 @@ def beyond_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), bucket, np.int32)), pa.array(e["hash"].astype(np.int64)), pa.array(e["node"])], names=["bucket", "hash", "node"])
 
 
-def across(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's regions whose clusters differ and that pass the window."""
+def across(table: pa.Table, nearest: bool) -> pa.Table:
+    """Pairs of a bucket's regions whose clusters differ and that pass the window.
+
+    With ``nearest``, of each node's pairs in a region only the one of least bound.
+    """
     h, node, n, label = (table[c].to_numpy() for c in ("hash", "node", "n_shingles", "label"))
     parts = np.frombuffer(b"".join(table["parts"].to_pylist()), np.uint8).reshape(-1, PARTS)
     by = np.lexsort((node, n, h))
@@ -176,11 +180,16 @@ def across(table: pa.Table) -> pa.Table:
     for s, t in zip(edge[:-1], edge[1:], strict=True):
         if (label[s:t] == label[s]).all():
             continue
-        ends = s + np.searchsorted(SHARE * n[s:t], 100 * n[s:t], "right")
-        for i, end in zip(range(s, t), ends, strict=True):
-            j = np.arange(i + 1, end)
-            j = j[label[j] != label[i]]
-            j = j[(100 + SHARE) * np.abs(parts[j] - parts[i]).sum(1, dtype=np.int64) <= (100 - SHARE) * (n[j] + n[i])] if len(j) else j
+        labels, group, size = np.unique(label[s:t], return_inverse=True, return_counts=True)
+        largest = label[s:t] == labels[size.argmax()]  # pairs within it need no look
+        low = s + np.searchsorted(100 * n[s:t], SHARE * n[s:t], "left")
+        high = s + np.searchsorted(SHARE * n[s:t], 100 * n[s:t], "right")
+        for i in np.flatnonzero(~largest):
+            j = np.arange(low[i], high[i])
+            i += s
+            j = j[(label[j] != label[i]) & (largest[j - s] | (j > i) | nearest)]
+            bound = (100 + SHARE) * np.abs(parts[j] - parts[i]).sum(1, dtype=np.int64) - (100 - SHARE) * (n[j] + n[i])
+            j = j[bound <= 0] if not nearest else j[bound.argmin(keepdims=True)] if len(j) and bound.min() <= 0 else j[:0]
             if len(j):
                 found.append(np.sort(np.stack([np.full(len(j), node[i]), node[j]], 1), axis=1))
                 waiting += len(j)
@@ -274,11 +283,16 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     star = within_window(shared.select("entries").mapInArrow(star_pairs, "a long, b long").distinct(), nodes)
     star = cut(verified(star, sets_of(rows, star, nodes)))
-    cluster = cut(components(star))
-    known = nodes.select("node", "n_shingles", "parts").join(cluster, "node", "left").select("node", "n_shingles", "parts", F.coalesce("label", "node").alias("label"))
-    others = shared.mapInArrow(beyond_pivots, "bucket int, hash long, node long").join(known, "node")
-    rest = cut(others.groupBy("bucket").applyInArrow(across, "a long, b long").distinct())
-    return star.union(verified(rest, sets_of(rows, rest, nodes)))
+    known, others = nodes.select("node", "n_shingles", "parts"), shared.mapInArrow(beyond_pivots, "bucket int, hash long, node long")
+
+    def between(edges: DataFrame, nearest: bool) -> DataFrame:
+        labelled = known.join(components(edges), "node", "left").select("node", "n_shingles", "parts", F.coalesce("label", "node").alias("label"))
+        pairs = others.join(labelled, "node").groupBy("bucket").applyInArrow(lambda t: across(t, nearest), "a long, b long")
+        pairs = cut(pairs.distinct())
+        return verified(pairs, sets_of(rows, pairs, nodes))
+
+    close = cut(star.union(between(star, True)))
+    return close.union(between(close, False))
 
 
 def node_table(rows: DataFrame) -> DataFrame:
