@@ -2,7 +2,7 @@
 
 Two facts shape this metric join.  First, sets without a common shingle lie at the greatest distance, 1,
 from each other, and so from any document taken as a pivot: a Voronoi cell by document pivots and its
-window of twice the radius would hold the whole table (README has the figures).  The pivots of the first
+window of twice the radius would hold the whole table.  The pivots of the first
 level are therefore single shingles.  A document belongs to the regions of its rarest shingles, and is
 replicated to as many as the threshold asks for: n - ceil(t n) + 1 of n, since partners share at least
 ceil(t n).  Second, within a region distances are telling, and there pivots are documents:
