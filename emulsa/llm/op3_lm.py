@@ -3,17 +3,19 @@
 Counting: every batch sends its distinct words and word pairs, as 64-bit hashes with counts, to buckets
 by hash; a bucket adds them up.  A bucket's filter holds for each n-gram its quantised count
 q = 1 + floor(log_BASE c): the n-gram is inserted at levels 1 to q.  A count is read back by probing
-levels 1, 2, ... until one is absent; the filters of all buckets together are broadcast.  Their size has
-a fixed bound, ``FILTER_BYTES``: a bucket whose share is too small raises its lowest pair count (from
-``MIN_PAIRS``) until its n-grams fit, all words first.
+levels 1, 2, ... until one is absent.  A filter is sized by its own n-grams, and every pair is in it.
 
 Score of a token w after v (the start of a text is a word of its own):
     P(w | v) = k(v) c(v,w) / c(v) + (1 - k(v)) (c(w) + 0.1) / (N + 0.1 (V + 1)),  k(v) = STRONG c(v) / (c(v) + WEAK)
-with counts from the filters; pairs that are not kept leave their mass unused, so a sum over w is at most
-about 1.
+with counts from the filters, so that a sum over w is about 1.
 
-The exact counts that the base needs come from a broadcast table of at most ``FREQUENT`` words (those
-that make up more than N / FREQUENT of all tokens each) and, for all other words, from a join by hash.
+Filters stay in their buckets.  Broadcast are only the levels of at most ``FREQUENT`` words (those that make
+up more than N / FREQUENT of all tokens each, with their exact counts for the base) and of ``FREQUENT_PAIRS``
+pairs (by the same rule within each bucket).  All other n-grams are asked for: texts are dealt into slices, a
+slice sends its distinct open n-grams to their buckets, ascending, and gets levels and exact counts back in that
+order.  What is broadcast is read from the same filters, so the two limits change no score.
+
+Words have 64-bit hashes, pairs 48-bit ones.
 
 Null text: empty, one end token.  Repeated rows are scored each; ids may be null or repeated.  With no
 training rows N = V = 0 and every token has the base probability of an unseen one.  Only id and text are read.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from emulsa.llm.common import crc_mod, cut, filled, hash_strings, mix, n_buckets, packed, slices, split_words, unpacked
 
 BASE, PROBES, BITS = 1.35, 4, 8
-FILTER_BYTES, FREQUENT, MIN_PAIRS = 192 << 20, 1 << 20, 2
+FREQUENT, FREQUENT_PAIRS, MIN_PAIRS = 1 << 20, 1 << 21, 1
 STRONG, WEAK = 0.75, 4.0
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK, SLICE = 1 << 19, 8 << 20
@@ -52,7 +54,7 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(3) + np.uint64(1)) ^ word
+    return (mix(before * np.uint64(3) + np.uint64(1)) ^ word) & np.uint64((1 << 48) - 1)
 
 
 def pairs(h: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +67,17 @@ def pairs(h: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
+    return ((mix(h) >> np.uint64(16)) % np.uint64(n)).astype(np.int32)
+
+
+def planes(h: np.ndarray, names: tuple[str, str, str] = ("h0", "h1", "h2")) -> dict[str, np.ndarray]:
+    """Hashes in three parts, so that the empty upper bits of pairs compress away."""
+    return dict(zip(names, ((h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2"), (h >> np.uint64(48)).astype("<u2")), strict=True))
+
+
+def from_planes(low: np.ndarray, mid: np.ndarray, top: np.ndarray | None = None) -> np.ndarray:
+    h = low.astype(np.uint64) | mid.astype(np.uint64) << np.uint64(32)
+    return h if top is None else h | top.astype(np.uint64) << np.uint64(48)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -86,17 +98,17 @@ def positions(h: np.ndarray, level: np.ndarray, n_bits: np.ndarray) -> np.ndarra
     return np.stack([(x + np.uint64(i) * y) % n_bits.astype(np.uint64) for i in range(PROBES)])
 
 
-def build_filter(h: np.ndarray, counts: np.ndarray, is_pair: np.ndarray, budget: int) -> tuple[bytes, int]:
-    """(bits, lowest kept pair count); a word is never left out while a pair is kept."""
+def build_filter(h: np.ndarray, counts: np.ndarray, is_pair: np.ndarray, budget: int | None = None) -> tuple[bytes, int]:
+    """(bits, lowest kept pair count); only with a budget are pairs left out, and no word while a pair is kept."""
     level = levels(counts) if len(counts) else counts
     least = MIN_PAIRS
     while True:
         keep = ~is_pair | (counts >= least)
         size = int(level[keep].sum()) * BITS // 8 + 8
-        if size <= budget or not (is_pair & keep).any():
+        if budget is None or size <= budget or not (is_pair & keep).any():
             break
         least = least + max(1, least // 4)
-    size = min(size, max(budget, 8))
+    size = size if budget is None else min(size, max(budget, 8))
     bits = np.zeros(size * 8, bool)
     left, of = level[keep].copy(), h[keep]
     while len(of):
@@ -126,8 +138,8 @@ class Filters:
         at = positions(h, np.full(len(h), level), self.bits[b]).astype(np.int64) + self.first[b]
         return ((self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts of n-grams, from repeated membership probes."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of n-grams, from repeated membership probes; 0 for those that are absent."""
         level = np.zeros(len(h), np.int64)
         alive = np.arange(len(h))
         for k in range(1, len(self.value)):
@@ -135,15 +147,29 @@ class Filters:
             if not len(alive):
                 break
             level[alive] = k
-        return self.value[level]
+        return level
 
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return self.value[self.levels(h)]
+
+
+def looked_up(h: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is in the ascending table, value there or 0)"""
+    if not len(table):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    hit = table[at] == h
+    return hit, np.where(hit, values[at], 0)
 
-PACKED = "bucket int, hashes binary, counts binary, pair_hashes binary, pair_counts binary"
-COUNTED = "bucket int, hashes binary, counts binary, filter binary, n_tokens long, n_words long, least_pairs long"
+
+PACKED = "bucket int, hashes binary, counts binary, pair_low binary, pair_high binary, pair_counts binary"
+COUNTED = "bucket int, hashes binary, counts binary, often binary, often_levels binary, filter binary, n_tokens long, n_words long"
+ASKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("h0", "h1", "h2")), ("slice", pa.int32())])
+ANSWERED = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
 
 
 def train(docs: DataFrame, n: int) -> DataFrame:
-    """One row for each bucket: its words with exact counts and its filter; counts of all rows of docs."""
+    """One row for each bucket: its words with exact counts, its filter, and its frequent pairs; counts of all rows of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
@@ -152,13 +178,12 @@ def train(docs: DataFrame, n: int) -> DataFrame:
             used = c > 0
             for rows in packed(bucket_of(h[used], n), {"hashes": h[used], "counts": c[used].astype("<u4")}):
                 none = pa.array([None] * rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, none, none], names=["bucket", "hashes", "counts", "pair_hashes", "pair_counts"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, none, none, none], names=["bucket", "hashes", "counts", "pair_low", "pair_high", "pair_counts"])
             p, c = np.unique(pairs(h, codes, offsets)[1], return_counts=True)
-            for rows in packed(bucket_of(p, n), {"pair_hashes": p, "pair_counts": c.astype("<u4")}):
+            low, high, _ = planes(p).values()
+            for rows in packed(bucket_of(p, n), {"pair_low": low, "pair_high": high, "pair_counts": c.astype("<u4")}):
                 none = pa.array([None] * rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), none, none, rows.column(1), rows.column(2)], names=["bucket", "hashes", "counts", "pair_hashes", "pair_counts"])
-
-    budget = FILTER_BYTES // n
+                yield pa.RecordBatch.from_arrays([rows.column(0), none, none, *rows.columns[1:]], names=["bucket", "hashes", "counts", "pair_low", "pair_high", "pair_counts"])
 
     def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(h, kind="stable")
@@ -170,10 +195,12 @@ def train(docs: DataFrame, n: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         h, c = summed(unpacked(table["hashes"], "<u8"), unpacked(table["counts"], "<u4"))
-        p, d = summed(unpacked(table["pair_hashes"], "<u8"), unpacked(table["pair_counts"], "<u4"))
+        p, d = summed(from_planes(unpacked(table["pair_low"], "<u4"), unpacked(table["pair_high"], "<u2")), unpacked(table["pair_counts"], "<u4"))
         kept = d >= MIN_PAIRS
-        bits, least = build_filter(np.r_[h, p[kept]], np.r_[c, d[kept]], np.r_[np.zeros(len(h), bool), np.ones(int(kept.sum()), bool)], budget)
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "hashes": [h.tobytes()], "counts": [c.astype("<i8").tobytes()], "filter": [bits], "n_tokens": pa.array([int(c.sum())], pa.int64()), "n_words": pa.array([len(h)], pa.int64()), "least_pairs": pa.array([least], pa.int64())})
+        bits, _ = build_filter(np.r_[h, p[kept]], np.r_[c, d[kept]], np.r_[np.zeros(len(h), bool), np.ones(int(kept.sum()), bool)])
+        often = p[d > int(d.sum()) // max(1, FREQUENT_PAIRS // n)]
+        columns = {"hashes": h, "counts": c.astype("<i8"), "often": often, "often_levels": Filters(np.array([len(bits)]), bits).levels(often).astype("u1")}
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in columns.items()} | {"filter": pa.array([bits], pa.binary()), "n_tokens": pa.array([int(c.sum())], pa.int64()), "n_words": pa.array([len(h)], pa.int64())})
 
     return docs.select("text").mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(add, COUNTED)
 
@@ -185,105 +212,91 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
     model = cut(train(training, n))
     total = model.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v")).first()
     n_train, n_words = total.n or 0, total.v or 0
-    filters = spark.sparkContext.broadcast(side_by_side({r.bucket: bytes(r.filter) for r in model.select("bucket", "filter").toLocalIterator()}, n))  # FILTER_BYTES at most
     above = n_train // FREQUENT
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c = unpacked(batch.column(0), "<u8"), unpacked(batch.column(1), "<i8")
-            yield pa.RecordBatch.from_pydict({"h": [h[c > above].tobytes()], "c": [c[c > above].tobytes()]})
-
-    often = model.select("hashes", "counts").mapInArrow(top, "h binary, c binary").collect()  # FREQUENT words at most
-    often_h = np.frombuffer(b"".join(bytes(r.h) for r in often), "<u8")
-    often_c = np.frombuffer(b"".join(bytes(r.c) for r in often), "<i8")
-    order = np.argsort(often_h)
-    frequent = spark.sparkContext.broadcast((often_h[order], often_c[order]))
+            for words, counts, often, often_levels, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, c = np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i8")
+                h, c = h[c > above], c[c > above]
+                yield pa.RecordBatch.from_pydict({"h": [h.tobytes()], "c": [c.tobytes()], "l": [Filters(np.array([len(bits)]), bits).levels(h).astype("u1").tobytes()], "p": [often], "q": [often_levels]})
+
+    often = model.select("hashes", "counts", "often", "often_levels", "filter").mapInArrow(top, "h binary, c binary, l binary, p binary, q binary").collect()  # FREQUENT words and FREQUENT_PAIRS pairs at most
+    h, c, word_level, p, pair_level = (np.frombuffer(b"".join(bytes(r[k]) for r in often), t) for k, t in enumerate(("<u8", "<i8", "u1", "<u8", "u1")))
+    by, by_pair = np.argsort(h), np.argsort(p)
+    frequent = spark.sparkContext.broadcast((h[by], c[by], word_level[by], p[by_pair], pair_level[by_pair]))
+    del often, h, c, word_level, p, pair_level
     scale = n_train + 0.1 * (n_words + 1)
-    log_of = lambda c: np.log10((c + 0.1) / scale)
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-    def known(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is frequent, exact count if so)"""
-        hs, cs = frequent.value
-        if not len(hs):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-        hit = hs[at] == h
-        return hit, np.where(hit, cs[at], 0)
-
-    made: dict[int, Filters] = {}
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = made.setdefault(0, Filters(*filters.value)) if 0 not in made else made[0]
-        for batch in slices(batches, most=SLICE):
-            h, codes, offsets = tokens(batch.column(1))
-            hit, c = known(h)
-            before, pair = pairs(h, codes, offsets)
-            c1 = lm.counts(h)
+    dealt = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(max(1, n // 4))).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), dealt.alias("slice"))
+    rows = rows.groupBy("slice")
+
+    def read(text: pa.Array) -> tuple:
+        """offsets; code of each token and, by code, hash, whether it is broadcast, level and count; the same of the pairs, without counts."""
+        h, codes, offsets = tokens(text)
+        words, counts, word_levels, pair_table, pair_levels = frequent.value
+        hit, level = looked_up(h, words, word_levels)
+        pair, back = np.unique(pairs(h, codes, offsets)[1], return_inverse=True)
+        return offsets, (codes, h, hit, level, looked_up(h, words, counts)[1]), (back, pair, *looked_up(pair, pair_table, pair_levels))
+
+    def open_hashes(table: pa.Table) -> np.ndarray:
+        """The distinct n-grams of a slice that aren't broadcast, ascending, whatever the order of its rows."""
+        found = np.empty(0, np.uint64)
+        for batch in slices(table.select(["text"]).to_batches(), most=SLICE):
+            _, (codes, h, hit, *_), (_, pair, pair_hit, _) = read(batch.column(0))
+            found = np.unique(np.concatenate([found, h[~hit & (np.bincount(codes, minlength=len(h)) > 0)], pair[~pair_hit]]))
+        return found
+
+    def ask(table: pa.Table) -> pa.Table:
+        h = open_hashes(table)
+        parts = [x.append_column("slice", pa.array([table["slice"][0].as_py()] * x.num_rows, pa.int32())) for x in packed(bucket_of(h, n), planes(h))]
+        return pa.Table.from_batches(parts, schema=ASKED)
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return ANSWERED.empty_table()
+        there = counted.num_rows > 0  # an empty side comes without columns
+        lm = [Filters(np.array([len(x)]), x) for x in counted["filter"].to_pylist()] if there else []
+        words, exact = (unpacked(counted[c], t) if there else np.empty(0, t) for c, t in (("hashes", "<u8"), ("counts", "<i8")))
+        out = []
+        for k in range(asked.num_rows):
+            h = from_planes(*(np.frombuffer(asked[c][k].as_py(), t) for c, t in (("h0", "<u4"), ("h1", "<u2"), ("h2", "<u2"))))
+            level = lm[0].levels(h) if lm else np.zeros(len(h))
+            out.append((level.astype("u1").tobytes(), looked_up(h, words, exact)[1].astype("<u4").tobytes()))
+        return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "levels": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
+
+    def finish(table: pa.Table, told: pa.Table) -> pa.Table:
+        value = level_counts()
+        asked = open_hashes(table)
+        levels, exact = np.empty(len(asked), np.uint8), np.empty(len(asked), np.int64)
+        if len(asked):
+            told, order = told.sort_by("bucket"), np.argsort(bucket_of(asked, n), kind="stable")
+            levels[order], exact[order] = unpacked(told["levels"], "u1"), unpacked(told["counts"], "<u4")
+        out = []
+        for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches(), most=SLICE):
+            offsets, (codes, h, hit, level, count), (back, pair, pair_hit, pair_level) = read(batch.column(1))
+            level, count = np.where(hit, level, looked_up(h, asked, levels)[1]), np.where(hit, count, looked_up(h, asked, exact)[1])
+            pair_level = np.where(pair_hit, pair_level, looked_up(pair, asked, levels)[1])
+            first = offsets[:-1]
+            c1 = value[level]
             base = (c1 + 0.1) / scale
-            distinct, back = np.unique(pair, return_inverse=True)
-            c2 = np.concatenate([lm.counts(distinct[i : i + CHUNK]) for i in range(0, len(distinct), CHUNK)] or [np.empty(0)])[back]
             of_before = np.empty(len(codes))
-            if len(codes):
-                of_before[1:] = c1[codes[:-1]]
-                of_before[offsets[:-1]] = c1[-1]  # as many starts as ends
-            c2 = np.minimum(c2, of_before)
+            of_before[1:] = c1[codes[:-1]]
+            of_before[first] = c1[-1]  # as many starts as ends
+            c2 = np.minimum(value[pair_level][back], of_before)
             k = np.where(of_before > 0, STRONG * of_before / (of_before + WEAK), 0)
             p = k * c2 / np.maximum(of_before, 1) + (1 - k) * base[codes]
-            first = offsets[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(offsets), pa.int64()), pa.array(np.add.reduceat(hit[codes].astype(np.int64), first), pa.int64()),
-                 pa.array(np.add.reduceat(np.where(hit, log_of(c), 0.0)[codes], first)), pa.array(np.add.reduceat(np.log10(p), first))],
-                names=["doc_id", "key", "held_out", "n_tokens", "known_often", "base_often", "score"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", key.alias("key"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
-    scored = rows.mapInArrow(own, "doc_id long, key long, held_out boolean, n_tokens long, known_often long, base_often double, score double")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
-            h, codes, offsets = tokens(batch.column(0))
-            rare = ~known(h)[0]
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            at = np.flatnonzero(rare[codes])
-            pair, times = np.unique(doc[at] * len(h) + codes[at], return_counts=True)
-            key, word = batch.column(1).to_numpy()[pair // len(h)], h[pair % len(h)]
-            yield from packed(bucket_of(word, n), {"hashes": word, "keys": key, "times": times.astype("<u4")})
-
-    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        h, keys, times = unpacked(asked["hashes"], "<u8"), unpacked(asked["keys"], "<i8"), unpacked(asked["times"], "<u4")
-        hs, cs = unpacked(counted["hashes"], "<u8"), unpacked(counted["counts"], "<i8")
-        if len(hs):
-            at = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-            c = np.where(hs[at] == h, cs[at], 0)
-        else:
-            c = np.zeros(len(h), np.int64)
-        u, back = np.unique(keys, return_inverse=True)
-        base = np.bincount(back, weights=times * log_of(c), minlength=len(u))
-        seen = np.bincount(back, weights=times * (c > 0), minlength=len(u)).astype("<i8")
-        parts = list(packed(((u.astype(np.uint64) >> np.uint64(20)) % np.uint64(max(1, n // 4))).astype(np.int32), {"keys": u, "base": base, "known": seen}))
-        return pa.Table.from_batches(parts, schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("base", pa.binary()), ("known", pa.binary())]))
-
-    def gather(table: pa.Table) -> pa.Table:
-        u, back = np.unique(unpacked(table["keys"], "<i8"), return_inverse=True)
-        base = np.bincount(back, weights=unpacked(table["base"], "<f8"), minlength=len(u))
-        seen = np.bincount(back, weights=unpacked(table["known"], "<i8"), minlength=len(u))
-        return pa.table({"key": pa.array(u, pa.int64()), "base_rare": base, "known_rare": pa.array(seen.astype(np.int64))})
-
-    asked = rows.select("text", "key").mapInArrow(ask, "bucket int, hashes binary, keys binary, times binary")
-    answers = asked.groupBy("bucket").cogroup(model.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(answer, "bucket int, keys binary, base binary, known binary")
-    rare = answers.groupBy("bucket").applyInArrow(gather, "key long, base_rare double, known_rare long")
-    same = scored.groupBy("key", "doc_id", "held_out", "n_tokens").agg(F.count("*").alias("copies"), F.first("known_often").alias("known_often"), F.first("base_often").alias("base_often"), F.first("score").alias("score"))
-    joined = same.join(rare, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known_often") + F.coalesce((F.col("known_rare") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base_often") + F.coalesce(F.col("base_rare") / F.col("copies"), F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+            out.append(pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64)[codes], first), pa.int64()), pa.array(np.full(batch.num_rows, n_train), pa.int64()),
+                 pa.array(np.add.reduceat(np.log10((count + 0.1) / scale)[codes], first)), pa.array(np.add.reduceat(np.log10(p), first))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            ))
+        return pa.Table.from_batches(out)
+
+    asked = rows.applyInArrow(ask, "bucket int, h0 binary, h1 binary, h2 binary, slice int")
+    counted = model.select("bucket", "hashes", "counts", "filter").groupBy("bucket")
+    told = asked.groupBy("bucket").cogroup(counted).applyInArrow(answer, "slice int, bucket int, levels binary, counts binary")
+    return rows.cogroup(told.groupBy("slice")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

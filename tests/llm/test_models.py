@@ -44,6 +44,40 @@ def test_model_beats_base_on_held_out_rows(docs):
     assert all(r.score < 0 for r in held)
 
 
+@pytest.mark.parametrize("frequent", [1 << 23, 20])
+def test_scores_hold_every_pair(docs, frequent, monkeypatch):
+    """Scores from exact counts, quantised: no pair is left out, however few n-grams are broadcast."""
+    monkeypatch.setattr(op3_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(op3_lm, "FREQUENT_PAIRS", frequent, raising=False)
+    rows = plain(docs)
+    train = [tokens(t) for d, t in rows if remainder(d, 10)]
+    words, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([None, *ws], ws, strict=False))
+    scale = sum(words.values()) + 0.1 * (len(words) + 1)
+    value = op3_lm.level_counts()
+    level = lambda c: value[op3_lm.levels(np.array([c]))[0]] if c else 0.0
+    want = {}
+    for d, t in rows:
+        total, own = 0.0, tokens(t)
+        for v, w in zip([None, *own], own, strict=False):
+            c1, c2 = level(words[v]), min(level(pairs[v, w]), level(words[v]))
+            k = op3_lm.STRONG * c1 / (c1 + op3_lm.WEAK)
+            total += math.log10(k * c2 / max(c1, 1) + (1 - k) * (level(words[w]) + 0.1) / scale)
+        want[d] = total
+    got = {r.doc_id: r.score for r in op3_lm.score_documents(docs).collect()}
+    assert got.keys() == want.keys()
+    trained = [d for d in want if remainder(d, 10)]
+    assert sum(got[d] for d in trained) == pytest.approx(sum(want[d] for d in trained), rel=0.01)  # filters err by false hits alone
+    assert np.mean([got[d] >= 1.02 * want[d] for d in trained]) > 0.95
+
+
+def test_scores_without_open_or_known_ngrams(spark):
+    one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    other = spark.createDataFrame([(2, "x y z " * 50)], "doc_id long, text string")
+    for docs, training, known in ((one, one, 4), (one, other, 1), (one, one.where("false"), 0)):
+        (r,) = op3_lm.score(docs, training).collect()
+        assert r.n_tokens == 4 and r.n_known == known and r.score <= 0
+
+
 def test_filter_holds_quantised_counts():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
