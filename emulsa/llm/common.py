@@ -41,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROW = "__row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with ``ROW``, 128 bits of hashes of all columns: equal for rows that agree in everything, and only for those."""
+    columns = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return docs.withColumn(ROW, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)]))
+
+
 def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets of packed shuffles: follows the session's shuffle partitions, which follow the data."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

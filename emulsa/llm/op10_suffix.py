@@ -201,15 +201,16 @@ def repeats(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *which]), np.concatenate([none, *starts])
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """uid (order of rows), doc_id, text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def numbered(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
+    """uid (order of rows), doc_id, text and, as a struct, the columns named in rest."""
+    more = ["rest"] if rest else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     ids = rows.select("doc_id").groupBy("doc_id").count().where("doc_id is null or count > 1")
     if ids.isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    rows = cut(rows.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("m"), "doc_id", "text"))
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text", *more)
+    rows = cut(rows.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("m"), "doc_id", "text", *more))
     order = rows.select("m", F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_first(), "h", "m")).cast("long").alias("uid"))
-    return rows.join(order, "m").select("uid", "doc_id", "text")
+    return rows.join(order, "m").select("uid", "doc_id", "text", *more)
 
 
 def spans(rows: DataFrame) -> DataFrame:
@@ -382,15 +383,8 @@ def whole_characters(text: bytes, runs: np.ndarray) -> str:
 
 def deduplicate_texts(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from text (whole characters only) and n_chars set anew."""
-    rows = numbered(docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    base = rows if not rest else None
-    if base is None:
-        carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
-        if "uid" in rows.columns and rows.select("uid", "doc_id").where("not (uid <=> doc_id)").isEmpty():
-            base = carried.select(F.col("doc_id").alias("uid"), "doc_id", "text", "rest")
-        else:
-            raise ValueError("ids must be unique here")
+    rows = numbered(docs, rest)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
@@ -400,7 +394,7 @@ def deduplicate_texts(docs: DataFrame) -> DataFrame:
                 cols, names = [*cols, batch.column(4)], [*names, "rest"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    marked = with_spans(base).select("doc_id", "text", "settled", "marked", *(["rest"] if rest else []))
+    marked = with_spans(rows).select("doc_id", "text", "settled", "marked", *(["rest"] if rest else []))
     schema = marked.select("doc_id", "text", *(["rest"] if rest else [])).schema
     out = marked.mapInArrow(finish, schema)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")} | {c: F.col(f"rest.`{c}`") for c in rest}

@@ -296,25 +296,32 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_table(rows: DataFrame) -> DataFrame:
-    """doc_id, key, node, n_shingles and parts of every row; rows has key and text."""
+    """doc_id, key, node, n_shingles, parts and further columns of every row; rows has key and text."""
+    more = [c for c in rows.columns if c not in ("doc_id", "key", "text")]
+    types = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             h, at = shingle_sets(batch.column(2))
             parts = [parts_of(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(np.diff(at), pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "key", "node", "n_shingles", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(np.diff(at), pa.int64()), pa.array(parts, pa.binary()), *batch.columns[3:]], names=["doc_id", "key", "node", "n_shingles", "parts", *more])
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, n_shingles long, parts binary")
+    return rows.select("doc_id", "key", "text", *more).mapInArrow(run, "doc_id long, key long, node long, n_shingles long, parts binary" + types)
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+def join_components(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row.
+
+    With ``row``, a column that tells rows apart, it is returned too, and ``label``: equal within a component
+    even where all its ids are null, and null for a text without shingles, which is like no other.
+    """
+    more = [row] if row else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     named = cut(node_table(rows))
     nodes = cut(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts")))
     full = nodes.select("node", "first").join(components(links(rows, nodes)), "node", "left")
     label = F.coalesce("label", "node")
     least = full.groupBy(label.alias("label")).agg(F.min("first").alias("component_id"))
-    full = cut(full.select("node", label.alias("label")).join(least, "label").select("node", "component_id"))
+    full = cut(full.select("node", label.alias("label")).join(least, "label").select("node", "component_id", "label"))
     out = named.join(full, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *([row, "label"] if row else []))

@@ -22,34 +22,41 @@ HEAVY, TRACKED = 1000, 16384
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.char_length(text).cast("long").alias("chars"),
         F.sha2(F.translate(text, SPACE, ""), 256).alias("text_sha256"),
+        *more,
     )
 
 
-def deduplicate(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    rows = cut(digests(docs))  # texts are read once; from here on rows are digests
+def deduplicate(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED, row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row.
+
+    With ``row``, a column that tells rows apart, it decides between rows of one id, and is returned too.
+    """
+    more = [row] if row else []
+    rows = cut(digests(docs, *more))  # texts are read once; from here on rows are digests
     found = rows.agg(F.expr(f"approx_top_k(text_sha256, {heavy}, {tracked})").alias("top"))
     candidates = found.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256")).where(F.col("t.count") > 1)
-    best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"))).alias("best")
+    least = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"), *more))
+    best = least.alias("best")
     winners = rows.join(F.broadcast(candidates), "text_sha256", "left_semi").groupBy("text_sha256").agg(best, F.count("*").alias("group_size"))
     winners = cut(winners.where("group_size > 1"))  # at most ``heavy`` rows
     marked = rows.join(F.broadcast(winners), "text_sha256", "left")
     settled = marked.where("best is not null")
     same = Window.partitionBy("text_sha256")
     others = marked.where("best is null").drop("best", "group_size")
-    others = others.withColumn("best", F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").alias("keep_id"))).over(same)).withColumn("group_size", F.count("*").over(same))
+    others = others.withColumn("best", least.over(same)).withColumn("group_size", F.count("*").over(same))
     return settled.unionByName(others).select(
         "doc_id",
         F.col("best.keep_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("best.keep_id")).alias("kept"),
+        F.col(row or "doc_id").eqNullSafe(F.col(f"best.{row or 'keep_id'}")).alias("kept"),
         "text_sha256",
+        *more,
     )
 
 
