@@ -1,27 +1,33 @@
-"""Exact Jaccard join of five-word shingle sets, and the components of its links.
-
-Two facts shape this metric join.  First, sets without a common shingle lie at the greatest distance, 1,
-from each other, and so from any document taken as a pivot: a Voronoi cell by document pivots and its
-window of twice the radius would hold the whole table.  The pivots of the first
-level are therefore single shingles.  A document belongs to the regions of its rarest shingles, and is
-replicated to as many as the threshold asks for: n - ceil(t n) + 1 of n, since partners share at least
-ceil(t n).  Second, within a region distances are telling, and there pivots are documents:
-
-1. Regions: word shingles are counted in a table of ``CELLS`` cells (fixed size, broadcast as classes of
-   counts) which orders shingles by rarity; any order gives the same result.  Equal sets are one node.
-   Only hashes, nodes and size classes are sent.
-2. In every region each node is compared with the region's pivot (its node of least hash).  Nodes that link to a
-   pivot merge into clusters; what lies within a cluster needs no further comparison.
-3. Then only pairs of different clusters in a region, neither of them its pivot, remain: first, for each
-   node, the nearest one, so that it joins its cluster; then all that are still apart.  The metric of symmetric difference, split
-   by hash over ``PARTS`` parts of the shingle universe, has the empty set as a pivot in each part: by the
-   triangle inequality the sum of |distance differences| is at most the distance.  Pairs outside that
-   window are dropped without looking at sets, and the rest are compared exactly.  The same window comes
-   before the comparisons of step 2.  Sets are built anew from the texts, for the nodes that pass it.
+"""Exact Jaccard join of five-word shingle sets in their metric space, and the components of its links.
+
+The distance of two sets is 1 - Jaccard; a link is a distance of at most 0.25.  Equal sets are one node.
+
+1. First level.  Sets without a common shingle lie at the greatest distance from each other, and so from any
+   document as a pivot: Voronoi cells of documents would hold the whole table.  The pivots of the first level are
+   therefore single shingles: a set belongs to the regions of its rarest n - ceil(t n) + 1 of n shingles, as sets
+   that link share at least ceil(t n).  Word shingles are counted in a table of ``CELLS`` cells (fixed size,
+   broadcast as classes of counts), which orders them by rarity; any order gives the same links.  Regions of equal
+   nodes are one region.
+2. Cells.  The metric of symmetric difference, split by hash over ``PARTS`` parts of the shingle universe, has the
+   empty set as a pivot in each part: by the triangle inequality the sum of |distance differences| is at most the
+   distance.  Within a region, nodes that this window leaves together, directly or through others, form a cell; its
+   pivot is the document next to its median.  Both ends of each link lie in a cell.  A cell is sent as a star of
+   (pivot, member) rows, never as pairs, and the distance of each member to its pivot is computed exactly.
+3. Recursion.  Members that link to a pivot are one cluster.  Only cells whose nodes are in several clusters go on.
+   Of these, a cell of more than ``LEAF`` members gets ``PIVOTS`` fresh pivots from its stragglers (the nodes
+   outside its largest cluster).  Each member belongs to the Voronoi region of its nearest one, and is replicated to
+   those no further away than the nearest by twice the distance of a link, as the triangle inequality asks for.
+4. Leaves.  Of a cell still open, stragglers meet all members in blocks of bounded size, where intersections are
+   counted exactly; what the difference of their distances to the pivot rules out is left out, and one link for each straggler and
+   cluster comes back.
+
+Sets are compared by the full 64-bit hashes of their shingles and named by 64 bits too; names that two different
+sets share (told by another 64 bits) are replaced by the other hash.
 
 Null or empty text, or one without words: no shingles, linked with nothing.  Fewer than five words: one
 shingle, the whole sequence.  Repeated rows are equal sets.  Null ids never lead a component unless it
-has no other.  Only id and text are read; an empty table gives an empty result.
+has no other.  Very long texts are read whole, one in a batch.  Only id and text are read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulsa.llm.common import cut, distinct, hash_strings, mix, n_buckets, packed, slices, split_words, unpacked
@@ -41,40 +47,48 @@ from emulsa.llm.sieve import passes, sieve, tally, used_cells
 
 WORDS, SHARE = 5, 75
 CELLS, PARTS = 1 << 22, 96
-KEPT_BITS = np.uint64(48)
-ENTRY = np.dtype([("hash", "<u8"), ("node", "<i8"), ("size", "<i2")])
-SENT = "bucket int, low binary, high binary, nodes binary, sizes binary"
-SLICE, HASHES = 12 << 20, 16
+SENT = "bucket int, low binary, high binary, nodes binary"
+SLICE = 8 << 20
+LEAF, PIVOTS, LEVELS = 512, 8, 2
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the ascending distinct 48-bit shingle hashes of each text."""
+    """(hashes, offsets): the ascending distinct 64-bit shingle hashes of each text."""
     codes, offsets, words = split_words(lower_ascii(col))
     h = mix(hash_strings(words, 5))[codes]
-    n = np.diff(offsets)
-    doc = np.repeat(np.arange(len(n), dtype=np.uint64), np.maximum(n - WORDS + 1, 0))
     full = np.empty(0, np.uint64)
     if len(h) >= WORDS:
         full = np.zeros(len(h) - WORDS + 1, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(WORDS):
                 full = full * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - WORDS + 1 + k]
-        inside = np.ones(len(full), bool)
-        for e in offsets[1:]:
-            inside[max(0, e - WORDS + 1) : e] = False
-        full = mix(full[inside])
-    short = np.flatnonzero((n > 0) & (n < WORDS))
-    whole = np.array([xxhash.xxh3_64_intdigest(h[offsets[i] : offsets[i + 1]].tobytes(), int(n[i])) for i in short], np.uint64)
-    key = distinct(np.r_[doc, short.astype(np.uint64)] << KEPT_BITS | np.r_[full, whole] >> np.uint64(16))
-    return key & np.uint64((1 << 48) - 1), np.searchsorted(key, np.arange(len(n) + 1, dtype=np.uint64) << KEPT_BITS)
+        full = mix(full)
+    sets = []
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if e - s >= WORDS:
+            sets.append(distinct(full[s : e - WORDS + 1]))
+        elif e > s:
+            sets.append(np.array([xxhash.xxh3_64_intdigest(h[s:e].tobytes(), e - s)], np.uint64))
+        else:
+            sets.append(full[:0])
+    return np.concatenate([full[:0], *sets]), np.r_[0, np.cumsum([len(x) for x in sets], dtype=np.int64)].astype(np.int64)
+
+
+def names_of(h: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of each set (0 for an empty one)."""
+    return np.array([xxhash.xxh3_64_intdigest(h[s:e].tobytes(), seed) if e > s else 0 for s, e in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
 
 
-def nodes_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set (0 for an empty one)."""
-    return np.array([xxhash.xxh3_64_intdigest(h[s:e].tobytes()) if e > s else 0 for s, e in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
+def nodes_of(h: np.ndarray, at: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The name of each set, or its other name where it is one of ``shared``."""
+    node = names_of(h, at)
+    if len(shared) and np.isin(node, shared).any():
+        node = np.where(np.isin(node, shared), names_of(h, at, 1), node)
+    return node
 
 
-def cell(h: np.ndarray) -> np.ndarray:
+def cell_of(h: np.ndarray) -> np.ndarray:
     return (mix(h) % np.uint64(CELLS)).astype(np.int64)
 
 
@@ -84,7 +98,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.uint32)
         for batch in slices(batches, most=SLICE):
-            seen += np.bincount(cell(shingle_sets(batch.column(0))[0]), minlength=CELLS).astype(np.uint32)
+            seen += np.bincount(cell_of(shingle_sets(batch.column(0))[0]), minlength=CELLS).astype(np.uint32)
         yield from used_cells(seen)
 
     fours = tally(rows.select("text").mapInArrow(count, "bucket int, cells binary, counts binary"), CELLS).astype(int)
@@ -93,162 +107,100 @@ def rarity(rows: DataFrame) -> np.ndarray:
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, index of their set): each set's rarest n - ceil(t n) + 1 shingles."""
-    n = np.diff(at)
-    doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    key = np.sort(doc << np.uint64(48) | classes[cell(h)].astype(np.uint64) << np.uint64(43) | h >> np.uint64(5))
-    doc = doc.astype(np.int64)
-    rank = np.arange(len(key)) - at[doc]
-    keep = rank <= n[doc] - -(-SHARE * n[doc] // 100)
-    return key[keep] & np.uint64((1 << 48) - 1), doc[keep]
+    """(48-bit keys, index of their set): each set's rarest n - ceil(t n) + 1 shingles."""
+    key = classes[cell_of(h)].astype(np.uint64) << np.uint64(59) | h >> np.uint64(5)
+    kept = []
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        n = e - s
+        kept.append(np.sort(key[s:e])[: n + (SHARE * -n) // 100 + 1] if n else key[:0])
+    keys = np.concatenate([key[:0], *kept])
+    return mix(keys) >> np.uint64(16), np.repeat(np.arange(len(kept)), [len(x) for x in kept])
 
 
 def parts_of(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(h ^ np.uint64(77)) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
-def five_bytes(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:6].tobytes()
-
-
-def from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def size_class(n: np.ndarray) -> np.ndarray:
-    """Sizes in logarithmic steps, 32 of them to the ratio that a link allows."""
-    return np.floor(32 * np.log(np.maximum(n, 1)) / -np.log(SHARE / 100)).astype(np.int16)
-
+def linked(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 100 * both >= SHARE * (n + m - both)
 
-def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of these size classes can link at all."""
-    return np.abs(a.astype(np.int32) - b) <= 33
 
-
-def pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
-
-
-def regions_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(region, whether it is its pivot) of each entry, sorted by hash.
-
-    Of a region's nodes, that of least hash is the pivot; regions use ``HASHES`` different hashes, so members
-    of a large group, which share many regions, meet several pivots.
-    """
-    new = np.r_[True, e["hash"][1:] != e["hash"][:-1]]
-    region = np.cumsum(new) - 1
-    score = mix(e["node"].view(np.uint64) ^ mix(e["hash"] % np.uint64(HASHES)))
-    return region, score == np.minimum.reduceat(score, np.flatnonzero(new))[region]
-
-
-def star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot of the region, another), by node: one comparison for each place in a region."""
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            e = np.frombuffer(raw, ENTRY)
-            region, leads = regions_of(e)
-            pivot = e[np.flatnonzero(leads)[region]]
-            ok = ~leads & sized(pivot["size"], e["size"])
-            if ok.any():
-                both = np.sort(np.stack([pivot["node"][ok], e["node"][ok]], 1), axis=1)
-                yield pair_batch(np.unique(both, axis=0))
-
-
-def beyond_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The other entries of regions that have at least two beside the pivot, as rows."""
-    for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            e = np.frombuffer(raw, ENTRY)
-            region, leads = regions_of(e)
-            e = e[~leads & (np.bincount(region)[region] > 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), bucket, np.int32)), pa.array(e["hash"].astype(np.int64)), pa.array(e["node"])], names=["bucket", "hash", "node"])
-
-
-def across(table: pa.Table, nearest: bool) -> pa.Table:
-    """Pairs of a bucket's regions whose clusters differ and that pass the window.
-
-    With ``nearest``, of each node's pairs in a region only the one of least bound.
-    """
-    h, node, n, label = (table[c].to_numpy() for c in ("hash", "node", "n_shingles", "label"))
-    parts = np.frombuffer(b"".join(table["parts"].to_pylist()), np.uint8).reshape(-1, PARTS)
-    by = np.lexsort((node, n, h))
-    h, node, n, label, parts = h[by], node[by], n[by], label[by], parts[by].astype(np.int16)
-    found, waiting = [], 0
-    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-    for s, t in zip(edge[:-1], edge[1:], strict=True):
-        if (label[s:t] == label[s]).all():
-            continue
-        labels, group, size = np.unique(label[s:t], return_inverse=True, return_counts=True)
-        largest = label[s:t] == labels[size.argmax()]  # pairs within it need no look
-        low = s + np.searchsorted(100 * n[s:t], SHARE * n[s:t], "left")
-        high = s + np.searchsorted(SHARE * n[s:t], 100 * n[s:t], "right")
-        for i in np.flatnonzero(~largest):
-            j = np.arange(low[i], high[i])
-            i += s
-            j = j[(label[j] != label[i]) & (largest[j - s] | (j > i) | nearest)]
-            bound = (100 + SHARE) * np.abs(parts[j] - parts[i]).sum(1, dtype=np.int64) - (100 - SHARE) * (n[j] + n[i])
-            j = j[bound <= 0] if not nearest else j[bound.argmin(keepdims=True)] if len(j) and bound.min() <= 0 else j[:0]
-            if len(j):
-                found.append(np.sort(np.stack([np.full(len(j), node[i]), node[j]], 1), axis=1))
-                waiting += len(j)
-        if waiting > 1 << 21:  # a pair recurs in many regions
-            found = [np.unique(np.concatenate(found), axis=0)]
-            waiting = len(found[0])
-    return pa.Table.from_batches([pair_batch(np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64))])
+def within(difference: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and at least this symmetric difference can link."""
+    return ((100 + SHARE) * difference <= (100 - SHARE) * (n + m)) & (100 * n >= SHARE * m) & (100 * m >= SHARE * n)
 
 
-def shared_regions(rows: DataFrame) -> DataFrame:
-    """(bucket, entries): regions with two or more nodes, entries sorted by hash and node."""
+def region_lists(rows: DataFrame, shared: np.ndarray) -> DataFrame:
+    """list, node: the distinct lists of nodes that share a region, those of two nodes or more."""
     n = n_buckets(rows.sparkSession)
     classes = rows.sparkSession.sparkContext.broadcast(rarity(rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             h, at = shingle_sets(batch.column(0))
-            node = nodes_of(h, at)
+            node = nodes_of(h, at, shared)
             once = np.zeros(len(node), bool)
             once[np.unique(node, return_index=True)[1]] = True
             key, doc = prefixes(h, at, classes.value)
             key, doc = key[once[doc]], doc[once[doc]]
-            yield from packed((mix(key) % np.uint64(n)).astype(np.int32), {"low": key.astype("<u4"), "high": (key >> np.uint64(32)).astype("<u2"), "nodes": node[doc], "sizes": size_class(np.diff(at))[doc]})
+            yield from packed((mix(key) % np.uint64(n)).astype(np.int32), {"low": key.astype("<u4"), "high": (key >> np.uint64(32)).astype("<u2"), "nodes": node[doc]})
 
-    def keep(table: pa.Table) -> pa.Table:
+    def lists(table: pa.Table) -> pa.Table:
         node = unpacked(table["nodes"], "<i8")
-        e = np.empty(len(node), ENTRY)
-        e["hash"] = unpacked(table["high"], "<u2").astype(np.uint64) << np.uint64(32) | unpacked(table["low"], "<u4")
-        e["node"], e["size"] = node, unpacked(table["sizes"], "<i2")
-        e = e[np.lexsort((e["node"], e["hash"]))]
-        e = e[np.r_[True, (e["hash"][1:] != e["hash"][:-1]) | (e["node"][1:] != e["node"][:-1])]]
-        same = e["hash"][1:] == e["hash"][:-1]
-        e = e[np.r_[False, same] | np.r_[same, False]]
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "entries": [e.tobytes()]}) if len(e) else pa.table({"bucket": pa.array([], pa.int32()), "entries": pa.array([], pa.binary())})
+        key = unpacked(table["high"], "<u2").astype(np.uint64) << np.uint64(32) | unpacked(table["low"], "<u4")
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        several = np.flatnonzero(np.diff(edge) > 1)
+        found = {distinct(node[edge[k] : edge[k + 1]]).tobytes() for k in several.tolist()}
+        return pa.table({"nodes": pa.array([x for x in found if len(x) > 8], pa.binary())})
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                node = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), xxhash.xxh3_64_intdigest(raw), np.uint64).view(np.int64)), pa.array(node)], names=["list", "node"])
 
-    return rows.select("text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(keep, "bucket int, entries binary")
+    found = rows.select("text").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(lists, "nodes binary")
+    return found.distinct().mapInArrow(members, "list long, node long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold, by exact intersection."""
+def cells_in(table: pa.Table) -> pa.Table:
+    """The stars (pivot, node) of the cells of a bucket's regions."""
+    of, node, n = (table[c].to_numpy() for c in ("list", "node", "n_shingles"))
+    parts = np.frombuffer(b"".join(table["parts"].to_pylist()), np.uint8).reshape(-1, PARTS)
+    by = np.lexsort((node, of))
+    of, node, n, parts = of[by], node[by], n[by], parts[by].astype(np.int16)
+    found, waiting = [np.empty((0, 2), np.int64)], 0
+    edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        rest = np.arange(s, e)
+        while len(rest) > 1:
+            cell, ahead, rest = [rest[:1]], [rest[0]], rest[1:]
+            while ahead and len(rest):
+                i = ahead.pop()
+                ok = within(np.abs(parts[rest] - parts[i]).sum(1, dtype=np.int64), n[i], n[rest])
+                if ok.any():
+                    cell.append(rest[ok])
+                    ahead += rest[ok].tolist()
+                    rest = rest[~ok]
+            cell = np.concatenate(cell)
+            if len(cell) > 1:
+                off = np.abs(parts[cell] - np.median(parts[cell], axis=0)).sum(1)
+                pivot = cell[np.lexsort((node[cell], off))[0]]
+                others = cell[cell != pivot]
+                found.append(np.stack([np.full(len(others), node[pivot]), node[others]], 1))
+                waiting += len(others)
+        if waiting > 1 << 20:  # a star recurs in many regions
+            found = [np.unique(np.concatenate(found), axis=0)]
+            waiting = 0
+    stars = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"pivot": pa.array(stars[:, 0], pa.int64()), "node": pa.array(stars[:, 1], pa.int64())})
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = from_five(x), from_five(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= SHARE * (len(p) + len(q) - both))
-            if any(ok):
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def sets_of(rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its hashes, for the nodes of the pairs; texts are read again, and only these sets are shuffled."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
-    wanted = cut(wanted)
+
+def sets_of(rows: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its hashes, for the wanted nodes; texts are read again, and only these sets are shuffled."""
+    wanted = cut(wanted.select("node").distinct().join(nodes.select("node", "key"), "node"))
     bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted.select("key")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,47 +208,161 @@ def sets_of(rows: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             few = whole.filter(pa.array(passes(bits.value, whole.column(0).to_numpy())))
             for batch in slices(iter([few]), most=SLICE):
                 h, at = shingle_sets(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([five_bytes(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "hashes"])
 
     built = rows.select("key", "text").mapInArrow(build, "key long, hashes binary")
     return cut(wanted.join(built, "key").select("node", "hashes").dropDuplicates(["node"]))
 
 
-def within_window(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that the triangle inequality, with the empty set as pivot of each part, doesn't rule out."""
+def measured(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """stars (with pivot and node) and ``both``, the exact size of the intersection."""
+    at = len(stars.columns)
 
-    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64) for c in (3, 5))
-            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
-            ok = pa.array((100 + SHARE) * np.abs(x - y).sum(1) <= (100 - SHARE) * n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            both = [
+                len(np.intersect1d(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), assume_unique=True))
+                for x, y in zip(batch.column(at), batch.column(at + 1), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(both, pa.int64())], names=[*batch.schema.names[:at], "both"])
 
-    small = nodes.select("node", "n_shingles", "parts")
-    both = pairs.join(small.toDF("a", "n_a", "p_a"), "a").join(small.toDF("b", "n_b", "p_b"), "b")
-    return cut(both.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(window, "a long, b long"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stars.schema.fields)
+    own = stars.columns
+    joined = stars.join(sets.select("node", F.col("hashes").alias("y")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("x")), "pivot")
+    return joined.select(*own, "x", "y").mapInArrow(run, f"{types}, both long")
 
 
-def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes whose components are those of all links; rows has key and text."""
-    shared = cut(shared_regions(rows))
+def still_open(cells: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members (cell, node, gap, n_shingles, label, straggler) of the cells with several clusters.
+
+    A straggler is outside the cell's largest cluster.
+    """
+    labels = components(edges)
+    full = cells.join(nodes.select("node", "n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = full.groupBy("cell", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("cell").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("clusters")).where("clusters > 1")
+    return cut(full.join(largest, "cell").select("cell", "node", "gap", "n_shingles", "label", (F.col("label") != F.col("largest")).alias("straggler")))
 
-    star = within_window(shared.select("entries").mapInArrow(star_pairs, "a long, b long").distinct(), nodes)
-    star = cut(verified(star, sets_of(rows, star, nodes)))
-    known, others = nodes.select("node", "n_shingles", "parts"), shared.mapInArrow(beyond_pivots, "bucket int, hash long, node long")
 
-    def between(edges: DataFrame, nearest: bool) -> DataFrame:
-        labelled = known.join(components(edges), "node", "left").select("node", "n_shingles", "parts", F.coalesce("label", "node").alias("label"))
-        pairs = others.join(labelled, "node").groupBy("bucket").applyInArrow(lambda t: across(t, nearest), "a long, b long")
-        pairs = cut(pairs.distinct())
-        return verified(pairs, sets_of(rows, pairs, nodes))
+def divided(cells: DataFrame, sets: DataFrame, nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, links to the fresh pivots): large cells of ``still_open`` as Voronoi regions of fresh pivots.
 
-    close = cut(star.union(between(star, True)))
-    return close.union(between(close, False))
+    A region has those nearest to its pivot and, by the triangle inequality, all that a link of theirs can reach.
+    """
+    large = cells.groupBy("cell").count().where(F.col("count") > LEAF).select("cell")
+    parts = cells.join(large, "cell")
+    order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(level), "node"), "node")
+    fresh = parts.where("straggler").select("cell", F.col("node").alias("pivot"), F.row_number().over(order).alias("k")).where(F.col("k") <= PIVOTS)
+    stars = parts.select("cell", "node").join(fresh.select("cell", "pivot"), "cell")  # PIVOTS rows a member
+    counts = cut(measured(stars, sets))
+    size = nodes.select("node", "n_shingles")
+    counts = counts.join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
+    distance = 1 - F.col("both") / (F.col("n_shingles") + F.col("m") - F.col("both"))
+    counts = counts.withColumn("distance", distance)
+    near = counts.groupBy("cell", "node").agg(F.min("distance").alias("least"))
+    reach = 2 * (1 - SHARE / 100) + 1e-9
+    regions = counts.join(near, ["cell", "node"]).where(F.col("distance") <= F.col("least") + reach)
+    gap = F.col("n_shingles") + F.col("m") - 2 * F.col("both")
+    regions = regions.select(F.xxhash64("cell", "pivot", F.lit(level)).alias("cell"), "node", gap.alias("gap"))
+    kept = cells.join(large, "cell", "left_anti").select("cell", "node", "gap")
+    close = counts.where((F.col("both") * 100 >= SHARE * (F.col("n_shingles") + F.col("m") - F.col("both"))) & (F.col("node") != F.col("pivot")))
+    return cut(kept.union(regions)), close.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of all sets of a with all of b."""
+    if len(a) * len(b) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], np.int64)
+    h, g = np.concatenate(a), np.concatenate(b)
+    of_h, of_g = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(y) for y in b])
+    universe = np.intersect1d(h, g)
+    out = np.zeros((len(a), len(b)), np.float32)
+    at_h, at_g = np.searchsorted(universe, h), np.searchsorted(universe, g)
+    ok_h, ok_g = (universe[np.minimum(at, len(universe) - 1)] == x if len(universe) else np.zeros(len(x), bool) for at, x in ((at_h, h), (at_g, g)))
+    at_h, of_h, at_g, of_g = at_h[ok_h], of_h[ok_h], at_g[ok_g], of_g[ok_g]
+    step = 4096
+    by_h, by_g = np.argsort(at_h, kind="stable"), np.argsort(at_g, kind="stable")
+    at_h, of_h, at_g, of_g = at_h[by_h], of_h[by_h], at_g[by_g], of_g[by_g]
+    for s in range(0, len(universe), step):
+        x, y = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
+        i, j = np.searchsorted(at_h, (s, s + step)), np.searchsorted(at_g, (s, s + step))
+        x[of_h[i[0] : i[1]], at_h[i[0] : i[1]] - s] = 1
+        y[of_g[j[0] : j[1]], at_g[j[0] : j[1]] - s] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def leaf_links(table: pa.Table) -> pa.Table:
+    """Of each pair of blocks, a link for each straggler and each other cluster that it has a link to."""
+    key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("cell", "left", "right")], 1)
+    node, n, gap, label = (table[c].to_numpy() for c in ("node", "n_shingles", "gap", "label"))
+    first = table["first"].to_numpy(zero_copy_only=False).astype(bool)
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["hashes"]]
+    by = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
+    key = key[by]
+    edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True]) if len(key) else np.zeros(1, np.int64)
+    found = [np.empty((0, 2), np.int64)]
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        a, b = by[s:e][first[by[s:e]]], by[s:e][~first[by[s:e]]]
+        may = within(np.abs(gap[a][:, None] - gap[b]), n[a][:, None], n[b]) & (label[a][:, None] != label[b])
+        a, may = a[may.any(1)], may[may.any(1)]
+        b, may = b[may.any(0)], may[:, may.any(0)]
+        if not len(a):
+            continue
+        both = intersections([sets[i] for i in a], [sets[j] for j in b])
+        i, j = np.nonzero(may & linked(both, n[a][:, None], n[b]))
+        if len(i):
+            one = np.unique(np.stack([node[a[i]], label[b[j]]], 1), axis=0, return_index=True)[1]
+            found.append(np.stack([node[a[i[one]]], node[b[j[one]]]], 1))
+    out = np.concatenate(found)
+    return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
+
+
+def leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between stragglers and others of the cells of ``still_open``, compared in pairs of blocks."""
+
+    def blocks(nodes, shingles):
+        return F.ceil(F.greatest(nodes / BLOCK_NODES, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+    straggler = F.col("straggler")
+    sizes = cells.groupBy("cell").agg(
+        blocks(F.count_if(straggler), F.sum(F.when(straggler, F.col("n_shingles")).otherwise(0))).alias("lefts"),
+        blocks(F.count("*"), F.sum("n_shingles")).alias("rights"),
+    )
+    placed = cells.join(sizes, "cell")
+    at = F.xxhash64("node")
+    own = ["cell", "node", "n_shingles", "gap", "label"]
+    left = placed.where(straggler).select(*own, F.pmod(at, "lefts").cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(True).alias("first"))
+    right = placed.select(*own, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.pmod(at, "rights").cast("int").alias("right"), F.lit(False).alias("first"))
+    bucket = F.pmod(F.xxhash64("cell", "left", "right"), F.lit(n_buckets(cells.sparkSession))).alias("bucket")
+    rows = left.union(right).join(sets, "node").withColumn("bucket", bucket)
+    return rows.groupBy("bucket").applyInArrow(leaf_links, "a long, b long").distinct()
+
+
+def links(rows: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all links; rows has key and text."""
+    bucket = F.pmod("list", F.lit(n_buckets(rows.sparkSession))).alias("bucket")
+    lists = region_lists(rows, shared).join(nodes.select("node", "n_shingles", "parts"), "node").withColumn("bucket", bucket)
+    stars = cut(lists.groupBy("bucket").applyInArrow(cells_in, "pivot long, node long").distinct())
+    sets = sets_of(rows, stars.select("node").union(stars.select("pivot")), nodes)
+    size = nodes.select("node", "n_shingles")
+    counted = measured(stars, sets).join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
+    counted = cut(counted.withColumn("linked", 100 * F.col("both") >= SHARE * (F.col("n_shingles") + F.col("m") - F.col("both"))))
+    edges = counted.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    gap = (F.col("n_shingles") + F.col("m") - 2 * F.col("both")).alias("gap")
+    cells = counted.select(F.col("pivot").alias("cell"), "node", gap).union(counted.select("pivot", "pivot", F.lit(0).cast("long")).distinct())
+    cells = still_open(cells, edges, nodes)
+    for level in range(LEVELS):
+        if cells.groupBy("cell").count().where(F.col("count") > LEAF).isEmpty():
+            break
+        parts, close = divided(cells, sets, nodes, level)
+        edges = cut(edges.union(close))
+        cells = still_open(parts, edges, nodes)
+    return edges.union(leaves(cells, sets))
 
 
 def node_table(rows: DataFrame) -> DataFrame:
-    """doc_id, key, node, n_shingles, parts and further columns of every row; rows has key and text."""
+    """doc_id, key, node, twin (another hash), n_shingles, parts and further columns of every row; rows has key and text."""
     more = [c for c in rows.columns if c not in ("doc_id", "key", "text")]
     types = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in more)
 
@@ -304,9 +370,9 @@ def node_table(rows: DataFrame) -> DataFrame:
         for batch in slices(batches, most=SLICE):
             h, at = shingle_sets(batch.column(2))
             parts = [parts_of(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(h, at)), pa.array(np.diff(at), pa.int64()), pa.array(parts, pa.binary()), *batch.columns[3:]], names=["doc_id", "key", "node", "n_shingles", "parts", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names_of(h, at)), pa.array(names_of(h, at, 1)), pa.array(np.diff(at), pa.int64()), pa.array(parts, pa.binary()), *batch.columns[3:]], names=["doc_id", "key", "node", "twin", "n_shingles", "parts", *more])
 
-    return rows.select("doc_id", "key", "text", *more).mapInArrow(run, "doc_id long, key long, node long, n_shingles long, parts binary" + types)
+    return rows.select("doc_id", "key", "text", *more).mapInArrow(run, "doc_id long, key long, node long, twin long, n_shingles long, parts binary" + types)
 
 
 def join_components(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -318,10 +384,14 @@ def join_components(docs: DataFrame, row: str | None = None) -> DataFrame:
     more = [row] if row else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     named = cut(node_table(rows))
-    nodes = cut(named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts")))
-    full = nodes.select("node", "first").join(components(links(rows, nodes)), "node", "left")
+    once = named.where("n_shingles > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts"))
+    once = cut(once)
+    shared = np.array([r.node for r in once.groupBy("node").count().where(F.col("count") > 1).select("node").collect()], np.int64)  # chance alone: a handful at 10^10 sets
+    name = F.when(F.col("node").isin(shared.tolist()), F.col("twin")).otherwise(F.col("node")) if len(shared) else F.col("node")
+    nodes = once.withColumn("node", name).drop("twin")
+    full = nodes.select("node", "first").join(components(links(rows, nodes, shared)), "node", "left")
     label = F.coalesce("label", "node")
     least = full.groupBy(label.alias("label")).agg(F.min("first").alias("component_id"))
     full = cut(full.select("node", label.alias("label")).join(least, "label").select("node", "component_id", "label"))
-    out = named.join(full, "node", "left")
+    out = named.withColumn("node", name).join(full, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *([row, "label"] if row else []))

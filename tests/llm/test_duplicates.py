@@ -182,6 +182,32 @@ def test_join_chains_and_large_groups(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows)
 
 
+def test_join_divides_large_cells(spark, monkeypatch):
+    """Families of many members around the threshold, with cells and blocks small enough to be divided."""
+    monkeypatch.setattr(op5_jaccard, "LEAF", 6)
+    monkeypatch.setattr(op5_jaccard, "PIVOTS", 3)
+    monkeypatch.setattr(op5_jaccard, "BLOCK_NODES", 5)
+    rnd = random.Random(11)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{rnd.randrange(5000)}" for _ in range(120)]
+        for _ in range(40):
+            words = base[:]
+            for _ in range(rnd.randrange(1, 9)):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = op5_jaccard.join_components(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows)
+
+
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000))).astype(np.uint64) for _ in range(9)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[2:]] for x in sets[:5]]
+    assert op5_jaccard.intersections(sets[:5], sets[2:]).tolist() == want
+
+
 # --- op7 ----------------------------------------------------------------------------------------------
 @TABLES
 @pytest.mark.parametrize("heavy", [1, 1000])
