@@ -118,7 +118,15 @@ def prefixes(h: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.nda
 
 
 def parts_of(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((mix(h ^ np.uint64(77)) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+    """How much of a set lies in each part of the universe; the number of parts doubles with the size from 8 * PARTS on."""
+    n = PARTS << max(0, (len(h) // (4 * PARTS)).bit_length() - 1)
+    return np.minimum(np.bincount((mix(h ^ np.uint64(77)) % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(parts: list[bytes]) -> np.ndarray:
+    """The parts as rows of one width, the least of any: part k of few is the sum of those of many that are k modulo the few."""
+    width = min(len(x) for x in parts)
+    return np.stack([np.frombuffer(x, np.uint8).astype(np.int16).reshape(-1, width).sum(0, dtype=np.int16) for x in parts])
 
 
 def linked(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -168,18 +176,22 @@ def region_lists(rows: DataFrame, shared: np.ndarray) -> DataFrame:
 def cells_in(table: pa.Table) -> pa.Table:
     """The stars (pivot, node) of the cells of a bucket's regions."""
     of, node, n = (table[c].to_numpy() for c in ("list", "node", "n_shingles"))
-    parts = np.frombuffer(b"".join(table["parts"].to_pylist()), np.uint8).reshape(-1, PARTS)
-    by = np.lexsort((node, of))
-    of, node, n, parts = of[by], node[by], n[by], parts[by].astype(np.int16)
+    sketch = table["parts"].to_pylist()
+    by = np.lexsort((node, n, of))
+    of, node, n, sketch = of[by], node[by], n[by], [sketch[i] for i in by.tolist()]
     found, waiting = [np.empty((0, 2), np.int64)], 0
-    edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        rest = np.arange(s, e)
+    # sizes in a run are near enough for one to follow from the other; where the ratio is broken, no link crosses
+    edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (SHARE * n[1:] > 100 * n[:-1]), True])
+    for first, end in zip(edge[:-1], edge[1:], strict=True):
+        if end - first < 2:
+            continue
+        parts, base = folded(sketch[first:end]), first
+        rest = np.arange(end - first)
         while len(rest) > 1:
             cell, ahead, rest = [rest[:1]], [rest[0]], rest[1:]
             while ahead and len(rest):
                 i = ahead.pop()
-                ok = within(np.abs(parts[rest] - parts[i]).sum(1, dtype=np.int64), n[i], n[rest])
+                ok = within(np.abs(parts[rest] - parts[i]).sum(1, dtype=np.int64), n[base + i], n[base + rest])
                 if ok.any():
                     cell.append(rest[ok])
                     ahead += rest[ok].tolist()
@@ -187,9 +199,9 @@ def cells_in(table: pa.Table) -> pa.Table:
             cell = np.concatenate(cell)
             if len(cell) > 1:
                 off = np.abs(parts[cell] - np.median(parts[cell], axis=0)).sum(1)
-                pivot = cell[np.lexsort((node[cell], off))[0]]
+                pivot = cell[np.lexsort((node[base + cell], off))[0]]
                 others = cell[cell != pivot]
-                found.append(np.stack([np.full(len(others), node[pivot]), node[others]], 1))
+                found.append(np.stack([np.full(len(others), node[base + pivot]), node[base + others]], 1))
                 waiting += len(others)
         if waiting > 1 << 20:  # a star recurs in many regions
             found = [np.unique(np.concatenate(found), axis=0)]
@@ -198,9 +210,14 @@ def cells_in(table: pa.Table) -> pa.Table:
     return pa.table({"pivot": pa.array(stars[:, 0], pa.int64()), "node": pa.array(stars[:, 1], pa.int64())})
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its hashes, for the wanted nodes; texts are read again, and only these sets are shuffled."""
-    wanted = cut(wanted.select("node").distinct().join(nodes.select("node", "key"), "node"))
+def sets_of(rows: DataFrame, stars: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, hashes, leads (is a pivot) and follows (is a member) of the stars' nodes.
+
+    Texts are read again, and only these sets are shuffled.
+    """
+    ends = stars.select("node", F.lit(False).alias("leads"), F.lit(True).alias("follows")).union(stars.select("pivot", F.lit(True), F.lit(False)))
+    ends = ends.groupBy("node").agg(F.max("leads").alias("leads"), F.max("follows").alias("follows"))
+    wanted = cut(ends.join(nodes.select("node", "key"), "node"))
     bits = rows.sparkSession.sparkContext.broadcast(sieve(wanted.select("key")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +228,11 @@ def sets_of(rows: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["key", "hashes"])
 
     built = rows.select("key", "text").mapInArrow(build, "key long, hashes binary")
-    return cut(wanted.join(built, "key").select("node", "hashes").dropDuplicates(["node"]))
+    return cut(wanted.join(built, "key").select("node", "hashes", "leads", "follows").dropDuplicates(["node"]))
 
 
-def measured(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """stars (with pivot and node) and ``both``, the exact size of the intersection."""
+def measured(stars: DataFrame, members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """stars (with pivot and node) and ``both``, the exact size of the intersection of the two sets."""
     at = len(stars.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +245,7 @@ def measured(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stars.schema.fields)
     own = stars.columns
-    joined = stars.join(sets.select("node", F.col("hashes").alias("y")), "node").join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("x")), "pivot")
+    joined = stars.join(members.select("node", F.col("hashes").alias("y")), "node").join(pivots.select(F.col("node").alias("pivot"), F.col("hashes").alias("x")), "pivot")
     return joined.select(*own, "x", "y").mapInArrow(run, f"{types}, both long")
 
 
@@ -254,7 +271,7 @@ def divided(cells: DataFrame, sets: DataFrame, nodes: DataFrame, level: int) ->
     order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(level), "node"), "node")
     fresh = parts.where("straggler").select("cell", F.col("node").alias("pivot"), F.row_number().over(order).alias("k")).where(F.col("k") <= PIVOTS)
     stars = parts.select("cell", "node").join(fresh.select("cell", "pivot"), "cell")  # PIVOTS rows a member
-    counts = cut(measured(stars, sets))
+    counts = cut(measured(stars, sets, sets))
     size = nodes.select("node", "n_shingles")
     counts = counts.join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
     distance = 1 - F.col("both") / (F.col("n_shingles") + F.col("m") - F.col("both"))
@@ -335,7 +352,7 @@ def leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
     left = placed.where(straggler).select(*own, F.pmod(at, "lefts").cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(True).alias("first"))
     right = placed.select(*own, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.pmod(at, "rights").cast("int").alias("right"), F.lit(False).alias("first"))
     bucket = F.pmod(F.xxhash64("cell", "left", "right"), F.lit(n_buckets(cells.sparkSession))).alias("bucket")
-    rows = left.union(right).join(sets, "node").withColumn("bucket", bucket)
+    rows = left.union(right).join(sets.select("node", "hashes"), "node").withColumn("bucket", bucket)
     return rows.groupBy("bucket").applyInArrow(leaf_links, "a long, b long").distinct()
 
 
@@ -344,9 +361,9 @@ def links(rows: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     bucket = F.pmod("list", F.lit(n_buckets(rows.sparkSession))).alias("bucket")
     lists = region_lists(rows, shared).join(nodes.select("node", "n_shingles", "parts"), "node").withColumn("bucket", bucket)
     stars = cut(lists.groupBy("bucket").applyInArrow(cells_in, "pivot long, node long").distinct())
-    sets = sets_of(rows, stars.select("node").union(stars.select("pivot")), nodes)
+    sets = sets_of(rows, stars, nodes)
     size = nodes.select("node", "n_shingles")
-    counted = measured(stars, sets).join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
+    counted = measured(stars, sets.where("follows"), sets.where("leads")).join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
     counted = cut(counted.withColumn("linked", 100 * F.col("both") >= SHARE * (F.col("n_shingles") + F.col("m") - F.col("both"))))
     edges = counted.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     gap = (F.col("n_shingles") + F.col("m") - 2 * F.col("both")).alias("gap")
