@@ -11,7 +11,7 @@ The distance of two sets is 1 - Jaccard; a link is a distance of at most 0.25.
 2. Cells.  The metric of symmetric difference, split by hash over ``PARTS`` parts of the shingle universe, has the
    empty set as a pivot in each part: by the triangle inequality the sum of |distance differences| is at most the
    distance.  Within a region, nodes that this window leaves together, directly or through others, form a cell; its
-   pivot is the document next to its median.  Both ends of each link lie in a cell.  A cell is sent as a star of
+   pivot is the document next to its median (cells that hold each other's pivots become one).  Both ends of each link lie in a cell.  A cell is sent as a star of
    (pivot, member) rows, never as pairs, and the distance of each member to its pivot is computed exactly.
 3. Recursion.  Members that link to a pivot are one cluster.  Only cells whose nodes are in several clusters go on.
    Of these, a cell of more than ``LEAF`` members gets ``PIVOTS`` fresh pivots from its stragglers (the nodes
@@ -49,7 +49,7 @@ WORDS, SHARE = 5, 75
 CELLS, PARTS = 1 << 22, 96
 SENT = "bucket int, low binary, high binary, nodes binary"
 SLICE = 8 << 20
-LEAF, PIVOTS, LEVELS = 512, 8, 2
+LEAF, PIVOTS, LEVELS = 512, 4, 2
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
 
 
@@ -174,12 +174,12 @@ def region_lists(rows: DataFrame, shared: np.ndarray) -> DataFrame:
 
 
 def cells_in(table: pa.Table) -> pa.Table:
-    """The stars (pivot, node) of the cells of a bucket's regions."""
+    """The stars (pivot, node) of the cells of a bucket's regions, and in how many regions n."""
     of, node, n = (table[c].to_numpy() for c in ("list", "node", "n_shingles"))
     sketch = table["parts"].to_pylist()
     by = np.lexsort((node, n, of))
     of, node, n, sketch = of[by], node[by], n[by], [sketch[i] for i in by.tolist()]
-    found, waiting = [np.empty((0, 2), np.int64)], 0
+    found = [np.empty((0, 2), np.int64)]
     # sizes in a run are near enough for one to follow from the other; where the ratio is broken, no link crosses
     edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (SHARE * n[1:] > 100 * n[:-1]), True])
     for first, end in zip(edge[:-1], edge[1:], strict=True):
@@ -202,12 +202,23 @@ def cells_in(table: pa.Table) -> pa.Table:
                 pivot = cell[np.lexsort((node[base + cell], off))[0]]
                 others = cell[cell != pivot]
                 found.append(np.stack([np.full(len(others), node[base + pivot]), node[base + others]], 1))
-                waiting += len(others)
-        if waiting > 1 << 20:  # a star recurs in many regions
-            found = [np.unique(np.concatenate(found), axis=0)]
-            waiting = 0
-    stars = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"pivot": pa.array(stars[:, 0], pa.int64()), "node": pa.array(stars[:, 1], pa.int64())})
+    stars, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return pa.table({"pivot": pa.array(stars[:, 0], pa.int64()), "node": pa.array(stars[:, 1], pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def merged(stars: DataFrame, rounds: int = 2) -> DataFrame:
+    """stars (pivot, node, n) with each cell moved as a whole to the most elected pivot among its own nodes.
+
+    The regions of a family may elect different pivots; cells that hold each other's pivots become one.
+    """
+    stars = cut(stars.groupBy("pivot", "node").agg(F.sum("n").alias("n")))
+    for _ in range(rounds):
+        score = stars.groupBy("pivot").agg(F.sum("n").alias("score"))
+        own = stars.select("pivot", "node").union(stars.select("pivot", "pivot").distinct())
+        best = own.join(score.select(F.col("pivot").alias("node"), "score"), "node").groupBy("pivot").agg(F.max(F.struct("score", "node"))["node"].alias("best"))
+        moved = stars.join(best, "pivot").select("best", "node", "n").union(best.select("best", "pivot", F.lit(1).cast("long")))
+        stars = cut(moved.where("best != node").groupBy(F.col("best").alias("pivot"), "node").agg(F.sum("n").alias("n")))
+    return stars.select("pivot", "node")
 
 
 def sets_of(rows: DataFrame, stars: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,7 +265,7 @@ def still_open(cells: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFram
 
     A straggler is outside the cell's largest cluster.
     """
-    labels = components(edges)
+    labels = components(edges, 3)
     full = cells.join(nodes.select("node", "n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = full.groupBy("cell", "label").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("cell").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("clusters")).where("clusters > 1")
@@ -360,7 +371,7 @@ def links(rows: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links; rows has key and text."""
     bucket = F.pmod("list", F.lit(n_buckets(rows.sparkSession))).alias("bucket")
     lists = region_lists(rows, shared).join(nodes.select("node", "n_shingles", "parts"), "node").withColumn("bucket", bucket)
-    stars = cut(lists.groupBy("bucket").applyInArrow(cells_in, "pivot long, node long").distinct())
+    stars = merged(lists.groupBy("bucket").applyInArrow(cells_in, "pivot long, node long, n long"))
     sets = sets_of(rows, stars, nodes)
     size = nodes.select("node", "n_shingles")
     counted = measured(stars, sets.where("follows"), sets.where("leads")).join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
