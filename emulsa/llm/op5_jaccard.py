@@ -17,6 +17,7 @@ The distance of two sets is 1 - Jaccard; a link is a distance of at most 0.25.
    Of these, a cell of more than ``LEAF`` members gets ``PIVOTS`` fresh pivots from its stragglers (the nodes
    outside its largest cluster).  Each member belongs to the Voronoi region of its nearest one, and is replicated to
    those no further away than the nearest by twice the distance of a link, as the triangle inequality asks for.
+   This is repeated on the regions; a cell that lies too close together to be halved stays whole.
 4. Leaves.  Of a cell still open, stragglers meet all members in blocks of bounded size, where intersections are
    counted exactly; what the difference of their distances to the pivot rules out is left out, and one link for each straggler and
    cluster comes back.
@@ -49,7 +50,7 @@ WORDS, SHARE = 5, 75
 CELLS, PARTS = 1 << 22, 96
 SENT = "bucket int, low binary, high binary, nodes binary"
 SLICE = 8 << 20
-LEAF, PIVOTS, LEVELS = 512, 4, 2
+LEAF, PIVOTS, LEVELS, FEW = 4096, 4, 4, 1 << 18
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
 
 
@@ -272,29 +273,37 @@ def still_open(cells: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFram
     return cut(full.join(largest, "cell").select("cell", "node", "gap", "n_shingles", "label", (F.col("label") != F.col("largest")).alias("straggler")))
 
 
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of these nodes; at most ``FEW`` names are broadcast, more are joined."""
+    nodes = cut(nodes.select("node").distinct())
+    return sets.join(F.broadcast(nodes) if nodes.count() <= FEW else nodes, "node", "left_semi").select("node", "hashes")
+
+
 def divided(cells: DataFrame, sets: DataFrame, nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """(cells, links to the fresh pivots): large cells of ``still_open`` as Voronoi regions of fresh pivots.
 
     A region has those nearest to its pivot and, by the triangle inequality, all that a link of theirs can reach.
+    A cell that this doesn't halve, as its members lie within that reach of each other, stays whole.
     """
-    large = cells.groupBy("cell").count().where(F.col("count") > LEAF).select("cell")
-    parts = cells.join(large, "cell")
+    large = cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > LEAF)
+    parts = cut(cells.join(large, "cell"))
     order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(level), "node"), "node")
     fresh = parts.where("straggler").select("cell", F.col("node").alias("pivot"), F.row_number().over(order).alias("k")).where(F.col("k") <= PIVOTS)
-    stars = parts.select("cell", "node").join(fresh.select("cell", "pivot"), "cell")  # PIVOTS rows a member
-    counts = cut(measured(stars, sets, sets))
+    fresh = cut(fresh.select("cell", "pivot"))
+    stars = parts.select("cell", "node", "gap", "members").join(fresh, "cell")  # PIVOTS rows a member
+    counts = measured(stars, only(sets, parts), only(sets, fresh.select(F.col("pivot").alias("node"))))
     size = nodes.select("node", "n_shingles")
-    counts = counts.join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot")
-    distance = 1 - F.col("both") / (F.col("n_shingles") + F.col("m") - F.col("both"))
-    counts = counts.withColumn("distance", distance)
+    counts = cut(counts.join(size, "node").join(size.select(F.col("node").alias("pivot"), F.col("n_shingles").alias("m")), "pivot"))
+    counts = counts.withColumn("distance", 1 - F.col("both") / (F.col("n_shingles") + F.col("m") - F.col("both")))
     near = counts.groupBy("cell", "node").agg(F.min("distance").alias("least"))
     reach = 2 * (1 - SHARE / 100) + 1e-9
-    regions = counts.join(near, ["cell", "node"]).where(F.col("distance") <= F.col("least") + reach)
+    regions = cut(counts.join(near, ["cell", "node"]).where(F.col("distance") <= F.col("least") + reach))
+    halved = regions.groupBy("cell", "pivot").agg(F.count("*").alias("n"), F.first("members").alias("members")).groupBy("cell").agg(F.max(F.col("n") * 2 > F.col("members")).alias("whole"))
     gap = F.col("n_shingles") + F.col("m") - 2 * F.col("both")
-    regions = regions.select(F.xxhash64("cell", "pivot", F.lit(level)).alias("cell"), "node", gap.alias("gap"))
-    kept = cells.join(large, "cell", "left_anti").select("cell", "node", "gap")
+    new = regions.join(halved.where("not whole"), "cell", "left_semi").select(F.xxhash64("cell", "pivot", F.lit(level)).alias("cell"), "node", gap.alias("gap"))
+    old = cells.join(halved.where("not whole"), "cell", "left_anti").select("cell", "node", "gap")
     close = counts.where((F.col("both") * 100 >= SHARE * (F.col("n_shingles") + F.col("m") - F.col("both"))) & (F.col("node") != F.col("pivot")))
-    return cut(kept.union(regions)), close.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return cut(old.union(new)), close.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -363,7 +372,7 @@ def leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
     left = placed.where(straggler).select(*own, F.pmod(at, "lefts").cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(True).alias("first"))
     right = placed.select(*own, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.pmod(at, "rights").cast("int").alias("right"), F.lit(False).alias("first"))
     bucket = F.pmod(F.xxhash64("cell", "left", "right"), F.lit(n_buckets(cells.sparkSession))).alias("bucket")
-    rows = left.union(right).join(sets.select("node", "hashes"), "node").withColumn("bucket", bucket)
+    rows = left.union(right).join(only(sets, cells), "node").withColumn("bucket", bucket)
     return rows.groupBy("bucket").applyInArrow(leaf_links, "a long, b long").distinct()
 
 
@@ -380,8 +389,10 @@ def links(rows: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     gap = (F.col("n_shingles") + F.col("m") - 2 * F.col("both")).alias("gap")
     cells = counted.select(F.col("pivot").alias("cell"), "node", gap).union(counted.select("pivot", "pivot", F.lit(0).cast("long")).distinct())
     cells = still_open(cells, edges, nodes)
+    most = 0
     for level in range(LEVELS):
-        if cells.groupBy("cell").count().where(F.col("count") > LEAF).isEmpty():
+        last, most = most, cells.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        if most <= LEAF or most == last:
             break
         parts, close = divided(cells, sets, nodes, level)
         edges = cut(edges.union(close))
