@@ -15,8 +15,8 @@ contexts around equal anchors finds every repeat, while about one position in 35
 3. The spans go back to their documents, whose text is read again.  Texts that have no span, or no open
    anchor in step 2, are sifted out where they are read and not shuffled.
 
-Order: by id (null first), then by the text's hash where ids repeat or are null (such input is numbered
-in one sort of ids and hashes).  Rows that agree in everything count as one after another.  Null text:
+Order: by id (null first), then by the text's hash where ids repeat or are null (such input is sorted in
+ranges and numbered within them).  Rows that agree in everything count as one after another.  Null text:
 empty.  Texts under LENGTH bytes lose nothing.  Only id and text are read.
 """
 
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.llm.common import cut, filled, mix, n_buckets, packed, slices, unpacked
@@ -208,9 +208,17 @@ def numbered(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     ids = rows.select("doc_id").groupBy("doc_id").count().where("doc_id is null or count > 1")
     if ids.isEmpty():
         return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text", *more)
-    rows = cut(rows.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("m"), "doc_id", "text", *more))
-    order = rows.select("m", F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_first(), "h", "m")).cast("long").alias("uid"))
-    return rows.join(order, "m").select("uid", "doc_id", "text", *more)
+    hashed = rows.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "text", *more)
+    order = [F.col("doc_id").asc_nulls_first(), "h", "text"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of rows, each sorted; a row's number is the size of the ranges before its own and its place there
+    ranged = cut(hashed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h"))
+    placed = ranged.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"), "doc_id", "text", *more)
+    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # one row a partition
+    before = [0]
+    for k in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(k, 0))
+    return placed.select((F.get(F.lit(before).cast("array<bigint>"), F.col("part")) + F.col("place")).alias("uid"), "doc_id", "text", *more)
 
 
 def spans(rows: DataFrame) -> DataFrame:

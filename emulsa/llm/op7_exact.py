@@ -3,8 +3,9 @@
 Texts are compared after deleting ASCII white space, by SHA-256.  A Misra-Gries summary (Spark's
 ``approx_top_k`` keeps one of ``TRACKED`` counters) names candidates for frequent digests: any digest
 with more than rows / TRACKED copies is among them.  Exact aggregation over the candidates' rows, combined
-map-side, verifies their winners; at most ``HEAVY`` winners are broadcast, so copies of frequent texts are
-settled where they are read.  All other digests have few copies each and go through one shuffle.
+map-side, verifies their winners; at most ``HEAVY`` winners (2 MB or so) are broadcast, so copies of frequent texts are
+settled where they are read.  All other digests have at most rows / TRACKED copies each; they are combined map-side
+into one row a digest, which an ordinary join brings back to its copies.
 
 Of equal texts the row with the most code points stays, then the smallest id (null before all others).
 Null text: empty.  Rows that agree in everything: each is reported, and all of the winner's id count as
@@ -13,12 +14,12 @@ kept.  An empty table gives an empty result.  Only id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.llm.common import cut
 
-HEAVY, TRACKED = 1000, 16384
+HEAVY, TRACKED = 16384, 16384
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -47,9 +48,9 @@ def deduplicate(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED, row
     winners = cut(winners.where("group_size > 1"))  # at most ``heavy`` rows
     marked = rows.join(F.broadcast(winners), "text_sha256", "left")
     settled = marked.where("best is not null")
-    same = Window.partitionBy("text_sha256")
     others = marked.where("best is null").drop("best", "group_size")
-    others = others.withColumn("best", least.over(same)).withColumn("group_size", F.count("*").over(same))
+    rest = others.groupBy("text_sha256").agg(best, F.count("*").alias("group_size"))  # combined map-side
+    others = others.join(rest, "text_sha256")
     return settled.unionByName(others).select(
         "doc_id",
         F.col("best.keep_id").alias("keep_id"),

@@ -4,15 +4,19 @@ A linear model over word-shape features minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with logistic loss, full-batch gradient steps, and, where the bracket is negative, a step back along it.
 Trusted positives are labelled good rows; unlabelled ones are rows whose labels are not looked at.  The
-class prior is estimated from the training labels (their share of good rows).
+class prior is estimated as the share of good rows among the training labels, not from the unlabelled text.
+After the fit the constant is moved, so that ``THRESHOLD`` lies where the prior's share of unlabelled rows
+passes, or where all but ``LEAST`` of the trusted positives do, if that is lower.
 
-Both are drawn, by a hash of the id, from all rows: at most ``SAMPLE`` each (a documented bound, as only
+Both are drawn, by a hash of id and text, from all rows: at most ``SAMPLE`` each (a documented bound, as only
 the fit uses them).  Every row is scored.  Features: shares of word shapes (letters folded to a, A, é;
 digits to 0; runs collapsed) hashed to ``SHAPES`` cells, and a few statistics of repetition, length and
 case; each as a share and, where it matters if it occurs at all, as log(1 + count).
 
 Null or empty text: all features 0 but the constant and the mark of emptiness.  Without labelled rows the
-score is the prior 0.5 everywhere.  Repeated rows are scored each.  Columns beside id and text are not read.
+score is 0.5 everywhere.  Repeated rows are scored each, rows with a null id too.  Very long texts are read
+whole, one in a slice.  An empty table gives an empty result.  Columns beside id and text are not read, whatever
+their names (but ``__score``, which is ours).
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ def shapes(words: pa.Array) -> np.ndarray:
     s = pc.replace_substring_regex(s, r"[\p{Ll}á]+", "a")
     s = pc.replace_substring_regex(s, r"[AÁ]{2,}", "AA")
     d = s.dictionary_encode()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w[:12]) % SHAPES for w in d.dictionary.to_pylist()), np.int64, len(d.dictionary))
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) % SHAPES for w in d.dictionary.to_pylist()), np.int64, len(d.dictionary))
     return h[d.indices.to_numpy(zero_copy_only=False)] if len(d) else np.empty(0, np.int64)
 
 
@@ -96,15 +100,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
     return w, scale
 
 
-def sampled(docs: DataFrame, ids: DataFrame, size: int) -> np.ndarray:
-    """Features of the rows of at most ``size`` ids, the first by a hash."""
-    chosen = ids.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(size)
+def sampled(docs: DataFrame, size: int) -> np.ndarray:
+    """Features of at most ``size`` rows, the first by a hash of id and text."""
+    chosen = docs.orderBy(F.xxhash64(F.lit(17), "doc_id", "text"), "doc_id").limit(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in features(batch.column(0))], pa.binary())], names=["f"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(run, "f binary").collect()
+    rows = chosen.select("text").mapInArrow(run, "f binary").collect()  # ``size`` rows at most
     return np.stack([np.frombuffer(bytes(r.f), np.float32) for r in rows]) if rows else np.empty((0, WIDTH), np.float32)
 
 
@@ -114,42 +118,43 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     seen = labels.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count("*").alias("n")).first()
     if not seen.n or not seen.good:
         return None
-    positive = sampled(docs, labels.where("quality = 1").select("doc_id").distinct(), sample)
-    unlabelled = sampled(docs, docs.select("doc_id"), sample)
+    positive = sampled(docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), sample)
+    unlabelled = sampled(docs, sample)
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled, seen.good / seen.n)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row."""
+def scorer(model):
+    """A column function: the score of each text under the broadcast model."""
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in texts:
+            out = [np.empty(0)]
+            for batch in slices(iter([pa.RecordBatch.from_arrays([col], names=["text"])])):
+                if model.value is None:
+                    out.append(np.full(batch.num_rows, 0.5))
+                else:
+                    w, scale = model.value
+                    out.append(sigmoid((features(batch.column(0)) / scale) @ w).astype(np.float64))
+            yield pa.array(np.concatenate(out))
+
+    return score
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """docs with ``__score``; only texts go to Python, and one number a row comes back."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))  # two vectors of WIDTH numbers
+    return docs.withColumn("__score", scorer(model)(F.col("text")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            if model.value is None:
-                score = np.full(batch.num_rows, 0.5)
-            else:
-                w, scale = model.value
-                score = sigmoid((features(batch.column(batch.num_columns - 1)) / scale) @ w)
-            cols = [*batch.columns[:-1], pa.array(score.astype(np.float64)), pa.array((score >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row."""
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample)
+    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            if model.value is not None:
-                w, scale = model.value
-                batch = batch.filter(pa.array(sigmoid((features(batch.column(at)) / scale) @ w) >= THRESHOLD))
-            if batch.num_rows:
-                yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+    return scored(docs, labels, sample).where(F.col("__score") >= THRESHOLD).drop("__score")

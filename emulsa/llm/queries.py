@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emulsa.llm import op1_sstable, op2_spotsigs, op3_lm, op4_lines, op5_jaccard, op6_packing, op7_exact, op8_bpe, op9_quality, op10_suffix
+from emulsa.llm import op1_sstable, op2_spotsigs, op3_lm, op4_lines, op5_jaccard, op6_packing, op7_exact, op8_bpe, op9_quality, op10_suffix, pipeline
 from emulsa.llm.common import documents
 
 
@@ -51,10 +51,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = [op1_sstable_shards, op2_spotsigs_fingerprints, op3_bloom_lm, op4_line_chunks, op5_jaccard_join, op6_pattern_packing, op7_exact_dedup, op8_forced_boundary_bpe, op9_pu_quality, op10_suffix_dedup]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
