@@ -1,70 +1,5 @@
-"""Corpus pipeline: quality classifier, exact dedup, near dedup, passage dedup, packing.
-
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
-Ids may be null or repeated: decisions come back by a hash of all columns, and of rows that agree in
-everything ``exact`` and ``near`` keep one.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from emulsa.llm import op5_jaccard, op6_packing, op7_exact, op9_quality, op10_suffix
-from emulsa.llm.common import ROW, cut, shared_dir, with_row
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return op9_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of docs for each ``ROW`` in kept."""
-    return with_row(docs).join(kept.select(ROW), ROW, "left_semi").dropDuplicates([ROW]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, one stays."""
-    return rows_of(docs, op7_exact.deduplicate(with_row(docs), row=ROW).where("kept"))
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, its least id stays (null last); a text without shingles stays."""
-    found = cut(op5_jaccard.join_components(with_row(docs), row=ROW))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    winners = found.where("label is not null").groupBy("label").agg(least.alias(ROW))
-    return rows_of(docs, winners.select(ROW).union(found.where("label is null").select(ROW)))
-
-
-def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier are cut out of the text."""
-    return op10_suffix.deduplicate_texts(docs)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, packed into sequences."""
-    return op6_packing.pack(docs)
-
-
-STAGES = [("quality", quality), ("exact", exact), ("near", near), ("passages", passages), ("packing", packing)]
-
-#: A learned model and similarity components are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+"""Corpus pipeline: the stages of ``emulsa.llm.pipeline`` under the name that the driver imports."""
 
+from emulsa.llm.pipeline import ORACLE_SQL, STAGES, run
 
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
