@@ -4,10 +4,14 @@ Counting: every batch sends its distinct words and word pairs, as 64-bit hashes
 by hash; a bucket adds them up.  A bucket's filter holds for each n-gram its quantised count
 q = 1 + floor(log_BASE c): the n-gram is inserted at levels 1 to q.  A count is read back by probing
 levels 1, 2, ... until one is absent.  A filter is sized by its own n-grams, and every pair is in it.
+The number of buckets follows the bytes of the training texts, so that no score depends on the cluster.
 
 Score of a token w after v (the start of a text is a word of its own):
-    P(w | v) = k(v) c(v,w) / c(v) + (1 - k(v)) (c(w) + 0.1) / (N + 0.1 (V + 1)),  k(v) = STRONG c(v) / (c(v) + WEAK)
-with counts from the filters, so that a sum over w is about 1.
+    P(w | v) = k(v) c(v,w) / (c(v) + F) + (1 - k(v)) (c(w) + 0.1) / (N + 0.1 (V + 1)),  k(v) = STRONG c(v) / (c(v) + F + WEAK)
+with counts from the filters.  F = f V is what false hits add to the counts after v in the mean, f being the
+filters' rate of false hits, measured from their fill: the first term sums to k(v) over all known words, false hits
+included, and rare words, whose few true pairs false hits would outweigh, fall back on the second term.  So a sum
+over w is 1 but for the quantised counts and chance; tests hold it between 0.8 and 1.25.
 
 Filters stay in their buckets.  Broadcast are only the levels of at most ``FREQUENT`` words (those that make
 up more than N / FREQUENT of all tokens each, with their exact counts for the base) and of ``FREQUENT_PAIRS``
@@ -17,8 +21,9 @@ order.  What is broadcast is read from the same filters, so the two limits chang
 
 Words have 64-bit hashes, pairs 48-bit ones.
 
-Null text: empty, one end token.  Repeated rows are scored each; ids may be null or repeated.  With no
-training rows N = V = 0 and every token has the base probability of an unseen one.  Only id and text are read.
+Null text: empty, one end token.  Repeated rows are scored each; ids may be null or repeated.  Very long texts are
+read whole, one in a batch.  With no training rows N = V = 0 and every token has the base probability of an unseen
+one.  An empty table gives an empty result.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -32,10 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import crc_mod, cut, filled, hash_strings, mix, n_buckets, packed, slices, split_words, unpacked
+from emulsa.llm.common import crc_mod, cut, filled, hash_strings, mix, packed, slices, split_words, unpacked
 
-BASE, PROBES, BITS = 1.35, 4, 8
-FREQUENT, FREQUENT_PAIRS, MIN_PAIRS = 1 << 20, 1 << 21, 1
+BASE, PROBES, BITS = 1.35, 8, 16
+FREQUENT, FREQUENT_PAIRS = 1 << 20, 1 << 21
+BUCKET, WIDE_BUCKET, MANY = 2 << 20, 64 << 20, 4096
 STRONG, WEAK = 0.75, 4.0
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK, SLICE = 1 << 19, 8 << 20
@@ -91,31 +97,30 @@ def level_counts(n: int = 160) -> np.ndarray:
     return np.r_[0.0, np.sqrt(low * high)]
 
 
-def positions(h: np.ndarray, level: np.ndarray, n_bits: np.ndarray) -> np.ndarray:
-    """PROBES bit positions (rows) of each (n-gram, level)."""
-    x = mix(h + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    y = mix(x) | np.uint64(1)
-    return np.stack([(x + np.uint64(i) * y) % n_bits.astype(np.uint64) for i in range(PROBES)])
-
-
-def build_filter(h: np.ndarray, counts: np.ndarray, is_pair: np.ndarray, budget: int | None = None) -> tuple[bytes, int]:
-    """(bits, lowest kept pair count); only with a budget are pairs left out, and no word while a pair is kept."""
-    level = levels(counts) if len(counts) else counts
-    least = MIN_PAIRS
-    while True:
-        keep = ~is_pair | (counts >= least)
-        size = int(level[keep].sum()) * BITS // 8 + 8
-        if budget is None or size <= budget or not (is_pair & keep).any():
-            break
-        least = least + max(1, least // 4)
-    size = size if budget is None else min(size, max(budget, 8))
+def start_and_step(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """What the PROBES bit positions (start + i * step) of each (n-gram, level) follow from."""
+    x = mix(h + np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return x, mix(x) | np.uint64(1)
+
+
+def build_filter(h: np.ndarray, counts: np.ndarray) -> bytes:
+    """The filter's bits, BITS of them for each n-gram and level."""
+    left = levels(counts) if len(counts) else np.zeros(0, np.int64)
+    size = int(left.sum()) * BITS // 8 + 8
     bits = np.zeros(size * 8, bool)
-    left, of = level[keep].copy(), h[keep]
-    while len(of):
-        bits[positions(of, left, np.full(len(of), size * 8)).ravel()] = True
-        left -= 1
-        of, left = of[left > 0], left[left > 0]
-    return np.packbits(bits, bitorder="little").tobytes(), least
+    while len(h):
+        x, step = start_and_step(h, left)
+        for i in range(PROBES):
+            bits[(x + np.uint64(i) * step) % np.uint64(size * 8)] = True
+        left = left - 1
+        h, left = h[left > 0], left[left > 0]
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def false_hits(bits: bytes) -> float:
+    """The rate at which the filter takes an absent n-gram for one of level 1."""
+    raw = np.frombuffer(bits, np.uint8)
+    return float((np.bitwise_count(raw).sum(dtype=np.int64) / (8 * len(raw))) ** PROBES)
 
 
 def side_by_side(parts: dict[int, bytes], n: int) -> tuple[np.ndarray, bytes]:
@@ -134,9 +139,17 @@ class Filters:
         self.value = level_counts()
 
     def has(self, h: np.ndarray, level: int) -> np.ndarray:
-        b = bucket_of(h, self.n)
-        at = positions(h, np.full(len(h), level), self.bits[b]).astype(np.int64) + self.first[b]
-        return ((self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
+        """Probe by probe, each only for those that all before have hit."""
+        b = bucket_of(h, self.n) if self.n > 1 else np.zeros(len(h), np.int32)
+        size, first = self.bits[b].astype(np.uint64), self.first[b]
+        x, step = start_and_step(h, level)
+        alive = np.arange(len(h))
+        for i in range(PROBES):
+            at = ((x[alive] + np.uint64(i) * step[alive]) % size[alive]).astype(np.int64) + first[alive]
+            alive = alive[((self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)]
+        out = np.zeros(len(h), bool)
+        out[alive] = True
+        return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels of n-grams, from repeated membership probes; 0 for those that are absent."""
@@ -163,11 +176,17 @@ def looked_up(h: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.
 
 
 PACKED = "bucket int, hashes binary, counts binary, pair_low binary, pair_high binary, pair_counts binary"
-COUNTED = "bucket int, hashes binary, counts binary, often binary, often_levels binary, filter binary, n_tokens long, n_words long"
+COUNTED = "bucket int, hashes binary, counts binary, often binary, often_levels binary, filter binary, n_tokens long, n_words long, false_hits double"
 ASKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("h0", "h1", "h2")), ("slice", pa.int32())])
 ANSWERED = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """One bucket for each BUCKET bytes of text, and from MANY buckets on for each WIDE_BUCKET bytes; 16 at least."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(16, min(-(-size // BUCKET), MANY), -(-size // WIDE_BUCKET))
+
+
 def train(docs: DataFrame, n: int) -> DataFrame:
     """One row for each bucket: its words with exact counts, its filter, and its frequent pairs; counts of all rows of docs."""
 
@@ -196,11 +215,10 @@ def train(docs: DataFrame, n: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         h, c = summed(unpacked(table["hashes"], "<u8"), unpacked(table["counts"], "<u4"))
         p, d = summed(from_planes(unpacked(table["pair_low"], "<u4"), unpacked(table["pair_high"], "<u2")), unpacked(table["pair_counts"], "<u4"))
-        kept = d >= MIN_PAIRS
-        bits, _ = build_filter(np.r_[h, p[kept]], np.r_[c, d[kept]], np.r_[np.zeros(len(h), bool), np.ones(int(kept.sum()), bool)])
+        bits = build_filter(np.r_[h, p], np.r_[c, d])
         often = p[d > int(d.sum()) // max(1, FREQUENT_PAIRS // n)]
         columns = {"hashes": h, "counts": c.astype("<i8"), "often": often, "often_levels": Filters(np.array([len(bits)]), bits).levels(often).astype("u1")}
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in columns.items()} | {"filter": pa.array([bits], pa.binary()), "n_tokens": pa.array([int(c.sum())], pa.int64()), "n_words": pa.array([len(h)], pa.int64())})
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in columns.items()} | {"filter": pa.array([bits], pa.binary()), "n_tokens": pa.array([int(c.sum())], pa.int64()), "n_words": pa.array([len(h)], pa.int64()), "false_hits": pa.array([false_hits(bits)], pa.float64())})
 
     return docs.select("text").mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(add, COUNTED)
 
@@ -208,10 +226,12 @@ def train(docs: DataFrame, n: int) -> DataFrame:
 def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> DataFrame:
     """Scores of every row of docs under a model of all rows of training."""
     spark = docs.sparkSession
-    n = n_buckets(spark)
+    n = buckets_for(training)
     model = cut(train(training, n))
-    total = model.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v")).first()
+    rate = F.avg(F.round(F.col("false_hits") * 1e12).cast("long")) * 1e-12  # whole numbers, so that the order of summing is no matter
+    total = model.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), rate.alias("f")).first()
     n_train, n_words = total.n or 0, total.v or 0
+    false_mass = (total.f or 0.0) * n_words
     above = n_train // FREQUENT
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,16 +259,15 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
         pair, back = np.unique(pairs(h, codes, offsets)[1], return_inverse=True)
         return offsets, (codes, h, hit, level, looked_up(h, words, counts)[1]), (back, pair, *looked_up(pair, pair_table, pair_levels))
 
-    def open_hashes(table: pa.Table) -> np.ndarray:
+    def open_hashes(parts: Iterator[tuple]) -> np.ndarray:
         """The distinct n-grams of a slice that aren't broadcast, ascending, whatever the order of its rows."""
         found = np.empty(0, np.uint64)
-        for batch in slices(table.select(["text"]).to_batches(), most=SLICE):
-            _, (codes, h, hit, *_), (_, pair, pair_hit, _) = read(batch.column(0))
+        for _, (codes, h, hit, *_), (_, pair, pair_hit, _) in parts:
             found = np.unique(np.concatenate([found, h[~hit & (np.bincount(codes, minlength=len(h)) > 0)], pair[~pair_hit]]))
         return found
 
     def ask(table: pa.Table) -> pa.Table:
-        h = open_hashes(table)
+        h = open_hashes(read(x.column(0)) for x in slices(table.select(["text"]).to_batches(), most=SLICE))
         parts = [x.append_column("slice", pa.array([table["slice"][0].as_py()] * x.num_rows, pa.int32())) for x in packed(bucket_of(h, n), planes(h))]
         return pa.Table.from_batches(parts, schema=ASKED)
 
@@ -267,14 +286,16 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         value = level_counts()
-        asked = open_hashes(table)
+        batches = list(slices(table.select(["doc_id", "text", "held_out"]).to_batches(), most=SLICE))
+        texts = [read(x.column(1)) for x in batches] if table.nbytes <= 4 * SLICE else None  # a large slice is read twice
+        asked = open_hashes(texts or (read(x.column(1)) for x in batches))
         levels, exact = np.empty(len(asked), np.uint8), np.empty(len(asked), np.int64)
         if len(asked):
             told, order = told.sort_by("bucket"), np.argsort(bucket_of(asked, n), kind="stable")
             levels[order], exact[order] = unpacked(told["levels"], "u1"), unpacked(told["counts"], "<u4")
         out = []
-        for batch in slices(table.select(["doc_id", "text", "held_out"]).to_batches(), most=SLICE):
-            offsets, (codes, h, hit, level, count), (back, pair, pair_hit, pair_level) = read(batch.column(1))
+        for k, batch in enumerate(batches):
+            offsets, (codes, h, hit, level, count), (back, pair, pair_hit, pair_level) = texts[k] if texts else read(batch.column(1))
             level, count = np.where(hit, level, looked_up(h, asked, levels)[1]), np.where(hit, count, looked_up(h, asked, exact)[1])
             pair_level = np.where(pair_hit, pair_level, looked_up(pair, asked, levels)[1])
             first = offsets[:-1]
@@ -284,8 +305,8 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
             of_before[1:] = c1[codes[:-1]]
             of_before[first] = c1[-1]  # as many starts as ends
             c2 = np.minimum(value[pair_level][back], of_before)
-            k = np.where(of_before > 0, STRONG * of_before / (of_before + WEAK), 0)
-            p = k * c2 / np.maximum(of_before, 1) + (1 - k) * base[codes]
+            trust = STRONG * of_before / (of_before + false_mass + WEAK)
+            p = trust * c2 / np.maximum(of_before + false_mass, 1) + (1 - trust) * base[codes]
             out.append(pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64)[codes], first), pa.int64()), pa.array(np.full(batch.num_rows, n_train), pa.int64()),
                  pa.array(np.add.reduceat(np.log10((count + 0.1) / scale)[codes], first)), pa.array(np.add.reduceat(np.log10(p), first))],

@@ -12,6 +12,7 @@ import xxhash
 from tests.llm.conftest import plain
 
 from emulsa.llm import op2_spotsigs, op4_lines, op5_jaccard, op7_exact, op10_suffix
+from emulsa.llm.common import mix
 
 TABLES = pytest.mark.parametrize("table", ["docs", "edges", "empty"])
 
@@ -94,16 +95,13 @@ def test_line_chunks(table, request):
     bodies, seen = defaultdict(list), {}
     for d, t in rows:
         lines = t.split("\n")
-        h = xxhash.xxh3_64_intdigest
-        at, cuts = 0, []
-        for i in range(len(lines)):
-            rolling = sum(h(lines[j]) * 0x9E3779B97F4A7C15 ** (i - j) for j in range(max(0, i - 2), i + 1)) % (1 << 64)
-            if i + 1 - at >= 64 or i + 1 - at >= 2 and (rolling >> 32) % 8 == 0:
-                cuts.append((at, i + 1))
-                at = i + 1
-        if at < len(lines):
-            cuts.append((at, len(lines)))
-        assert op4_lines.chunks(t) == cuts
+        r = []
+        for i in range(len(lines)):  # mixed hash of each line and the one before it
+            x = sum(xxhash.xxh3_64_intdigest(lines[j]) * 0x9E3779B97F4A7C15 ** (i - j) for j in range(max(0, i - 1), i + 1)) % (1 << 64)
+            r.append(int(mix(np.array([x], np.uint64))[0]))
+        ends = [i + 1 for i in range(1, len(lines) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]]
+        cuts = list(zip([0, *ends], [*ends, len(lines)], strict=True))
+        assert op4_lines.chunks(lines) == cuts
         seen[d, t] = [(k, e - s, "\n".join(lines[s:e]), lines[s:e]) for k, (s, e) in enumerate(cuts)]
         for k, n, body, _ in seen[d, t]:
             if n > 1:
@@ -124,10 +122,23 @@ def test_line_chunks(table, request):
 def test_chunks_survive_insertions():
     rnd = random.Random(2)
     lines = [f"line {rnd.random()}" for _ in range(400)]
-    cut = lambda ls: {"\n".join(ls[s:e]) for s, e in op4_lines.chunks("\n".join(ls))}
+    cut = lambda ls: {"\n".join(ls[s:e]) for s, e in op4_lines.chunks(ls)}
     assert len(cut(lines) & cut([*lines[:200], "new", *lines[200:]])) >= len(cut(lines)) - 3
 
 
+def test_shared_passages_in_different_texts(spark):
+    """Passages of twelve lines inside otherwise different texts go but for their ends; a hot one goes everywhere but once."""
+    rnd = random.Random(5)
+    own = lambda k: [f"own {rnd.random()}" for _ in range(k)]
+    passage = own(12)
+    rows = [(k, "\n".join(own(rnd.randrange(3, 9)) + passage + own(rnd.randrange(3, 9)))) for k in range(40)]
+    got = {r.doc_id: r for r in op4_lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and got[0].text == rows[0][1]
+    removed = {got[k].n_removed for k in range(1, 40)}
+    assert all(4 <= n <= 12 for n in removed)
+    assert all(set(rows[k][1].split("\n")) - set(got[k].text.split("\n")) <= set(passage) for k in range(40))
+
+
 # --- op5 ----------------------------------------------------------------------------------------------
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))

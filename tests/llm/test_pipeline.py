@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from emulsa.llm import pipeline as corpus_pipeline
 
 
 def rows(df):
