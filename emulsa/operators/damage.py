@@ -80,9 +80,8 @@ def rule_detector(pixels: DataFrame, sensitivity: float = 0.2) -> DataFrame:
     floor, low, line_at = 0.90 - 0.15 * s, 0.0015 + 0.0035 * s, 0.35 - 0.20 * s
     faded = 0.6 * low
     df = pixels.withColumns({"lum": luminance(), "sat": saturation()})
-    df = nb.local_stats(df, {}, {"var3": "lum"}, 3)
-    df = nb.local_stats(df, {"lum20": "lum", "sat20": "sat"}, {}, 20)
     df = df.withColumn("ridge", nb.ridge("lum"))
+    df = nb.local_stats_of(df, [({}, {"var3": "lum"}, 3), ({"lum20": "lum", "sat20": "sat"}, {}, 20)])
     zero = F.lit(0.0)
     df = df.withColumn("anomaly", F.greatest(zero, F.col("lum") - F.col("lum20")) * F.greatest(zero, F.col("sat20") - F.col("sat")) * F.sqrt("var3"))
     at = percentile_floor(df, "anomaly", 1 - (0.03 + 0.07 * s)).withColumnRenamed("value", "anomaly_at")
@@ -126,12 +125,12 @@ def color_restore(masked: DataFrame, strength: float = 0.75) -> DataFrame:
     return df.withColumns({c: clamp(F.col("_l") + (F.col(c) - F.col("_l")) * F.col("boost")) for c in "rgb"}).drop("_l", "lo", "span", "gamma", "boost", *[f"gain_{c}" for c in "rgb"])
 
 
-def unsharp(masked: DataFrame, amount: float, width: int, height: int) -> DataFrame:
-    """The same bounded luminance detail is added to each channel of unprotected pixels."""
+def unsharp(masked: DataFrame, amount: float) -> DataFrame:
+    """The same bounded luminance detail is added to each channel of unprotected pixels; the radius follows each image's size."""
     if amount <= 0:
         return masked
-    sigma = min(max(max(width, height) / 2500, 0.7), 2.5)
-    df = nb.gaussian(masked.withColumn("_l", luminance()), {"_soft": "_l"}, sigma)
+    sigma = clamp(F.greatest("width", "height") / 2500, 0.7, 2.5)
+    df = nb.gaussian(masked.withColumn("_l", luminance()), {"_soft": "_l"}, sigma, 2.5)
     detail = F.col("_l") - F.col("_soft")
     delta = F.when(F.col("protected") | (F.abs(detail) < 1 / 255), 0.0).otherwise(clamp(detail * amount, -0.4 * amount, 0.4 * amount))
     return df.withColumn("_d", delta).withColumns({c: clamp(F.col(c) + F.col("_d")) for c in "rgb"}).drop("_l", "_soft", "_d")

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emulsa.functions.pixels import luminance, opponents, saturation
+from emulsa.functions.pixels import calibrated, luminance, opponents, saturation
 from emulsa.operators import neighbourhood as nb
 
+#: Radii of the windows: fixed values.
 RADII = (2, 6, 16, 40)
 
 
@@ -20,10 +21,13 @@ def features(pixels: DataFrame) -> tuple[DataFrame, list[str]]:
     """34 columns a pixel, in the network's order; and their names."""
     o1, o2 = opponents()
     df = pixels.withColumns({"lum": luminance(), "sat": saturation(1e-6), "o1": o1, "o2": o2, "most": F.greatest("r", "g", "b"), "least": F.least("r", "g", "b")})
-    df = df.withColumns({"grad": nb.gradient("lum"), "lum_sq": F.col("lum") * F.col("lum")})
+    # y before x: the boxes go on along x without another shuffle
+    half = lambda axis: F.coalesce((nb.at("lum", axis, 1) - nb.at("lum", axis, -1)) / 2, F.lit(0.0))
+    df = df.withColumn("_dy", half("y")).withColumn("_dx", half("x"))
+    df = df.withColumns({"grad": F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")), "lum_sq": F.col("lum") * F.col("lum")}).drop("_dx", "_dy")
     names = ["lum", "sat", "o1", "o2", "most", "least"]
+    df = nb.box_means(df, {r: {f"m_{c}_{r}": c for c in ("lum", "lum_sq", "sat", "o1", "o2", "grad")} for r in RADII})
     for r in RADII:
-        df = nb.box_mean(df, {f"m_{c}_{r}": c for c in ("lum", "lum_sq", "sat", "o1", "o2", "grad")}, r)
         m = lambda c, r=r: F.col(f"m_{c}_{r}")
         made = {f"d_lum_{r}": F.col("lum") - m("lum"), f"std_{r}": F.sqrt(F.greatest(m("lum_sq") - m("lum") * m("lum"), F.lit(0.0))), f"d_sat_{r}": F.col("sat") - m("sat"), f"d_o1_{r}": F.col("o1") - m("o1"), f"d_o2_{r}": F.col("o2") - m("o2"), f"grad_{r}": m("grad")}
         df = df.withColumns(made).drop(*[f"m_{c}_{r}" for c in ("lum_sq", "o1", "o2", "grad")])
@@ -77,6 +81,21 @@ def predict(df: DataFrame, names: list[str], network: Network, out: str = "raw")
     return df.withColumn(out, run(F.struct(*names)))
 
 
+def learned_detector(pixels: DataFrame, network: Network, sensitivity: float = 0.2) -> DataFrame:
+    """Adds ``raw`` (the network's smoothed output) and probability, calibrated for the sensitivity.
+
+    Pixels are at the working size: larger images go through ``resample.area_resize`` before.
+    """
+    df, names = features(pixels)
+    own = pixels.columns
+    df = predict(df, names, network, "_raw").select(*own, "_raw")
+    if network.smooth_radius:
+        df = nb.box_mean(df, {"raw": "_raw"}, network.smooth_radius).drop("_raw")
+    else:
+        df = df.withColumnRenamed("_raw", "raw")
+    return df.withColumn("probability", calibrated("raw", sensitivity, model=network.threshold))
+
+
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: Network, epochs: int = 12, rate: float = 5e-4, batch: int = 256, decay: float = 1e-4, patience: int = 3, seed: int = 0) -> tuple[Network, list[float]]:
     """Adam on weighted cross entropy over a bounded sample; the best validation weights are kept."""
     rng = np.random.default_rng(seed)

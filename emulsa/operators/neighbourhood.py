@@ -37,16 +37,36 @@ def box_mean(df: DataFrame, cols: dict[str, str], r: int) -> DataFrame:
     return _box_axis(df, {o: f"_{o}_x" for o in cols}, r, "y", True).drop(*[f"_{o}_x" for o in cols])
 
 
+def box_means(df: DataFrame, by_radius: dict[int, dict[str, str]]) -> DataFrame:
+    """{radius: {output: input}}; all radii along x first, then all along y, so that two shuffles serve them all."""
+    for r, cols in by_radius.items():
+        df = _box_axis(df, {f"_{o}_x": c for o, c in cols.items()}, r, "x", True)
+    for r, cols in by_radius.items():
+        df = _box_axis(df, {o: f"_{o}_x" for o in cols}, r, "y", True)
+    return df.drop(*[f"_{o}_x" for cols in by_radius.values() for o in cols])
+
+
 def local_stats(df: DataFrame, mean: dict[str, str], variance: dict[str, str], r: int) -> DataFrame:
     """Means and variances over windows cut off at the border."""
-    df = df.withColumns({f"_{o}_v": F.col(c) for o, c in (mean | variance).items()} | {f"_{o}_q": F.col(c) * F.col(c) for o, c in variance.items()})
-    sums = [f"_{o}_v" for o in mean | variance] + [f"_{o}_q" for o in variance]
-    df = _box_axis(df, {f"{s}x": s for s in sums}, r, "x", False)
-    df = _box_axis(df, {f"{s}y": f"{s}x" for s in sums}, r, "y", False)
-    side = lambda p, n: F.least(F.col(p) + r, F.col(n) - 1) - F.greatest(F.col(p) - r, F.lit(0)) + 1
-    n = side("x", "width") * side("y", "height")
-    made = {o: F.col(f"_{o}_vy") / n for o in mean} | {o: F.greatest(F.lit(0.0), F.col(f"_{o}_qy") / n - (F.col(f"_{o}_vy") / n) * (F.col(f"_{o}_vy") / n)) for o in variance}
-    return df.withColumns(made).drop(*sums, *[s + "x" for s in sums], *[s + "y" for s in sums])
+    return local_stats_of(df, [(mean, variance, r)])
+
+
+def local_stats_of(df: DataFrame, wanted: list[tuple[dict[str, str], dict[str, str], int]]) -> DataFrame:
+    """``local_stats`` for several (mean, variance, radius): all along x first, then all along y."""
+    sums = {}
+    for mean, variance, r in wanted:
+        df = df.withColumns({f"_{o}_v": F.col(c) for o, c in (mean | variance).items()} | {f"_{o}_q": F.col(c) * F.col(c) for o, c in variance.items()})
+        sums[r] = [f"_{o}_v" for o in mean | variance] + [f"_{o}_q" for o in variance]
+    for r, names in sums.items():
+        df = _box_axis(df, {f"{s}x": s for s in names}, r, "x", False)
+    for r, names in sums.items():
+        df = _box_axis(df, {f"{s}y": f"{s}x" for s in names}, r, "y", False)
+    made = {}
+    for mean, variance, r in wanted:
+        side = lambda p, n, r=r: F.least(F.col(p) + r, F.col(n) - 1) - F.greatest(F.col(p) - r, F.lit(0)) + 1
+        n = side("x", "width") * side("y", "height")
+        made |= {o: F.col(f"_{o}_vy") / n for o in mean} | {o: F.greatest(F.lit(0.0), F.col(f"_{o}_qy") / n - (F.col(f"_{o}_vy") / n) * (F.col(f"_{o}_vy") / n)) for o in variance}
+    return df.withColumns(made).drop(*[s + end for names in sums.values() for s in names for end in ("", "x", "y")])
 
 
 def at(c: str, axis: str, step: int) -> Column:
@@ -98,22 +118,34 @@ def grain_residual(c: str) -> Column:
     return F.col(c) - sum((at(c, a, s) for a in "xy" for s in (1, -1)), F.lit(0.0)) / 4
 
 
-def gaussian(df: DataFrame, cols: dict[str, str], sigma: float) -> DataFrame:
-    """Reflected borders (the edge pixel once); radius round(4 sigma) at least 1."""
-    r = max(1, round(4 * sigma))
-    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
-    w = [v / sum(w) for v in w]
-    for axis, (other, n) in AXES.items():
-        around = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w[k + r]).alias("w")) for k in range(-r, r + 1)])
+def gaussian(df: DataFrame, cols: dict[str, str], sigma: float | Column, most: float | None = None) -> DataFrame:
+    """Reflected borders (the edge pixel once); radius round(4 sigma) at least 1.
+
+    Sigma may be a column, of one value for an image and at most ``most``.  Each axis is one window: the values up
+    to the radius away, of which a tap beyond the border takes the one that it is reflected to.
+    """
+    r = max(1, round(4 * (sigma if most is None else most)))
+    s = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
+    reach = F.greatest(F.lit(1.0), F.rint(4 * s))
+    weight = [F.when(F.lit(abs(k)) <= reach, F.exp(F.lit(-float(k * k)) / (2 * s * s))).otherwise(0.0) for k in range(-r, r + 1)]
+    names = [f"_w{k}" for k in range(2 * r + 1)]
+    if not isinstance(sigma, Column):
+        w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
+        weights = [F.lit(v / sum(w)) for v in w]
+    else:
+        df = df.withColumns(dict(zip(names, weight, strict=True)))
+        df = df.withColumn("_w", sum((F.col(n) for n in names), F.lit(0.0)))
+        weights = [F.col(n) / F.col("_w") for n in names]
+    for axis, (_, n) in AXES.items():
         size = F.col(n)
         period = F.greatest(2 * size - 2, F.lit(1))
-        keys = ["image_id", other]
-        values = df.select(*keys, F.col(axis).alias("_s"), *[F.col(c).alias(f"_{o}") for o, c in cols.items()])
-        folded = F.pmod(F.col(axis) + F.col("_k.k"), period)
-        taps = df.select(*keys, axis, n, F.explode(around).alias("_k")).select(*keys, axis, F.when(folded >= size, period - folded).otherwise(folded).cast("int").alias("_s"), F.col("_k.w").alias("_w"))
-        blurred = taps.join(values, [*keys, "_s"]).groupBy(*keys, axis).agg(*[F.sum(F.col("_w") * F.col(f"_{o}")).alias(o) for o in cols])
-        df = df.drop(*[o for o in cols if o in df.columns and o not in cols.values()]).join(blurred.toDF(*keys, axis, *[f"_{o}_new" for o in cols]), [*keys, axis])
-        for o in cols:
-            df = df.drop(o).withColumnRenamed(f"_{o}_new", o) if o in df.columns else df.withColumnRenamed(f"_{o}_new", o)
+        df = df.withColumns({f"_{o}_near": F.array(*[at(c, axis, k) if k else F.col(c) for k in range(-r, r + 1)]) for o, c in cols.items()})
+
+        def tap(o: str, k: int, size=size, period=period, axis=axis) -> Column:
+            folded = F.pmod(F.col(axis) + k, period)
+            return F.get(f"_{o}_near", r - F.col(axis) + F.when(folded >= size, period - folded).otherwise(folded))
+
+        blurred = {o: sum((w * F.coalesce(tap(o, k), F.lit(0.0)) for k, w in zip(range(-r, r + 1), weights, strict=True)), F.lit(0.0)) for o in cols}
+        df = df.withColumns(blurred).drop(*[f"_{o}_near" for o in cols])
         cols = {o: o for o in cols}
-    return df
+    return df.drop("_w", *names)

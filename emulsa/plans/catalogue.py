@@ -275,7 +275,7 @@ DELTA = "case when protected or abs(lum - soft) < 1 / 255e0 then 0 else least(gr
 
 @query("unsharp", with_sql(f"select image_id, y, x, {r6(**{c: f'least(greatest({c} + {DELTA}, 0), 1)' for c in 'rgb'})} from masked join gb using (image_id, y, x)", MASKED_SQL, LUM, gauss_sql(0.7)))
 def unsharp(spark, sf):
-    return rounded(dm.unsharp(masked(spark, sf), 0.5, 64, 64), KEYS, ["r", "g", "b"])
+    return rounded(dm.unsharp(masked(spark, sf), 0.5), KEYS, ["r", "g", "b"])
 
 
 # --- statistics, detection, colour --------------------------------------------------------------------
@@ -359,8 +359,7 @@ def face_lock(spark, sf):
 @query("detections", with_sql(f"select image_id, stride, idx, {r6(score='score', bx='(idx % (640 // stride) + r) * stride - exp(b) * stride / 2', by='(idx // (640 // stride) + g) * stride - exp(b) * stride / 2')} from (select image_id, (8 * (1 + x % 2)) as stride, cast(y * width + x as int) as idx, r, g, b, sqrt(r * g) as score from pixels) where score > 0.6e0"))
 def detections(spark, sf):
     cells = rasters(spark, sf).select("image_id", (8 * (1 + F.col("x") % 2)).alias("stride"), (F.col("y") * F.col("width") + F.col("x")).alias("idx"), F.col("r").alias("cls"), F.col("g").alias("obj"), F.array("r", "g", "b", "b").alias("bbox"))
-    boxes = cells.join(fc.decode(cells).limit(0).select("image_id").distinct(), "image_id", "left_anti")
-    decoded = fc.decode(boxes.withColumn("image_id", F.struct("image_id", "stride", "idx")))
+    decoded = fc.decode(cells.withColumn("image_id", F.struct("image_id", "stride", "idx")))
     return rounded(decoded.select(F.col("image_id.image_id").alias("image_id"), F.col("image_id.stride").alias("stride"), F.col("image_id.idx").alias("idx"), "score", F.col("x").alias("bx"), F.col("y").alias("by")), ["image_id", "stride", "idx"], ["score", "bx", "by"])
 
 
@@ -500,6 +499,25 @@ def inpaint(spark, sf):
     return rounded(kn.inpaint(rasters(spark, sf).withColumn("hole", F.expr(HOLE))), KEYS, ["r", "g", "b"])
 
 
+def detector_network() -> ln.Network:
+    """A network of the detector's layout, 34-32-16-1, with weights by a rule (none is shipped)."""
+    sizes = [34, 32, 16, 1]
+    wave = lambda n, k: [round(((i * 7919 + k * 104729) % 2001 - 1000) / 4000, 6) for i in range(n)]
+    return ln.Network(sizes, wave(34, 1), [0.5 + abs(v) for v in wave(34, 2)], [wave(a * b, k + 3) for k, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False))], [wave(n, k + 6) for k, n in enumerate(sizes[1:])], 0.5, 1)
+
+
+@query("learned_detector")
+def learned_detector(spark, sf):
+    return rounded(ln.learned_detector(rasters(spark, sf), detector_network()).select(*KEYS, "raw", "probability"), KEYS, ["raw", "probability"])
+
+
+@query("locked_restoration")
+def locked_restoration(spark, sf):
+    m = masked(spark, sf)
+    faces = m.groupBy("image_id").agg((F.max("width") * 0.25).alias("x"), (F.max("height") * 0.25).alias("y"), (F.max("width") * 0.5).alias("width"), (F.max("height") * 0.5).alias("height"))
+    return rounded(restoration.restore(m, dm.Settings(), faces=faces), KEYS, ["r", "g", "b"])
+
+
 @query("grain_match")
 def grain_match(spark, sf):
     m = masked(spark, sf)
@@ -508,7 +526,7 @@ def grain_match(spark, sf):
 
 @query("suppress_boxes")
 def suppress_boxes(spark, sf):
-    boxes = rasters(spark, sf).where("x % 8 = 0 and y % 8 = 0").select("image_id", (F.col("x") * 1.0).alias("x"), (F.col("y") * 1.0).alias("y"), (4 + 12 * F.col("r")).alias("width"), (4 + 12 * F.col("g")).alias("height"), F.col("b").alias("score"))
+    boxes = rasters(spark, sf).select("image_id", (F.col("x") * 1.0).alias("x"), (F.col("y") * 1.0).alias("y"), (4 + 12 * F.col("r")).alias("width"), (4 + 12 * F.col("g")).alias("height"), F.col("b").alias("score"))
     return fc.suppress(boxes)
 
 

@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.operators import damage as dm
+from emulsa.operators import faces as fc
 from emulsa.operators import kernels as kn
+from emulsa.plans.stages import written
 
 PERCENT = "format_string('%.2f', {})"
 
 
-def restore(masked: DataFrame, s: dm.Settings, enhance: Callable[[DataFrame], DataFrame] | None = None, size: tuple[int, int] = (64, 64)) -> DataFrame:
-    """Pixels after all stages; with a strict guard, images that fail it keep their toned, unfilled pixels."""
+def restore(masked: DataFrame, s: dm.Settings, enhance: Callable[[DataFrame], DataFrame] | None = None, faces: DataFrame | None = None) -> DataFrame:
+    """Pixels after all stages; with a strict guard, images that fail it keep their toned, unfilled pixels.
+
+    With faces (boxes: image_id, x, y, width, height) and ``lock_faces``, less certain damage on them is cleared first.
+    """
+    if s.lock_faces and faces is not None:
+        masked = fc.lock(masked, faces, s.face_confidence, s.repair).drop("cleared")
     toned = dm.color_restore(masked, s.color)
     filled = kn.inpaint(toned.withColumn("hole", dm.reconstructable(s.repair)), "hole", s.reconstruction)
     if s.strict_guard:
@@ -22,10 +29,11 @@ def restore(masked: DataFrame, s: dm.Settings, enhance: Callable[[DataFrame], Da
         old = toned.select("image_id", "y", "x", *[F.col(c).alias(f"_{c}") for c in "rgb"])
         filled = filled.join(passed.select("image_id", "passed"), "image_id").join(old, ["image_id", "y", "x"])
         filled = filled.withColumns({c: F.when(F.col("passed"), F.col(c)).otherwise(F.col(f"_{c}")) for c in "rgb"}).drop("passed", "_r", "_g", "_b")
+    filled = written(filled)  # the fill is not repeated for what reads it next
     grained = dm.grain_match(filled, masked, repair=s.repair) if s.grain else filled
     if s.enhance and enhance is not None:
         grained = enhance(grained)
-    return dm.unsharp(grained, s.sharpening, *size)
+    return dm.unsharp(grained, s.sharpening)
 
 
 def audit(masked: DataFrame, s: dm.Settings) -> DataFrame:
