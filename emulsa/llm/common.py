@@ -5,6 +5,7 @@ Words are maximal runs outside ``[\\x20\\x09-\\x0D]``.  Null text counts as empt
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -71,6 +72,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: Spark keeps Python workers, and what they hold, between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def filled(col: pa.Array) -> pa.Array:

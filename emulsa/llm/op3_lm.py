@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from emulsa.llm.common import crc_mod, cut, filled, hash_strings, mix, packed, slices, split_words, unpacked
 
-BASE, PROBES, BITS = 1.35, 8, 16
+BASE, PROBES, BITS = 1.35, 8, 12
 FREQUENT, FREQUENT_PAIRS = 1 << 20, 1 << 21
 BUCKET, WIDE_BUCKET, MANY = 2 << 20, 64 << 20, 4096
 STRONG, WEAK = 0.75, 4.0

@@ -18,7 +18,7 @@ from emulsa.llm.common import ranges, split_words
 #: Printable ASCII and the precomposed Latin-1 letters: NFC leaves them, lower-casing is one to one.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-CACHE = 400_000
+CACHE = 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
