@@ -102,7 +102,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
 
 def sampled(docs: DataFrame, size: int) -> np.ndarray:
     """Features of at most ``size`` rows, the first by a hash of id and text."""
-    chosen = docs.orderBy(F.xxhash64(F.lit(17), "doc_id", "text"), "doc_id").limit(size)
+    order = F.xxhash64(F.lit(17), "doc_id", "text")
+    # only hashes are sorted, never texts; the limit bounds rows that share the last hash
+    last = docs.select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    chosen = docs.where(order <= F.lit(last).cast("long")).limit(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
