@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("passages", passages), ("packing", packing)]
 
-#: A learned model and similarity components are beyond SQL; tests hold the stages against brute force.
+#: A learned model and similarity components are beyond SQL; small tests hold ``exact`` and ``near`` against plain Python.
 ORACLE_SQL = None
 
 
