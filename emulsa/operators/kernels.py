@@ -5,16 +5,20 @@ By the data model an image fits in one array, so a group is bounded by an image.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SWEEPS = 250
+#: Below this probability a pixel outside the holes stays as it is: a fixed value.
+LOCKED = 0.15
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """4-connected components of a boolean plane, -1 off: the least index of each, by union-find over runs."""
+    """4-connected components of a boolean plane, -1 off: the least index of each, by sweeping minima until stable."""
     h, w = mask.shape
     index = np.where(mask, np.arange(h * w).reshape(h, w), -1)
     label = index.copy()
@@ -123,7 +127,7 @@ def tiled_inpaint(planes: np.ndarray, hole: np.ndarray, probability: np.ndarray,
     earlier fills; the fill is feathered into the picture.  Without a model, or if it fails: diffusion, and a note."""
     from emulsa.operators.resample import tile_starts
 
-    locked = protected | (~hole & (probability < 0.15))
+    locked = protected | (~hole & (probability < LOCKED))
     fill = dilate_plane(hole, 6) & ~locked
     if not fill.any() or strength <= 0:
         return planes, ""
@@ -146,3 +150,26 @@ def tiled_inpaint(planes: np.ndarray, hole: np.ndarray, probability: np.ndarray,
     alpha = np.where(locked, 0.0, np.maximum(gaussian_plane(fill.astype(float), 1.5), fill)) * strength
     out = np.where(alpha[..., None] > 0, np.clip(planes + (filled - planes) * alpha[..., None], 0, 1), planes)
     return out, note
+
+
+def locked(hole: str = "hole") -> Column:
+    """Pixels that a fill must not touch."""
+    return F.col("protected") | (~F.col(hole) & (F.col("probability") < LOCKED))
+
+
+def tiled_fill(masked: DataFrame, model: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, hole: str = "hole", tile: int = 512, overlap: int = 128, strength: float = 1.0) -> DataFrame:
+    """Pixels after the model's tiled fill, and ``note`` (empty, or why diffusion was used); one image a group.
+
+    Tiles of an image depend on the tiles before them; images are independent.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"]).reset_index(drop=True)
+        shape = (int(pdf.y.max()) + 1, int(pdf.x.max()) + 1)
+        plane = lambda c, kind: pdf[c].to_numpy(kind).reshape(shape)
+        out, note = tiled_inpaint(pdf[["r", "g", "b"]].to_numpy(float).reshape(*shape, 3), plane(hole, bool), plane("probability", float), plane("protected", bool), model, tile, overlap, strength)
+        pdf[["r", "g", "b"]] = out.reshape(-1, 3)
+        return pdf[["image_id", "y", "x", "r", "g", "b"]].assign(note=note)
+
+    own = masked.select("image_id", "y", "x", "r", "g", "b", hole, "probability", "protected")
+    return own.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, r double, g double, b double, note string")

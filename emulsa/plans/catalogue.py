@@ -543,8 +543,12 @@ def restore(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from emulsa.plans import training  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from emulsa.plans import training  # noqa: F401  adds its own
+
     return dict(_sql)

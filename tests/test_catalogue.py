@@ -16,7 +16,7 @@ def rows(frame):
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in ("embeddings", "documents"):
+    for t in ("embeddings", "documents", "events"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     return con
 
