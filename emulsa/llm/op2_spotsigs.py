@@ -1,8 +1,8 @@
 """SpotSigs fingerprints; DataFrame functions only.
 
 A signature starts at an anchor (a common word) and chains the next two content words (words that are
-no common words).  A text's fingerprint is its set of signatures as 32-bit hashes, written in ascending
-order as hexadecimal digits.  A text with words but no anchor uses each content word (or, without
+no common words).  A text's fingerprint is its set of signatures as 64-bit hashes, written in ascending
+order as ``DIGITS`` hexadecimal digits each (negative ones first, in two's complement).  A text with words but no anchor uses each content word (or, without
 those, each word) as an anchor; a text without words has one signature, of the text itself; an empty
 or null text has none.  Likeness is the Jaccard coefficient of two sets, 1 for two empty ones.
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from emulsa.llm.common import cut
 
 THRESHOLD = 0.75
+#: Hexadecimal digits of a signature in a fingerprint.
+DIGITS = 16
 #: Common words of English, German, French and Spanish: fixed values.
 COMMON = (
     "a an and are as at be but by for from has have he in is it its not of on or that the this to was were will with "
@@ -35,14 +37,14 @@ LETTERS = r"[^\p{L}\p{N}]+"
 
 
 def with_signatures(df: DataFrame, made: dict[str, str]) -> DataFrame:
-    """Adds, for each {name: text column}, the ascending array of distinct signature hashes (int).
+    """Adds, for each {name: text column}, the ascending array of distinct signature hashes (bigint).
 
     Each step is a projection of its own, so what lambdas refer to is computed once a row.
     """
     col, own = F.col, list(df.columns)
     content = lambda w: F.substring_index(w, "_", -1)
     follows = lambda t, i: F.coalesce(content(F.get(t, i + 1)), F.lit(""))
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
 
     def of_anchors(t: Column, w: Column, i: Column) -> Column:
         parts = F.split(w, "_")
@@ -68,11 +70,11 @@ def with_signatures(df: DataFrame, made: dict[str, str]) -> DataFrame:
 
 
 def _hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts).bitwiseAND(0x7FFFFFFF).cast("int")
+    return F.xxhash64(*parts)
 
 
 def text_form(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s.cast("long"))), 8, "0")), "")
+    return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), DIGITS, "0")), "")
 
 
 def length_partition(size: Column, threshold: float = THRESHOLD) -> Column:
@@ -119,7 +121,7 @@ def with_next(docs: DataFrame, per_bucket: int = 4) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, sigs (array<int>), fingerprint and its length partition."""
+    """doc_id, sigs (array<bigint>), fingerprint and its length partition."""
     rows = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), {"sigs": "text"})
     return rows.select("doc_id", "sigs", text_form(F.col("sigs")).alias("fingerprint"), length_partition(F.size("sigs")).alias("length_partition"))
 

@@ -65,14 +65,14 @@ def test_edits(table, request):
             assert r.edited_sha256 == sha(edited)
             assert prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
-        a, b = (set(re.findall("." * 8, x)) for x in (r.fingerprint, r.edited_fingerprint))
+        a, b = (set(re.findall("." * op2_spotsigs.DIGITS, x)) for x in (r.fingerprint, r.edited_fingerprint))
         assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
         made = signatures(text)
         if len(made) > 3 and text.isascii():
             assert len(a) == len(made)
     for r in got:
         if r.doc_id in unique and (after := rows[(unique[r.doc_id] + 1) % len(rows)])[0] in unique:
-            a, b = (set(re.findall("." * 8, x)) for x in (r.fingerprint, prints[after[1]]))
+            a, b = (set(re.findall("." * op2_spotsigs.DIGITS, x)) for x in (r.fingerprint, prints[after[1]]))
             assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
 
 
