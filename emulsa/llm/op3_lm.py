@@ -76,14 +76,21 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((mix(h) >> np.uint64(16)) % np.uint64(n)).astype(np.int32)
 
 
-def planes(h: np.ndarray, names: tuple[str, str, str] = ("h0", "h1", "h2")) -> dict[str, np.ndarray]:
-    """Hashes in three parts, so that the empty upper bits of pairs compress away."""
-    return dict(zip(names, ((h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2"), (h >> np.uint64(48)).astype("<u2")), strict=True))
+#: Planes of a packed n-gram: its lowest 32 bits, the 8 above and the rest.
+PLANES = {"h0": "<u4", "h1": "u1", "h2": "<u4"}
 
 
-def from_planes(low: np.ndarray, mid: np.ndarray, top: np.ndarray | None = None) -> np.ndarray:
-    h = low.astype(np.uint64) | mid.astype(np.uint64) << np.uint64(32)
-    return h if top is None else h | top.astype(np.uint64) << np.uint64(48)
+def in_steps(bucket: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(order by bucket, planes of the steps between a bucket's ascending hashes): steps are short, so that the upper planes compress away."""
+    order = np.argsort(bucket, kind="stable")
+    b, step = bucket[order], h[order]
+    step[1:] -= np.where(b[1:] == b[:-1], step[:-1], np.uint64(0))
+    return order, dict(zip(PLANES, ((step & np.uint64(0xFFFFFFFF)).astype("<u4"), (step >> np.uint64(32) & np.uint64(0xFF)).astype("u1"), (step >> np.uint64(40)).astype("<u4")), strict=True))
+
+
+def from_steps(h0: bytes, h1: bytes, h2: bytes) -> np.ndarray:
+    low, mid, top = (np.frombuffer(x, t).astype(np.uint64) for x, t in zip((h0, h1, h2), PLANES.values(), strict=True))
+    return np.cumsum(low | mid << np.uint64(32) | top << np.uint64(40), dtype=np.uint64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -175,9 +182,9 @@ def looked_up(h: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.
     return hit, np.where(hit, values[at], 0)
 
 
-PACKED = "bucket int, hashes binary, counts binary, pair_low binary, pair_high binary, pair_counts binary"
+PACKED = "bucket int, h0 binary, h1 binary, h2 binary, counts binary, pairs boolean"
 COUNTED = "bucket int, hashes binary, counts binary, often binary, often_levels binary, filter binary, n_tokens long, n_words long, false_hits double"
-ASKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("h0", "h1", "h2")), ("slice", pa.int32())])
+ASKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in PLANES), ("slice", pa.int32())])
 ANSWERED = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
 
 
@@ -194,15 +201,13 @@ def train(docs: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches, most=SLICE):
             h, codes, offsets = tokens(batch.column(0))
             c = np.bincount(codes, minlength=len(h))
-            used = c > 0
-            for rows in packed(bucket_of(h[used], n), {"hashes": h[used], "counts": c[used].astype("<u4")}):
-                none = pa.array([None] * rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, none, none, none], names=["bucket", "hashes", "counts", "pair_low", "pair_high", "pair_counts"])
-            p, c = np.unique(pairs(h, codes, offsets)[1], return_counts=True)
-            low, high, _ = planes(p).values()
-            for rows in packed(bucket_of(p, n), {"pair_low": low, "pair_high": high, "pair_counts": c.astype("<u4")}):
-                none = pa.array([None] * rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), none, none, *rows.columns[1:]], names=["bucket", "hashes", "counts", "pair_low", "pair_high", "pair_counts"])
+            by = np.flatnonzero(c > 0)
+            by = by[np.argsort(h[by])]
+            for x, counts, are_pairs in ((h[by], c[by], False), (*np.unique(pairs(h, codes, offsets)[1], return_counts=True), True)):
+                bucket = bucket_of(x, n)
+                order, steps = in_steps(bucket, x)
+                for rows in packed(bucket[order], steps | {"counts": counts[order].astype("<u4")}):
+                    yield rows.append_column("pairs", pa.array([are_pairs] * rows.num_rows))
 
     def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(h, kind="stable")
@@ -212,9 +217,12 @@ def train(docs: DataFrame, n: int) -> DataFrame:
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         return h[at], np.add.reduceat(c, at)
 
+    def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        cells = [from_steps(*x) for x in zip(*(table[k].to_pylist() for k in PLANES), strict=True)]
+        return summed(np.concatenate([np.empty(0, np.uint64), *cells]), unpacked(table["counts"], "<u4"))
+
     def add(table: pa.Table) -> pa.Table:
-        h, c = summed(unpacked(table["hashes"], "<u8"), unpacked(table["counts"], "<u4"))
-        p, d = summed(from_planes(unpacked(table["pair_low"], "<u4"), unpacked(table["pair_high"], "<u2")), unpacked(table["pair_counts"], "<u4"))
+        (h, c), (p, d) = (gathered(table.filter(pc.equal(table["pairs"], kind))) for kind in (False, True))
         bits = build_filter(np.r_[h, p], np.r_[c, d])
         often = p[d > int(d.sum()) // max(1, FREQUENT_PAIRS // n)]
         columns = {"hashes": h, "counts": c.astype("<i8"), "often": often, "often_levels": Filters(np.array([len(bits)]), bits).levels(often).astype("u1")}
@@ -268,7 +276,9 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
 
     def ask(table: pa.Table) -> pa.Table:
         h = open_hashes(read(x.column(0)) for x in slices(table.select(["text"]).to_batches(), most=SLICE))
-        parts = [x.append_column("slice", pa.array([table["slice"][0].as_py()] * x.num_rows, pa.int32())) for x in packed(bucket_of(h, n), planes(h))]
+        bucket = bucket_of(h, n)
+        order, steps = in_steps(bucket, h)
+        parts = [x.append_column("slice", pa.array([table["slice"][0].as_py()] * x.num_rows, pa.int32())) for x in packed(bucket[order], steps)]
         return pa.Table.from_batches(parts, schema=ASKED)
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
@@ -279,7 +289,7 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
         words, exact = (unpacked(counted[c], t) if there else np.empty(0, t) for c, t in (("hashes", "<u8"), ("counts", "<i8")))
         out = []
         for k in range(asked.num_rows):
-            h = from_planes(*(np.frombuffer(asked[c][k].as_py(), t) for c, t in (("h0", "<u4"), ("h1", "<u2"), ("h2", "<u2"))))
+            h = from_steps(*(asked[c][k].as_py() for c in PLANES))
             level = lm[0].levels(h) if lm else np.zeros(len(h))
             out.append((level.astype("u1").tobytes(), looked_up(h, words, exact)[1].astype("<u4").tobytes()))
         return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "levels": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
