@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import crc_mod, cut, filled, hash_strings, mix, packed, slices, split_words, unpacked
+from emulsa.llm.common import crc_mod, cut, distinct, filled, hash_strings, mix, packed, slices, split_words, unpacked
 
 BASE, PROBES, BITS = 1.35, 8, 12
 FREQUENT, FREQUENT_PAIRS = 1 << 20, 1 << 21
@@ -173,13 +173,13 @@ class Filters:
         return self.value[self.levels(h)]
 
 
-def looked_up(h: np.ndarray, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is in the ascending table, value there or 0)"""
+def looked_up(h: np.ndarray, table: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(is in the ascending table, of each of values what is there or 0)"""
     if not len(table):
-        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        return np.zeros(len(h), bool), *(np.zeros(len(h), np.int64) for _ in values)
     at = np.minimum(np.searchsorted(table, h), len(table) - 1)
     hit = table[at] == h
-    return hit, np.where(hit, values[at], 0)
+    return hit, *(np.where(hit, x[at], 0) for x in values)
 
 
 PACKED = "bucket int, h0 binary, h1 binary, h2 binary, counts binary, pairs boolean"
@@ -263,15 +263,14 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
         """offsets; code of each token and, by code, hash, whether it is broadcast, level and count; the same of the pairs, without counts."""
         h, codes, offsets = tokens(text)
         words, counts, word_levels, pair_table, pair_levels = frequent.value
-        hit, level = looked_up(h, words, word_levels)
         pair, back = np.unique(pairs(h, codes, offsets)[1], return_inverse=True)
-        return offsets, (codes, h, hit, level, looked_up(h, words, counts)[1]), (back, pair, *looked_up(pair, pair_table, pair_levels))
+        return offsets, (codes, h, *looked_up(h, words, word_levels, counts)), (back, pair, *looked_up(pair, pair_table, pair_levels))
 
     def open_hashes(parts: Iterator[tuple]) -> np.ndarray:
         """The distinct n-grams of a slice that aren't broadcast, ascending, whatever the order of its rows."""
         found = np.empty(0, np.uint64)
         for _, (codes, h, hit, *_), (_, pair, pair_hit, _) in parts:
-            found = np.unique(np.concatenate([found, h[~hit & (np.bincount(codes, minlength=len(h)) > 0)], pair[~pair_hit]]))
+            found = distinct(np.concatenate([found, h[~hit & (np.bincount(codes, minlength=len(h)) > 0)], pair[~pair_hit]]))
         return found
 
     def ask(table: pa.Table) -> pa.Table:
@@ -306,7 +305,8 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
         out = []
         for k, batch in enumerate(batches):
             offsets, (codes, h, hit, level, count), (back, pair, pair_hit, pair_level) = texts[k] if texts else read(batch.column(1))
-            level, count = np.where(hit, level, looked_up(h, asked, levels)[1]), np.where(hit, count, looked_up(h, asked, exact)[1])
+            _, told_level, told_count = looked_up(h, asked, levels, exact)
+            level, count = np.where(hit, level, told_level), np.where(hit, count, told_count)
             pair_level = np.where(pair_hit, pair_level, looked_up(pair, asked, levels)[1])
             first = offsets[:-1]
             c1 = value[level]
