@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
+#: Bytes of text whose entries are held in memory at once, as one bucket.
+BUCKET_BYTES = 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +56,10 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)]))
 
 
-def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """Buckets of packed shuffles: follows the session's shuffle partitions, which follow the data."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def n_buckets(docs: DataFrame, per_partition: int = 4) -> int:
+    """Buckets of packed shuffles: some for each of the session's shuffle partitions, and one for each BUCKET_BYTES of text at least."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -223,7 +223,7 @@ def numbered(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
 
 def spans(rows: DataFrame) -> DataFrame:
     """For each uid that loses bytes: ``settled`` (anchors) and ``marked`` (spans), packed; rows has uid and text."""
-    n = n_buckets(rows.sparkSession)
+    n = n_buckets(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):

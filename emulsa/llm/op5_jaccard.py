@@ -139,9 +139,8 @@ def within(difference: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return ((100 + SHARE) * difference <= (100 - SHARE) * (n + m)) & (100 * n >= SHARE * m) & (100 * m >= SHARE * n)
 
 
-def region_lists(rows: DataFrame, shared: np.ndarray) -> DataFrame:
-    """list, node: the distinct lists of nodes that share a region, those of two nodes or more."""
-    n = n_buckets(rows.sparkSession)
+def region_lists(rows: DataFrame, shared: np.ndarray, n: int) -> DataFrame:
+    """list, node: the distinct lists of nodes that share a region, those of two nodes or more; n buckets."""
     classes = rows.sparkSession.sparkContext.broadcast(rarity(rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +311,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], np.int64)
     h, g = np.concatenate(a), np.concatenate(b)
     of_h, of_g = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(y) for y in b])
-    universe = np.intersect1d(h, g)
+    universe = np.intersect1d(distinct(h), distinct(g), assume_unique=True)
     out = np.zeros((len(a), len(b)), np.float32)
     at_h, at_g = np.searchsorted(universe, h), np.searchsorted(universe, g)
     ok_h, ok_g = (universe[np.minimum(at, len(universe) - 1)] == x if len(universe) else np.zeros(len(x), bool) for at, x in ((at_h, h), (at_g, g)))
@@ -355,7 +354,7 @@ def leaf_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
 
-def leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
+def leaves(cells: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """Links (a, b) between stragglers and others of the cells of ``still_open``, compared in pairs of blocks."""
 
     def blocks(nodes, shingles):
@@ -371,15 +370,16 @@ def leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
     own = ["cell", "node", "n_shingles", "gap", "label"]
     left = placed.where(straggler).select(*own, F.pmod(at, "lefts").cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(True).alias("first"))
     right = placed.select(*own, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), F.pmod(at, "rights").cast("int").alias("right"), F.lit(False).alias("first"))
-    bucket = F.pmod(F.xxhash64("cell", "left", "right"), F.lit(n_buckets(cells.sparkSession))).alias("bucket")
+    bucket = F.pmod(F.xxhash64("cell", "left", "right"), F.lit(n)).alias("bucket")
     rows = left.union(right).join(only(sets, cells), "node").withColumn("bucket", bucket)
     return rows.groupBy("bucket").applyInArrow(leaf_links, "a long, b long").distinct()
 
 
 def links(rows: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links; rows has key and text."""
-    bucket = F.pmod("list", F.lit(n_buckets(rows.sparkSession))).alias("bucket")
-    lists = region_lists(rows, shared).join(nodes.select("node", "n_shingles", "parts"), "node").withColumn("bucket", bucket)
+    n = n_buckets(rows)
+    bucket = F.pmod("list", F.lit(n)).alias("bucket")
+    lists = region_lists(rows, shared, n).join(nodes.select("node", "n_shingles", "parts"), "node").withColumn("bucket", bucket)
     stars = merged(lists.groupBy("bucket").applyInArrow(cells_in, "pivot long, node long, n long"))
     sets = sets_of(rows, stars, nodes)
     size = nodes.select("node", "n_shingles")
@@ -397,7 +397,7 @@ def links(rows: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
         parts, close = divided(cells, sets, nodes, level)
         edges = cut(edges.union(close))
         cells = still_open(parts, edges, nodes)
-    return edges.union(leaves(cells, sets))
+    return edges.union(leaves(cells, sets, n))
 
 
 def node_table(rows: DataFrame) -> DataFrame:
