@@ -174,7 +174,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None
         local = np.empty(len(length), np.int64)
         local[order] = np.arange(len(length)) - np.searchsorted(sorted_l, sorted_l)
         first = np.zeros(window + 1, np.int64)
-        first[firsts["length"].to_numpy()] = firsts["first"].to_numpy()
+        first[firsts["of"].to_numpy()] = firsts["first_rank"].to_numpy()
         rank = local + first[length]
         sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
         for v in np.unique(length):
@@ -184,4 +184,6 @@ def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None
         return rows.drop_columns(["chunk"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     out = PIECES.removesuffix(", chunk string") + ", sequence_id long, offset long"
-    return rows.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(place, out)
+    # columns of their own: both sides come from ``rows``, and shared identities are pruned away under an aggregate
+    firsts = by_chunk.select(F.concat("chunk", F.lit("")).alias("of_chunk"), (F.col("length") + 0).alias("of"), (F.col("first") + 0).alias("first_rank"))
+    return rows.groupBy("chunk").cogroup(firsts.groupBy("of_chunk")).applyInArrow(place, out)
