@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -63,6 +63,18 @@ class Network:
     def from_json(text: str) -> "Network":
         return Network(**json.loads(text))
 
+    def changed(self, **values) -> "Network":
+        """A copy with other values; layouts are checked anew."""
+        return replace(self, **values)
+
+    def flat(self) -> np.ndarray:
+        """All weights, then all biases."""
+        return np.concatenate([np.array(p, float) for p in self.weights + self.biases])
+
+    def with_flat(self, flat: np.ndarray) -> "Network":
+        w, b = _layers(self.layer_sizes, flat)
+        return self.changed(weights=[p.ravel().tolist() for p in w], biases=[p.tolist() for p in b])
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         h = (x - np.array(self.mean)) / np.array(self.scale)
         for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
@@ -96,52 +108,29 @@ def learned_detector(pixels: DataFrame, network: Network, sensitivity: float = 0
     return df.withColumn("probability", calibrated("raw", sensitivity, model=network.threshold))
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: Network, epochs: int = 12, rate: float = 5e-4, batch: int = 256, decay: float = 1e-4, patience: int = 3, seed: int = 0) -> tuple[Network, list[float]]:
-    """Adam on weighted cross entropy over a bounded sample; the best validation weights are kept."""
-    rng = np.random.default_rng(seed)
-    z = (x - np.array(start.mean)) / np.array(start.scale)
-    order = rng.permutation(len(z))
-    check, own = order[: len(z) // 10], order[len(z) // 10 :]
-    sizes = start.layer_sizes
-    params = [np.array(w, float).reshape(a, b) for w, a, b in zip(start.weights, sizes, sizes[1:], strict=False)] + [np.array(b, float) for b in start.biases]
-    m, v, layers, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], len(sizes) - 1, 0
-
-    def forward(h):
-        hs = [h]
-        for k in range(layers):
-            h = h @ params[k] + params[layers + k]
-            h = np.maximum(h, 0) if k < layers - 1 else 1 / (1 + np.exp(-np.clip(h, -40, 40)))
-            hs.append(h)
-        return hs
-
-    def loss(at):
-        p = np.clip(forward(z[at])[-1][:, 0], 1e-7, 1 - 1e-7)
-        return float((weight[at] * -(y[at] * np.log(p) + (1 - y[at]) * np.log(1 - p))).sum() / max(weight[at].sum(), 1e-12)) if len(at) else 0.0
-
-    best, kept, waited, history = loss(check), [p.copy() for p in params], 0, []
-    for _ in range(epochs):
-        rng.shuffle(own)
-        for s in range(0, len(own), batch):
-            at = own[s : s + batch]
-            hs, grads = forward(z[at]), [None] * len(params)
-            delta = ((hs[-1][:, 0] - y[at]) * weight[at] / max(weight[at].sum(), 1e-12))[:, None]
-            for k in range(layers - 1, -1, -1):
-                grads[k], grads[layers + k] = hs[k].T @ delta + decay * params[k], delta.sum(0)
-                delta = (delta @ params[k].T) * (hs[k] > 0)
-            step += 1
-            for k, g in enumerate(grads):
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                params[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        now = loss(check)
-        history.append(now)
-        if now < best - 1e-9:
-            best, kept, waited = now, [p.copy() for p in params], 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    made = Network(sizes, start.mean, start.scale, [p.ravel().tolist() for p in kept[:layers]], [p.tolist() for p in kept[layers:]], start.threshold, start.smooth_radius)
-    return made, history
+def loss_and_gradient(sizes: list[int], flat: np.ndarray, z: np.ndarray, y: np.ndarray, weight: np.ndarray, gradients: bool = True) -> np.ndarray:
+    """Weighted cross entropy of standardised rows, the weights' sum and the gradient by ``flat``, all summed over the rows."""
+    w, b = _layers(sizes, flat)
+    h, kept = z, [z]
+    for k in range(len(w)):
+        h = h @ w[k] + b[k]
+        h = np.maximum(h, 0) if k < len(w) - 1 else 1 / (1 + np.exp(-h))
+        kept.append(h)
+    p = np.clip(h[:, 0], 1e-7, 1 - 1e-7)
+    loss = -(weight * np.where(y > 0, np.log(p), np.log(1 - p))).sum()
+    if not gradients:
+        return np.array([loss, weight.sum()])
+    gw, gb, delta = [None] * len(w), [None] * len(w), ((h[:, 0] - y) * weight)[:, None]
+    for k in range(len(w) - 1, -1, -1):
+        gw[k], gb[k] = kept[k].T @ delta, delta.sum(0)
+        delta = (delta @ w[k].T) * (kept[k] > 0)
+    return np.concatenate([[loss, weight.sum()], *[g.ravel() for g in gw], *gb])
+
+
+def _layers(sizes: list[int], flat: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    parts = np.split(flat, np.cumsum([a * b for a, b in zip(sizes, sizes[1:], strict=False)] + sizes[1:])[:-1])
+    n = len(sizes) - 1
+    return [p.reshape(a, -1) for p, a in zip(parts[:n], sizes, strict=False)], parts[n:]
 
 
 def held_out(y="y", x="x", height="height", width="width") -> Column:
@@ -150,10 +139,10 @@ def held_out(y="y", x="x", height="height", width="width") -> Column:
     return bx == (3 * by + 1) % 4
 
 
-def scores(df: DataFrame, threshold: float = 0.5, keys=("image_id",)) -> DataFrame:
-    """IoU, precision, recall and shares of probability against damage on held-out known pixels."""
+def scores(df: DataFrame, threshold: float = 0.5, keys=("image_id",), everywhere: bool = False) -> DataFrame:
+    """IoU, precision, recall and shares of probability against damage on known pixels of the held-out blocks, or everywhere."""
     flag = F.col("probability") > threshold
-    d = df.where(held_out() & F.col("known")).groupBy(*keys).agg(F.count_if(flag & F.col("damage")).alias("both"), F.count_if(flag | F.col("damage")).alias("either"), F.count_if(flag).alias("flagged"), F.count_if(F.col("damage")).alias("damaged"), F.count("*").alias("n"))
+    d = df.where(F.col("known") if everywhere else held_out() & F.col("known")).groupBy(*keys).agg(F.count_if(flag & F.col("damage")).alias("both"), F.count_if(flag | F.col("damage")).alias("either"), F.count_if(flag).alias("flagged"), F.count_if(F.col("damage")).alias("damaged"), F.count("*").alias("n"))
     share = lambda a, b, empty: F.when(F.col(b) == 0, F.lit(empty)).otherwise(F.col(a) / F.col(b))
     return d.select(*keys, share("both", "either", 1.0).alias("iou"), F.when(F.col("flagged") == 0, 0.0).otherwise(1 - F.col("both") / F.col("flagged")).alias("false_flags"), share("both", "flagged", 0.0).alias("precision"), share("both", "damaged", 0.0).alias("recall"), (F.col("flagged") / F.col("n")).alias("flagged_share"))
 
@@ -195,21 +184,6 @@ def solve(equations: dict[tuple[str, str], float], target: str, ridge: float = 1
     return np.linalg.solve(m + ridge * np.eye(len(t)), np.array([equations[a, target] for a in t], float))
 
 
-def fit_colors(df: DataFrame, passes: int = 3, keep: float = 0.6) -> dict[str, np.ndarray]:
-    """Trimmed least squares from r, g, b to tr, tg, tb: refit on the pixels of smaller error."""
-    if df.count() < 1000:
-        raise ValueError("fewer than 1000 known pixels")
-    own, fits = df, {}
-    for k in range(passes):
-        eq = {(r.i, r.j): r.value for r in normal_equations(own.withColumn("_all", F.lit(0)), ["_all"]).collect()}  # 85 numbers
-        fits = {c: solve(eq, c) for c in ("tr", "tg", "tb")}
-        if k < passes - 1:
-            mapped = {c: sum((F.expr(e) * float(w) for e, w in zip(TERMS.values(), fits[c], strict=True)), F.lit(0.0)) for c in fits}
-            err = df.withColumn("_e", sum((F.abs(mapped[c] - F.col(c)) for c in fits), F.lit(0.0)))
-            own = err.where(F.col("_e") < err.agg(F.percentile_approx("_e", keep, 100000)).first()[0])
-    return fits
-
-
 def stratified(df: DataFrame, total: int = 60000, positive: float = 0.30, seed: int = 1, keys=("image_id",)) -> DataFrame:
     """Without replacement, at least ``positive`` damaged; ties and order by a hash of the place."""
     n = df.groupBy(*keys).agg(F.count_if("damage").alias("_p"), F.count_if(~F.col("damage")).alias("_q"))
@@ -219,7 +193,3 @@ def stratified(df: DataFrame, total: int = 60000, positive: float = 0.30, seed:
     w = Window.partitionBy(*keys, "damage").orderBy(F.xxhash64(F.lit(seed), "y", "x"), "y", "x")
     return df.withColumn("_k", F.row_number().over(w)).join(n, list(keys)).where(F.col("_k") <= F.when(F.col("damage"), F.col("_pos")).otherwise(F.col("_neg"))).drop("_k", "_p", "_q", "_pos", "_neg")
 
-
-def accept(candidate: dict, current: dict) -> bool:
-    """The gate of a new model: no worse on the pairs and 95 % as good on the replayed rows."""
-    return candidate["iou"] >= current["iou"] - 1e-4 and candidate["replay"] >= 0.95 * current["replay"]

@@ -11,7 +11,9 @@ from emulsa.operators import kernels as kn
 from emulsa.operators import learning as ln
 from emulsa.operators import library as lb
 from emulsa.operators import neighbourhood as nb
+from emulsa.operators import training as tr
 from emulsa.plans.catalogue import HELD, HOLE, KEYS, LUM, MASKED_SQL, NUDGE, PAIRS_SQL, box_sql, masked, pairs, query, r6, rounded, with_sql
+from emulsa.plans.stages import written
 from emulsa.sources import training_files as tf
 from emulsa.sources.rasters import rasters
 
@@ -92,6 +94,40 @@ def train_candidates(spark, sf):
     return pairs(spark, sf).where(al.candidates()).select(*KEYS)
 
 
+# --- the damage network -------------------------------------------------------------------------------
+def marked(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """Pairs with features: what is damaged in them has been toned up; the features' names."""
+    p = pairs(spark, sf).withColumn("damage", F.expr(HOLE))
+    p = p.withColumns({"r": F.when(F.col("damage"), 0.9).otherwise(0.1 + 0.8 * F.col("r")), "b": 0.9 * F.col("b")})
+    df, names = ln.features(p)
+    return written(df.select(*KEYS, "width", "height", "damage", "known", *names)), names
+
+
+def replay_rows(spark: SparkSession, sf: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return v.select(F.col("vec_id").alias("row_id"), F.slice("embedding", 1, tf.FEATURES).alias("features"), (F.col("label") % 2 == 1).alias("label"), (1 + F.col("vec_id") % 4).cast("float").alias("weight"))
+
+
+@query("train_model")
+def train_model(spark, sf):
+    p, names = marked(spark, sf)
+    report = tr.train_gated(p, names, replay_rows(spark, sf), options=tr.Options(rate=5e-3, steps=8))
+    return report.gate
+
+
+@query("cross_validation")
+def cross_validation(spark, sf):
+    p, names = marked(spark, sf)
+    return tr.cross_validated(p, names, options=tr.Options(rate=5e-3, steps=8))
+
+
+@query("replay_scores", "with r as (select label % 2 = 1 as label, 1 + vec_id % 4 as weight, embedding[1] > 0 as flag from embeddings where vec_id % 5 = 0)\nselect coalesce(sum(weight) filter (flag and label) / nullif(sum(weight) filter (flag or label), 0)::double, 1) as iou from r")
+def replay_scores(spark, sf):
+    one = [1.0] + [0.0] * (tf.FEATURES - 1)
+    sign = ln.Network([tf.FEATURES, 1], [0.0] * tf.FEATURES, [1e-6] * tf.FEATURES, [one], [[0.0]])  # flags rows whose first feature is positive
+    return tr.replay_scores(replay_rows(spark, sf), {"sign": sign})["sign"]
+
+
 # --- fills --------------------------------------------------------------------------------------------
 @query("locked_pixels", with_sql(f"select image_id, y, x, protected or (not {HOLE} and probability < 0.15e0) as locked from masked", MASKED_SQL))
 def locked_pixels(spark, sf):

@@ -135,17 +135,6 @@ def test_tiled_fill(spark):
     assert np.allclose(kn.tiled_fill(masked, None).toPandas().r, 0.5) and "no model" in kn.tiled_fill(masked, None).first().note
 
 
-def test_training_follows_labels(spark, sf):
-    """A bounded stratified sample, drawn by Spark, trains a network that beats its start."""
-    p = catalogue.pairs(spark, sf).withColumns({"damage": F.col("r") > 0.6})
-    rows = ln.stratified(p, 400).select("r", "g", "b", "damage").toPandas()
-    start = ln.Network([3, 4, 1], [0.5] * 3, [0.25] * 3, [[0.3, -0.2, 0.1, 0.4] * 3, [0.2, -0.3, 0.4, 0.1]], [[0.0] * 4, [0.0]])
-    made, history = ln.train(rows[["r", "g", "b"]].to_numpy(), rows.damage.to_numpy(float), np.ones(len(rows)), start, epochs=20, rate=0.01)
-    hit = ((made.predict(rows[["r", "g", "b"]].to_numpy()) > 0.5) == rows.damage).mean()
-    assert hit > 0.9 and history[-1] < history[0]
-    assert ln.Network.from_json(made.to_json()) == made
-
-
 def test_image_files_come_back(spark, tmp_path):
     p = rt.drawn_raster(spark)
     (tmp_path / "a.png").write_bytes(bytes(rt.encode_png(p).first().png))
