@@ -62,8 +62,3 @@ def calibrated(p, sensitivity: float, repair: float = 0.5, model: float = 0.5) -
     """Moves a model's probability so that its threshold falls on the repair threshold."""
     lg = lambda v: math.log(min(max(v, 1e-6), 1 - 1e-6) / (1 - min(max(v, 1e-6), 1 - 1e-6)))
     return sigmoid(logit(p) + (lg(repair) - lg(model) + 4 * (min(max(sensitivity, 0), 1) - 0.4)))
-
-
-def working_size(width: int, height: int, long_side: int) -> tuple[int, int]:
-    scale = min(1.0, long_side / max(width, height))
-    return max(1, round(width * scale)), max(1, round(height * scale))

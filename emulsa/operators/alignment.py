@@ -17,6 +17,8 @@ from emulsa.functions.pixels import luminance
 from emulsa.operators import damage as dm
 from emulsa.operators import learning as ln
 from emulsa.operators import neighbourhood as nb
+from emulsa.operators import resample as rs
+from emulsa.plans.stages import written
 
 KEYS = ["image_id", "y", "x"]
 #: Search sizes, steps and thresholds: fixed values.
@@ -221,7 +223,7 @@ def damage_label(df: DataFrame, residual: str = "residual", texture: str = "text
 def ground_truth(damaged: DataFrame, restored: DataFrame, alignments: DataFrame) -> DataFrame:
     """image_id, y, x, width, height, r, g, b, damage, known of every scan whose colours could be fitted.
 
-    Pixels are at the size of the analysis; larger scans go through ``resample.area_resize`` before.
+    Pixels are at the size of the analysis; ``ground_truth_at_size`` brings larger scans there.
     """
     targets = {"tr": "r", "tg": "g", "tb": "b"}
     placed = warp(restored, alignments, ["r", "g", "b"]).select(*KEYS, *[F.col(c).alias(t) for t, c in targets.items()])
@@ -240,6 +242,25 @@ def ground_truth(damaged: DataFrame, restored: DataFrame, alignments: DataFrame)
     return both.select(*KEYS, "width", "height", "r", "g", "b", "damage", "known")
 
 
+def ground_truth_at_size(damaged: DataFrame, restored: DataFrame, alignments: DataFrame, long_side: int = ln.WORKING_SIDE) -> DataFrame:
+    """``ground_truth`` of scans of any size, analysed at twice the working size and voted down to it.
+
+    A pixel is damaged if more than half of its area is, and known if all of it is (0.999).
+    """
+    sizes = written(damaged.select("image_id", "width", "height").distinct())
+    work = dict(zip(("to_width", "to_height"), rs.working_size(long_side), strict=True))
+    there = sizes.withColumns(work)
+    fine_scale = F.least(F.lit(1.0), 2.0 * F.greatest("to_width", "to_height") / F.greatest("width", "height"))
+    fine = there.select("image_id", "width", "height", *[F.greatest(F.lit(1), F.bround(F.col(n) * fine_scale).cast("int")).alias(f"to_{n}") for n in ("width", "height")])
+    placed = alignments.drop("width", "height").join(fine.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height")), "image_id")
+    flags = written(ground_truth(rs.resize_each(damaged, ["r", "g", "b"], fine), restored, placed))
+    down = fine.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height")).join(there.select("image_id", "to_width", "to_height"), "image_id")
+    found = flags.withColumns({c: F.col(c).cast("double") for c in ("damage", "known")})
+    found = rs.resize_each(found, ["damage", "known"], down.join(flags.select("image_id").distinct(), "image_id", "left_semi"))
+    votes = found.select(*KEYS, (F.col("damage") > 0.5).alias("damage"), (F.col("known") > 0.999).alias("known"))
+    return rs.resize_each(damaged, ["r", "g", "b"], there).join(votes, KEYS)
+
+
 def candidates() -> Column:
     """Pixels that a model may be trained on."""
     return F.col("known") & ~ln.held_out()

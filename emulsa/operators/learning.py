@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emulsa.functions.pixels import calibrated, luminance, opponents, saturation
 from emulsa.operators import neighbourhood as nb
+from emulsa.operators import resample as rs
+from emulsa.plans.stages import written
 
 #: Radii of the windows: fixed values.
 RADII = (2, 6, 16, 40)
+#: What the learned detector calls all damage: a fixed value.
+SPECKLE = "MetallicOrFoxingSpeckle"
 
 
 def features(pixels: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -93,19 +99,72 @@ def predict(df: DataFrame, names: list[str], network: Network, out: str = "raw")
     return df.withColumn(out, run(F.struct(*names)))
 
 
-def learned_detector(pixels: DataFrame, network: Network, sensitivity: float = 0.2) -> DataFrame:
-    """Adds ``raw`` (the network's smoothed output) and probability, calibrated for the sensitivity.
+#: Longer side at which the detector works: a fixed value.
+WORKING_SIDE = 1280
+
 
-    Pixels are at the working size: larger images go through ``resample.area_resize`` before.
-    """
+def learned_raw(pixels: DataFrame, network: Network) -> DataFrame:
+    """``raw``: the network's smoothed output at the size of the pixels."""
     df, names = features(pixels)
     own = pixels.columns
     df = predict(df, names, network, "_raw").select(*own, "_raw")
     if network.smooth_radius:
-        df = nb.box_mean(df, {"raw": "_raw"}, network.smooth_radius).drop("_raw")
-    else:
-        df = df.withColumnRenamed("_raw", "raw")
-    return df.withColumn("probability", calibrated("raw", sensitivity, model=network.threshold))
+        return nb.box_mean(df, {"raw": "_raw"}, network.smooth_radius).drop("_raw")
+    return df.withColumnRenamed("_raw", "raw")
+
+
+def learned_detector(pixels: DataFrame, network: Network, sensitivity: float = 0.2) -> DataFrame:
+    """Adds ``raw`` and probability, calibrated for the sensitivity, at the size of the pixels."""
+    return learned_raw(pixels, network).withColumn("probability", calibrated("raw", sensitivity, model=network.threshold))
+
+
+def detected_raw(pixels: DataFrame, network: Network, long_side: int = WORKING_SIDE) -> DataFrame:
+    """image_id, y, x, width, height and raw of images of any size: shrunk to the working size and back again, each by its own size."""
+    sizes = pixels.select("image_id", "width", "height").distinct()
+    to_width, to_height = rs.working_size(long_side)
+    there = sizes.withColumns({"to_width": to_width, "to_height": to_height})
+    back = there.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height"), F.col("width").alias("to_width"), F.col("height").alias("to_height"))
+    small = rs.resize_each(pixels, ["r", "g", "b"], there)
+    return rs.resize_each(learned_raw(small, network), ["raw"], back)
+
+
+def as_mask(raw: DataFrame, network: Network, sensitivity: float = 0.2) -> DataFrame:
+    """Adds the calibrated probability and the type of damage."""
+    df = raw.withColumn("probability", calibrated("raw", sensitivity, model=network.threshold))
+    return df.withColumn("damage_type", F.when(F.col("probability") > 0.05, SPECKLE).otherwise("None"))
+
+
+def image_digests(pixels: DataFrame) -> DataFrame:
+    """image_id and a digest of its size and colours, from sums that combine before any shuffle."""
+    place = F.xxhash64("y", "x", "width", "height", "r", "g", "b")
+    sums = pixels.groupBy("image_id").agg(F.bit_xor(place).alias("_a"), F.sum(F.xxhash64(place).cast("decimal(38,0)")).alias("_b"), F.count("*").alias("_n"))
+    return sums.select("image_id", F.md5(F.concat_ws(":", "_a", "_b", "_n")).alias("digest"))
+
+
+class RawCache:
+    """Raw outputs kept under a folder by network and image digest, so that another sensitivity computes none of them anew."""
+
+    def __init__(self, folder: str, network: Network, long_side: int = WORKING_SIDE):
+        name = hashlib.sha256(f"{network.to_json()}:{long_side}".encode()).hexdigest()
+        self.path, self.network, self.long_side = f"{folder.rstrip('/')}/raw-{name[:32]}", network, long_side
+
+    def known(self, spark) -> DataFrame | None:
+        try:
+            return spark.read.schema("y int, x int, width int, height int, raw double, digest string").parquet(self.path)
+        except AnalysisException:  # nothing is kept yet
+            return None
+
+    def raw(self, pixels: DataFrame) -> DataFrame:
+        """``detected_raw`` of the images; those without an entry are computed and kept first."""
+        digests = written(image_digests(pixels))
+        have = self.known(pixels.sparkSession)
+        new = digests if have is None else digests.join(have.select("digest").distinct(), "digest", "left_anti")
+        new = written(new.groupBy("digest").agg(F.min("image_id").alias("image_id")))
+        if not new.isEmpty():
+            made = detected_raw(pixels.join(new.select("image_id"), "image_id", "left_semi"), self.network, self.long_side)
+            made = made.join(new, "image_id").select(*[F.col(c).cast("int").alias(c) for c in ("y", "x", "width", "height")], "raw", "digest")
+            made.repartition("digest").write.mode("append").partitionBy("digest").parquet(self.path)
+        return digests.join(self.known(pixels.sparkSession), "digest").select("image_id", "y", "x", "width", "height", "raw")
 
 
 def loss_and_gradient(sizes: list[int], flat: np.ndarray, z: np.ndarray, y: np.ndarray, weight: np.ndarray, gradients: bool = True) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.operators.neighbourhood import AXES
@@ -61,6 +61,51 @@ def resize(df: DataFrame, cols: list[str], size_in: tuple[int, int], width: int,
     return area_resize(df, cols, width, height) if width <= size_in[0] and height <= size_in[1] else bilinear(df, cols, width, height)
 
 
+# --- sizes that differ from image to image ------------------------------------------------------------
+def working_size(long_side: int, grow: bool = False) -> tuple[Column, Column]:
+    """Width and height at which the longer side is ``long_side``; smaller images stay as they are unless they may grow."""
+    scale = F.lit(float(long_side)) / F.greatest("width", "height")
+    scale = scale if grow else F.least(F.lit(1.0), scale)
+    side = lambda n: F.greatest(F.lit(1), F.bround(F.col(n) * scale).cast("int"))
+    return side("width"), side("height")
+
+
+def _shares(sizes: DataFrame, axis: str, n: str, out: str) -> DataFrame:
+    """image_id, the output place _o, an input place and its weight: area means where ``area`` holds, else linear taps."""
+    scale, o = F.col(n) / F.col(out).cast("double"), F.col("_o")
+    grid = sizes.select("image_id", n, out, "area", F.explode(F.sequence(F.lit(0), F.col(out) - 1)).alias("_o"))
+    first = F.floor(o * scale).cast("int")
+    last = F.least(F.col(n), F.ceil((o + 1) * scale).cast("int")) - 1
+    part = lambda k: (F.least(k + 1.0, (o + 1) * scale) - F.greatest(k + 0.0, o * scale)) / scale
+    mean = F.transform(F.sequence(first, F.greatest(first, last)), lambda k: F.struct(k.alias("at"), part(k).alias("w")))
+    f = (o + 0.5) * scale - 0.5
+    low, t = F.floor(f).cast("int"), f - F.floor(f)
+    inside = lambda k: F.least(F.greatest(k, F.lit(0)), F.col(n) - 1)
+    two = F.array(F.struct(inside(low).alias("at"), (1.0 - t).alias("w")), F.struct(inside(low + 1).alias("at"), t.alias("w")))
+    taps = grid.select("image_id", "_o", F.explode(F.when(F.col("area"), mean).otherwise(two)).alias("_p"))
+    return taps.select("image_id", "_o", F.col("_p.at").alias(axis), F.col("_p.w").alias("_w"))
+
+
+def resize_each(df: DataFrame, cols: list[str], sizes: DataFrame) -> DataFrame:
+    """Every image at its own new size: sizes has image_id, width, height, to_width, to_height.
+
+    Area means where both axes shrink or stay, else bilinear; images that keep their size skip all shuffles.
+    Other columns than keys, sizes and ``cols`` go.
+    """
+    keep = ["image_id", "y", "x", "width", "height"]
+    sizes = sizes.select(*[c for c in ("image_id", "width", "height", "to_width", "to_height")])
+    same = (F.col("width") == F.col("to_width")) & (F.col("height") == F.col("to_height"))
+    plain = df.select(*keep, *cols)
+    rest = sizes.where(~same).withColumn("area", (F.col("to_width") <= F.col("width")) & (F.col("to_height") <= F.col("height")))
+    some = plain.join(rest.select("image_id"), "image_id", "left_semi").select("image_id", "y", "x", *cols)
+    across = some.join(_shares(rest, "x", "width", "to_width"), ["image_id", "x"])
+    across = across.groupBy("image_id", "y", F.col("_o").alias("_x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in cols])
+    down = across.join(_shares(rest, "y", "height", "to_height"), ["image_id", "y"])
+    down = down.groupBy("image_id", F.col("_o").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in cols])
+    made = down.join(rest.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height")), "image_id").select(*keep, *cols)
+    return plain.join(sizes.where(same).select("image_id"), "image_id", "left_semi").unionByName(made)
+
+
 def tile_starts(length: int, tile: int, overlap: int = 128) -> list[int]:
     if length <= tile:
         return [0]

@@ -6,8 +6,10 @@ have something to work on; ``pairs`` gives it a damage flag, a known flag and ta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ from emulsa.operators import learning as ln
 from emulsa.operators import neighbourhood as nb
 from emulsa.operators import resample as rs
 from emulsa.plans import restoration
-from emulsa.sources.rasters import rasters, rasters_sql
+from emulsa.plans.stages import shared_folder
+from emulsa.sources.rasters import image_files, rasters, rasters_sql, save_images
 
 KEYS = ["image_id", "y", "x"]
 L = "(0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b)"
@@ -511,6 +514,64 @@ def learned_detector(spark, sf):
     return rounded(ln.learned_detector(rasters(spark, sf), detector_network()).select(*KEYS, "raw", "probability"), KEYS, ["raw", "probability"])
 
 
+@query("image_sink", with_sql(f"select image_id, y, x, width, height, {r6(r='round_even(least(greatest(r, 0), 1) * 255, 0) / 255', g='round_even(least(greatest(g, 0), 1) * 255, 0) / 255', b='round_even(least(greatest(b, 0), 1) * 255, 0) / 255')} from pixels"))
+def image_sink(spark, sf):
+    """Saved as PNG files and scanned again."""
+    folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    save_images(rasters(spark, sf), folder)
+    back = image_files(spark, folder).withColumn("image_id", F.regexp_extract("origin", r"([0-9]+)\.png$", 1).cast("long"))
+    return rounded(back, [*KEYS, "width", "height"], ["r", "g", "b"])
+
+
+@query("detector_at_size")
+def detector_at_size(spark, sf):
+    """Works at a longer side of 50, so that some images shrink and others keep their size."""
+    raw = ln.detected_raw(rasters(spark, sf), detector_network(), 50)
+    return rounded(ln.as_mask(raw, detector_network()), [*KEYS, "damage_type"], ["raw", "probability"])
+
+
+class BrightCells:
+    """A stand-in for a face model: a cell's score is the brightness of its middle, its box as wide as the cell."""
+
+    def __call__(self):
+        def run(planes):
+            out = {}
+            for stride in fc.STRIDES:
+                middle = planes[:, stride // 2 :: stride, stride // 2 :: stride].mean(0).ravel() / 255
+                out |= {f"cls_{stride}": middle, f"obj_{stride}": middle, f"bbox_{stride}": np.tile([0.5, 0.5, 0.0, 0.0], (len(middle), 1)).ravel()}
+            return out
+
+        return run
+
+
+@query("face_tiles")
+def face_tiles(spark, sf):
+    found = fc.detect(rasters(spark, sf), BrightCells(), sides=(96, 192), tile=96, overlap=32, above=0.7)
+    return rounded(found, ["image_id"], ["x", "y", "width", "height", "score"])
+
+
+def sized_sql(long_side: int) -> str:
+    side = lambda n: f"greatest(1, cast(round_even({n} * least(1e0, {long_side}e0 / greatest(width, height)), 0) as int))"
+    return f"sized as (select *, {side('width')} as tw, {side('height')} as th from pixels)"
+
+
+def each_area_sql(source: str, out: str, p: str, other: str, n: str, m: str) -> str:
+    share = f"(least({p} + 1e0, (o + 1) * {n} / {m}::double) - greatest({p} + 0e0, o * {n} / {m}::double)) / ({n} / {m}::double)"
+    keep = "image_id, width, height, tw, th"
+    return f"{out} as (select {keep}, {other}, o as {p}, {', '.join(f'sum({share} * {c}) as {c}' for c in 'rgb')} from {source} join range({DRAWN_MOST}) t(o) on o < {m} and ({p} + 1) * {m}::double / {n} > o and {p} * {m}::double / {n} < o + 1 group by {keep}, {other}, o)"
+
+
+DRAWN_MOST = 64
+
+
+@query("resize_each", with_sql(f"select image_id, cast(y as int) as y, cast(x as int) as x, tw as width, th as height, {r6(r='r', g='g', b='b')} from ey", sized_sql(50), each_area_sql("sized", "ex", "x", "y", "width", "tw"), each_area_sql("ex", "ey", "y", "x", "height", "th")))
+def resize_each(spark, sf):
+    p = rasters(spark, sf)
+    to_width, to_height = rs.working_size(50)
+    sizes = p.select("image_id", "width", "height").distinct().withColumns({"to_width": to_width, "to_height": to_height})
+    return rounded(rs.resize_each(p, ["r", "g", "b"], sizes), [*KEYS, "width", "height"], ["r", "g", "b"])
+
+
 @query("locked_restoration")
 def locked_restoration(spark, sf):
     m = masked(spark, sf)

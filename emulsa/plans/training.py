@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from emulsa.operators import library as lb
 from emulsa.operators import neighbourhood as nb
 from emulsa.operators import training as tr
 from emulsa.plans.catalogue import HELD, HOLE, KEYS, LUM, MASKED_SQL, NUDGE, PAIRS_SQL, box_sql, masked, pairs, query, r6, rounded, with_sql
-from emulsa.plans.stages import written
+from emulsa.plans.stages import shared_folder, written
+from emulsa.sources import file_formats as ff
 from emulsa.sources import training_files as tf
 from emulsa.sources.rasters import rasters
 
@@ -81,6 +84,15 @@ def ground_truth(spark, sf):
     return al.ground_truth(toned, p, placed(spark, sf).withColumns({"scale_x": F.lit(1.0), "scale_y": F.lit(1.0), "offset_x": F.lit(0.0), "offset_y": F.lit(0.0)})).select(*KEYS, "damage", "known")
 
 
+@query("ground_truth_at_size")
+def ground_truth_at_size(spark, sf):
+    """Analysed at a longer side of 48, voted down to 24."""
+    p = rasters(spark, sf)
+    toned = p.withColumns({"r": F.when(F.expr(HOLE), 0.9).otherwise(0.1 + 0.8 * F.col("r")), "b": 0.9 * F.col("b")})
+    at = placed(spark, sf).withColumns({"scale_x": F.lit(1.0), "scale_y": F.lit(1.0), "offset_x": F.lit(0.0), "offset_y": F.lit(0.0)})
+    return al.ground_truth_at_size(toned, p, at, 24).select(*KEYS, "width", "height", "damage", "known")
+
+
 DRAWN = 500
 
 
@@ -155,11 +167,18 @@ def pair_files(spark, sf):
     return rounded(back, ["path", "name", "y", "x", "width", "height", "damage", "known"], ["r", "g", "b"])
 
 
-@query("replay_files")
+REPLAY_FILES = 8
+
+
+@query("replay_files", "select vec_id % 4 + 1 as weight, label % 2 = 1 as label, count(*) as n from embeddings group by all")
 def replay_files(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = v.select(F.lit("replay").alias("path"), F.col("vec_id").alias("row_id"), F.slice("embedding", 1, tf.FEATURES).alias("features"), (F.col("label") % 2 == 1).alias("label"), (1 + F.col("vec_id") % 4).cast("float").alias("weight"))
-    return tf.decode_replay(tf.encode_replay(rows, 5))
+    """Written as files, read by the data source, counted."""
+    rows = replay_rows(spark, sf).withColumn("path", F.lit("replay"))
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    content = tf.encode_replay(rows, 5, REPLAY_FILES)
+    ff.save_files(content.select(F.concat("path", F.lit(".bin")).alias("name"), "content"), folder)
+    back = spark.read.format("replay_files").option("path", folder).load()
+    return back.groupBy(F.col("weight").cast("long").alias("weight"), "label").agg(F.count("*").alias("n"))
 
 
 # --- library ------------------------------------------------------------------------------------------

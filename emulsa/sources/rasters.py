@@ -1,7 +1,7 @@
 """Pixel tables: image_id, y, x, width, height, r, g, b, a with values in [0, 1].
 
 ``embedding_raster`` reads complete 64 x 64 images out of a vector table; ``drawn_raster`` is a closed-form
-image with zones that each detector rule answers to; ``image_files`` and ``write_png`` are the file scan
+image with zones that each detector rule answers to; ``image_files`` and ``save_images`` are the file scan
 and sink.
 """
 
@@ -13,6 +13,9 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emulsa.functions.pixels import quantize
+from emulsa.sources.file_formats import save_files
+
 #: Import formats: fixed values.
 FORMATS = "*.{jpg,jpeg,png,bmp,tiff,tif}"
 SIDE, DRAWN_WIDTH, DRAWN_HEIGHT, DRAWN_ID = 64, 48, 40, 1_000_000
@@ -84,14 +87,32 @@ def png(width: int, height: int, rgba: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def encode_png(pixels: DataFrame) -> DataFrame:
-    """image_id and the bytes of its PNG: one group for each image, which fits one task by the data model."""
+def encode_images(pixels: DataFrame, kind: str = "png", quality: int = 95) -> DataFrame:
+    """image_id and the bytes of its file, PNG with alpha or JPEG without: one group for each image, which fits one task by the data model.
+
+    A JPEG's quality is cut to 1..100.
+    """
+    import numpy as np
     import pandas as pd
 
+    from emulsa.sources.jpeg import jpeg
+
+    if kind not in ("png", "jpeg"):
+        raise ValueError(f"unsupported output format {kind}")
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
-        body = pdf[["r", "g", "b", "a"]].astype("uint8").to_numpy().tobytes()
-        return pd.DataFrame({"image_id": [key[0]], "png": [png(int(pdf.width.iloc[0]), int(pdf.height.iloc[0]), body)]})
+        width, height = int(pdf.width.iloc[0]), int(pdf.height.iloc[0])
+        values = pdf[["r", "g", "b", "a"]].to_numpy(np.uint8)
+        content = png(width, height, values.tobytes()) if kind == "png" else jpeg(values[:, :3].reshape(height, width, 3), quality)
+        return pd.DataFrame({"image_id": [key[0]], "content": [content]})
+
+    whole = pixels.select("image_id", "y", "x", "width", "height", *[quantize(c).alias(c) for c in "rgba"])
+    return whole.groupBy("image_id").applyInPandas(run, "image_id long, content binary")
+
 
-    whole = pixels.select("image_id", "y", "x", "width", "height", *[F.bround(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias(c) for c in "rgba"])
-    return whole.groupBy("image_id").applyInPandas(run, "image_id long, png binary")
+def save_images(pixels: DataFrame, path: str, kind: str = "png", quality: int = 95, mode: str = "append") -> None:
+    """Writes every image as a file named by its id."""
+    files = encode_images(pixels, kind, quality)
+    end = ".png" if kind == "png" else ".jpg"
+    save_files(files.select(F.concat(F.col("image_id").cast("string"), F.lit(end)).alias("name"), "content"), path, mode)

@@ -67,9 +67,15 @@ def pair_rows(path: str, content: bytes) -> pd.DataFrame:
     return pd.DataFrame({"path": path, "name": name, "y": place // max(width, 1), "x": place % max(width, 1), "width": width, "height": height} | {c: raw[:, k] / 255 for k, c in enumerate("rgb")} | {"damage": raw[:, 3] & 1 > 0, "known": raw[:, 3] & 2 > 0})
 
 
-def encode_replay(rows: DataFrame, pairs: int) -> DataFrame:
-    """path, content of replay rows (path, row_id, features, label, weight), in order of a digest of row_id; one file a group."""
-    mixed = rows.select("path", "features", "label", "weight", F.md5(F.col("row_id").cast("string")).alias("place"))
+def encode_replay(rows: DataFrame, pairs: int, files: int = 1) -> DataFrame:
+    """path, content of replay rows (path, row_id, features, label, weight), in order of a digest of row_id.
+
+    With more than one file a path's rows are dealt among path-0, path-1, ... by that digest; a file is a group.
+    """
+    place = F.md5(F.col("row_id").cast("string"))
+    part = F.pmod(F.conv(F.substring(place, 1, 8), 16, 10).cast("long"), F.lit(files)).cast("string")
+    path = F.concat("path", F.lit("-"), part) if files > 1 else F.col("path")
+    mixed = rows.select(path.alias("path"), "features", "label", "weight", place.alias("place"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")

@@ -90,11 +90,15 @@ def test_ground_truth_by_hand(spark):
 
 
 def test_replay_comes_back_in_half_precision(spark, sf):
-    got = training.replay_files(spark, sf).toPandas()
+    rows = training.replay_rows(spark, sf).withColumn("path", F.lit("replay"))
+    got = tf.decode_replay(tf.encode_replay(rows, 5)).toPandas()
     v = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     want = sorted((tuple(np.array(e[:34], np.float16).astype(np.float32).tolist()), bool(n % 2), float(1 + i % 4)) for e, n, i in zip(v.embedding, v.label, v.vec_id, strict=True))
     assert sorted(zip((tuple(f) for f in got.features), got.label, got.weight, strict=True)) == want
     assert set(got.pairs) == {5} and sorted(got.row_id) == list(range(len(v)))
+    parts = tf.decode_replay(tf.encode_replay(rows, 5, 4)).toPandas()
+    assert sorted(zip((tuple(f) for f in parts.features), parts.label, parts.weight, strict=True)) == want
+    assert set(parts.path) == {f"replay-{k}" for k in range(4)} and all(sorted(g.row_id) == list(range(len(g))) for _, g in parts.groupby("path"))
 
 
 def files(spark, *contents):
@@ -137,7 +141,7 @@ def test_tiled_fill(spark):
 
 def test_image_files_come_back(spark, tmp_path):
     p = rt.drawn_raster(spark)
-    (tmp_path / "a.png").write_bytes(bytes(rt.encode_png(p).first().png))
+    (tmp_path / "a.png").write_bytes(bytes(rt.encode_images(p).first().content))
     (tmp_path / "b.txt").write_text("no image")
     got = rt.image_files(spark, str(tmp_path)).select("y", "x", "width", "height", "r", "g", "b").toPandas().sort_values(["y", "x"])
     want = p.toPandas().sort_values(["y", "x"])
