@@ -25,24 +25,35 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import cut, filled, ranges, slices
+from emulsa.llm.common import cut, filled, give_back, ranges, slices
 from emulsa.llm.wordbpe import byte_alphabet, default_path
 
 CUT = re.compile(r"(?<=[\w!-~]) (?!\Z)")
+#: Where a text can't be split at each blank as it stands.
+UNEVEN = re.compile(r"\A |[^\w!-~] | \Z")
 BLANK = "▁"
-#: Fragments that a worker remembers between slices.
-CACHE = 200_000
+#: The byte-level pre-tokenizer's pattern: a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A fragment before a cut ends like this.
+ENDS = re.compile(r"[\w!-~]\Z")
+#: Fragments encoded in one call, and bytes of text in a slice.
+TOGETHER, SLICE = 2000, 4 << 20
 SHIFT = 32
 ROWS = "slice string, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string, at binary, times binary, a int, b int, n long"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, n_best long, count_sum long, groups_sha256 string"
 
 
+def split(text: str) -> list[str]:
+    return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
+
+
 def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (A token, B token) whose byte ranges overlap; both sides cover the same bytes from 0 on."""
     first = np.searchsorted(b_end, np.r_[0, a_end[:-1]], "right")
@@ -68,37 +79,67 @@ def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return parent
 
 
-class Fragment:
-    """What one distinct fragment contributes to a text, if its bytes come back from both sides."""
+@dataclass
+class Tokens:
+    """Both sides' ids of distinct fragments in the order in which they were encoded; fragment i is the ``place[i]``-th, and the k-th has ids at[k] .. at[k + 1]."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_at: np.ndarray
+    b_at: np.ndarray
+    a_end: np.ndarray
+    b_end: np.ndarray
+    place: np.ndarray
+    valid: np.ndarray
+
+
+@dataclass
+class Aligned:
+    """What each distinct fragment contributes to a text."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_overlaps: np.ndarray
+    pairs: np.ndarray
+    pairs_at: np.ndarray
+    text: np.ndarray
+    text_at: np.ndarray
 
-    __slots__ = ("a", "b", "groups", "overlaps", "pairs", "valid")
 
-    def __init__(self, a: int, b: int, pairs: list[int], overlaps: int, groups: str):
-        self.a, self.b, self.pairs, self.overlaps, self.groups, self.valid = a, b, pairs, overlaps, groups, True
+def table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all entries, where each begins, and its length."""
+    length = np.fromiter(map(len, entries), np.int64, len(entries))
+    return np.frombuffer(b"".join(entries), np.uint8), np.cumsum(length) - length, length
 
 
 class Aligner:
-    """Both tokenizers and the fragments seen so far; made once in each Python worker."""
+    """Both tokenizers and their tokens' bytes; made once in each Python worker."""
 
     _made: dict[tuple[str, str], "Aligner"] = {}
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
         with open(a_path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
         letters = {c: b for b, c in byte_alphabet().items()}
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{a_path}: ids don't follow the order of merges")
+        # ids in the order of merges are ranks, by which this library gives the same tokens several times faster
+        self.a = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        names = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            names[i] = t
+        self.a_bytes = table(names)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(BLANK, " ").encode()
-        self.b_bytes = {i: piece(i) for i in range(self.b.vocab_size())}
-        self.seen: dict[str, Fragment] = {}
+        self.b_bytes = table([piece(i) for i in range(self.b.vocab_size())])
+        self.digits = table([str(i).encode() for i in range(max(len(names), self.b.vocab_size()))])
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> "Aligner":
@@ -106,49 +147,78 @@ class Aligner:
             cls._made[a_path, b_path] = cls(a_path, b_path)
         return cls._made[a_path, b_path]
 
-    def fragments(self, texts: list[str]) -> list[Fragment]:
-        """One for each of the distinct texts; those not seen before are encoded and aligned together."""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = [t for t in texts if t not in self.seen]
-        if new:
-            for t, f in zip(new, self.align(new), strict=True):
-                self.seen[t] = f
-        return [self.seen[t] for t in texts]
-
-    def align(self, texts: list[str]) -> list[Fragment]:
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b_ids = self.b.encode(texts, num_threads=1)
-        out: list[Fragment | None] = [None] * len(texts)
-        good = []
-        for k, (t, a, b) in enumerate(zip(texts, a_ids, b_ids, strict=True)):
-            want = b" " + t.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want:
-                good.append(k)
-            else:
-                out[k] = Fragment(0, 0, [], 0, "")
-                out[k].valid = False
-        a, b = [i for k in good for i in a_ids[k]], [i for k in good for i in b_ids[k]]
-        a_end = np.cumsum(np.fromiter((len(self.a_bytes[i]) for i in a), np.int64, len(a)))
-        b_end = np.cumsum(np.fromiter((len(self.b_bytes[i]) for i in b), np.int64, len(b)))
-        u, v = overlaps(a_end, b_end)
-        parent = union_find(len(a) + len(b), u, v + len(a))
-        # a component's least node is its first A token; its B tokens lie together too
-        roots, a_of = np.unique(parent[: len(a)], return_inverse=True)
-        b_of = np.searchsorted(roots, parent[len(a) :])
-        a_to, b_to = np.searchsorted(a_of, np.arange(len(roots)), "right"), np.searchsorted(b_of, np.arange(len(roots)), "right")
+    def tokens(self, fragments: list[str]) -> Tokens:
+        """Fragments that may stand before a cut are encoded together, ``TOGETHER`` at a time, where both sides give their bytes back; others alone."""
+        order: list[int] = []
+        parts: dict[str, list[np.ndarray]] = {"a": [], "b": [], "ends": []}
+        valid = np.ones(len(fragments), bool)
+        regular = [k for k, f in enumerate(fragments) if ENDS.search(f)]
+        alone = [[k] for k, f in enumerate(fragments) if not ENDS.search(f)]
+        todo = [regular[k : k + TOGETHER] for k in range(0, len(regular), TOGETHER)] + alone
+        while todo:
+            texts = [" ".join([fragments[k] for k in group]) for group in todo]
+            a_lists = [self.a.encode_ordinary(" " + t) for t in texts]
+            b_lists = self.b.encode(texts, num_threads=1)
+            again = []
+            for group, t, a, b in zip(todo, texts, a_lists, b_lists, strict=True):
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
+                want = np.frombuffer((" " + t).encode(), np.uint8)
+                if not (np.array_equal(joined(self.a_bytes, a), want) and np.array_equal(joined(self.b_bytes, b), want)):
+                    if len(group) > 1:
+                        again += [[k] for k in group]
+                        continue
+                    valid[group[0]] = False
+                    a = b = a[:0]
+                    want = want[:0]
+                order += group
+                parts["a"].append(a)
+                parts["b"].append(b)
+                size = [1 + len(fragments[k].encode()) for k in group] if len(group) > 1 else [len(want)]
+                parts["ends"].append(np.array(size, np.int64))
+            todo = again
+        a, b, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in parts.values())
+        a_end, b_end, ends = np.cumsum(self.a_bytes[2][a]), np.cumsum(self.b_bytes[2][b]), np.cumsum(size)
+        place = np.empty(len(fragments), np.int64)
+        place[np.array(order, np.int64)] = np.arange(len(order))
+        at = lambda end: np.r_[0, np.searchsorted(end, ends, "right")]
+        return Tokens(a, b, at(a_end), at(b_end), a_end, b_end, place, valid)
+
+    def align(self, fragments: list[str]) -> tuple[Aligned, np.ndarray, np.ndarray]:
+        """The fragments' contributions, each fragment's place among them, and whether its bytes come back."""
+        t = self.tokens(fragments)
+        n, m = len(t.a), len(t.b)
+        u, v = overlaps(t.a_end, t.b_end)
+        parent = union_find(n + m, u, v + n)
+        # a component's least node is its first A token; roots in that order number the groups
+        root = np.flatnonzero(parent[:n] == np.arange(n))
+        a_of, b_of = np.searchsorted(root, parent[:n]), np.searchsorted(root, parent[n:])
         # links: members of one component that end together
-        m = np.minimum(np.searchsorted(b_end, a_end), max(0, len(b) - 1))
-        ends = np.flatnonzero((b_end[m] == a_end) & (b_of[m] == a_of)) if len(b) else np.empty(0, np.int64)
-        keys = ((np.array(a, np.int64)[ends] << SHIFT) | np.array(b, np.int64)[m[ends]]).tolist()
-        a_text, b_text = list(map(str, a)), list(map(str, b))
-        groups = [",".join(a_text[s:e]) + "|" + ",".join(b_text[p:q]) for s, e, p, q in zip(np.r_[0, a_to[:-1]].tolist(), a_to.tolist(), np.r_[0, b_to[:-1]].tolist(), b_to.tolist(), strict=True)] if len(roots) else []
-        at_a = np.cumsum([0, *(len(a_ids[k]) for k in good)])
-        edge_at, link_at = np.searchsorted(u, at_a), np.searchsorted(ends, at_a)
-        group_at = np.r_[a_of, len(roots)][at_a]
-        for j, k in enumerate(good):
-            out[k] = Fragment(len(a_ids[k]), len(b_ids[k]), keys[link_at[j] : link_at[j + 1]], int(edge_at[j + 1] - edge_at[j]), ";".join(groups[group_at[j] : group_at[j + 1]]))
-        return out
+        same = np.minimum(np.searchsorted(t.b_end, t.a_end), max(0, m - 1))
+        linked = np.flatnonzero((t.b_end[same] == t.a_end) & (b_of[same] == a_of)) if m else np.empty(0, np.int64)
+        pairs = (t.a[linked] << SHIFT) | t.b[same[linked]]
+        groups_at = np.searchsorted(root, t.a_at)
+        # a1,a2|b1;: tokens by group, A before B, each with its digits and a sign after it
+        rank = np.concatenate([np.arange(n) + np.searchsorted(b_of, a_of), np.arange(m) + np.searchsorted(a_of, b_of, "right")])
+        ids, sign = np.empty(n + m, np.int64), np.full(n + m, ord(","), np.uint8)
+        ids[rank] = np.concatenate([t.a, t.b])
+        sign[rank[:n][np.r_[a_of[1:] != a_of[:-1], True][:n]]] = ord("|")
+        sign[rank[n:][np.r_[b_of[1:] != b_of[:-1], True][:m]]] = ord(";")
+        flat, start, length = self.digits
+        ends = np.cumsum(length[ids] + 1)
+        text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        text[ends - 1] = sign
+        keep = np.ones(len(text), bool)
+        keep[ends - 1] = False
+        text[keep] = flat[ranges(start[ids], length[ids])]
+        tokens_at = t.a_at + t.b_at
+        text_at = np.r_[0, ends][tokens_at]
+        made = Aligned(np.diff(t.a_at), np.diff(t.b_at), np.diff(groups_at), np.diff(np.searchsorted(u, t.a_at)), pairs, np.searchsorted(linked, t.a_at), text, text_at)
+        return made, t.place, t.valid
+
+
+def joined(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    flat, start, length = table
+    return flat[ranges(start[ids], length[ids])]
 
 
 def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -159,28 +229,23 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         aligner, task = Aligner.of(a_path, b_path), TaskContext.get().partitionId()
         schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (c.split(" ") for c in ROWS.split(", "))])
-        for k, batch in enumerate(slices(batches)):
-            parts = [CUT.split(t) if t else [] for t in filled(batch.column(1)).to_pylist()]
+        for k, batch in enumerate(slices(batches, most=SLICE)):
             code: dict[str, int] = {}
-            codes = [np.fromiter((code.setdefault(p, len(code)) for p in ps), np.int64, len(ps)) for ps in parts]
-            del parts
-            found = aligner.fragments(list(code))
+            codes = [np.array([code.setdefault(p, len(code)) for p in split(t)] if t else [], np.int64) for t in filled(batch.column(1)).to_pylist()]
+            got, place, valid = aligner.align(list(code))
             del code
-            column = lambda f: np.fromiter(map(f, found), np.int64, len(found))
-            n_a, n_b, n_over, n_pairs, valid = column(lambda f: f.a), column(lambda f: f.b), column(lambda f: f.overlaps), column(lambda f: len(f.pairs)), column(lambda f: f.valid) > 0
-            n_groups = column(lambda f: f.groups.count("|"))
-            flat = np.fromiter((p for f in found for p in f.pairs), np.int64, int(n_pairs.sum()))
-            keys, place = np.unique(flat, return_inverse=True)
-            start = np.cumsum(n_pairs) - n_pairs
+            n_pairs = np.diff(got.pairs_at)
+            keys, pair = np.unique(got.pairs, return_inverse=True)
             total = np.zeros(len(keys), np.int64)
             rows: dict[str, list] = {n: [] for n in schema.names}
             for row, (doc, c) in enumerate(zip(batch.column(0).to_pylist(), codes, strict=True)):
                 ok = len(c) > 0 and bool(valid[c].all())
-                c = c if ok else c[:0]
-                at, times = np.unique(place[ranges(start[c], n_pairs[c])], return_counts=True)
+                c = place[c if ok else c[:0]]
+                at, times = np.unique(pair[ranges(got.pairs_at[c], n_pairs[c])], return_counts=True)
                 total[at] += times
-                digest = hashlib.sha256(";".join([found[i].groups for i in c.tolist()]).encode()).hexdigest() if ok else ""
-                line = (None, row, doc, int(n_a[c].sum()), int(n_b[c].sum()), int(n_groups[c].sum()), int(times.sum()), int(n_over[c].sum()), digest, at.astype("<u4").tobytes(), times.astype("<u4").tobytes(), None, None, None)
+                text = got.text[ranges(got.text_at[c], got.text_at[c + 1] - got.text_at[c])]
+                digest = hashlib.sha256(text[:-1]).hexdigest() if ok else ""
+                line = (None, row, doc, int(got.n_a[c].sum()), int(got.n_b[c].sum()), int(got.n_groups[c].sum()), int(times.sum()), int(got.n_overlaps[c].sum()), digest, at.astype("<u4").tobytes(), times.astype("<u4").tobytes(), None, None, None)
                 for n, x in zip(schema.names, line, strict=True):
                     rows[n].append(x)
             name = f"{task:07d}-{k:06d}"
@@ -192,6 +257,8 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 | {"slice": pa.array([name] * len(used), pa.string()), "row": pa.array(used, pa.int32()), "a": pa.array(keys[used] >> SHIFT, pa.int32()), "b": pa.array(keys[used] & ((1 << SHIFT) - 1), pa.int32()), "n": pa.array(total[used], pa.int64())},
                 schema,
             )
+            del codes, got, pair, rows
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
 

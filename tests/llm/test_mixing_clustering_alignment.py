@@ -224,11 +224,19 @@ def plain_alignment(rows, encode):
     for doc, text in rows:
         a, b = map(ranges, encode(text))
         ends = sorted({e for *_, e in a} & {e for *_, e in b})
-        groups, s = [], 0
+        groups = []
+        sides = [iter(a), iter(b)]
         for e in ends:
-            groups.append(tuple([i for i, p, q in side if s <= p and q <= e] for side in (a, b)))
-            s = e
-        links = [(i, j) for i, _, e in a for j, _, f in b if e == f] if len(a) < 4000 else [(x[-1], y[-1]) for x, y in groups]
+            group = ([], [])
+            for side, ids in zip(sides, group, strict=True):
+                while True:
+                    i, _, q = next(side)
+                    ids.append(i)
+                    if q == e:
+                        break
+            groups.append(group)
+        by_end = {f: j for j, _, f in b}  # no two tokens of a side end together
+        links = [(i, by_end[e]) for i, _, e in a if e in by_end]
         counts.update(links)
         made.append((doc, a, b, groups, links))
     best = defaultdict(int)
@@ -255,6 +263,7 @@ def test_fragments_are_the_whole_text(both):
     for _ in range(3000):
         text = "".join(rnd.choices(alphabet, k=rnd.randint(1, 40)))
         a, b = both(text)
+        assert op13_alignment.split(text) == op13_alignment.CUT.split(text)
         if a:
             parts = [both(p) for p in op13_alignment.CUT.split(text)]
             assert [x for p, _ in parts for x in p] == a and [x for _, p in parts for x in p] == b
