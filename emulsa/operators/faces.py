@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.operators import resample as rs
+from emulsa.operators.sessions import onnx, session
 
 MARGIN = 0.15
 
@@ -35,7 +36,6 @@ CELLS = "image_id long, tx int, ty int, scale double, stride int, idx int, cls d
 
 #: Planes (3, tile, tile) in blue, green, red of 0..255 to the named outputs (cls_8, obj_8, bbox_8, ... bbox_32).
 RunTile = Callable[[np.ndarray], dict[str, np.ndarray]]
-_sessions: dict[str, RunTile] = {}
 
 
 @dataclass(frozen=True)
@@ -45,22 +45,9 @@ class OnnxTile:
     file_name: str
 
     def __call__(self) -> RunTile:
-        import onnxruntime
-        from pyspark import SparkFiles
-
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = 1
-        session = onnxruntime.InferenceSession(SparkFiles.get(self.file_name), options)
-        name, outputs = session.get_inputs()[0].name, [o.name for o in session.get_outputs()]
-        return lambda planes: {k: v.ravel() for k, v in zip(outputs, session.run(None, {name: planes[None].astype(np.float32)}), strict=True)}
-
-
-def _session(key: str, factory: Callable[[], RunTile]) -> RunTile:
-    """One session for each worker and model."""
-    if key not in _sessions:
-        _sessions.clear()
-        _sessions[key] = factory()
-    return _sessions[key]
+        run = onnx(self.file_name)
+        name, outputs = run.get_inputs()[0].name, [o.name for o in run.get_outputs()]
+        return lambda planes: {k: v.ravel() for k, v in zip(outputs, run.run(None, {name: planes[None].astype(np.float32)}), strict=True)}
 
 
 def _tiles(n: str, size: str, tile: int, overlap: int) -> Column:
@@ -121,7 +108,7 @@ def tile_cells(pixels: DataFrame, factory: Callable[[], RunTile], sides: tuple[i
             plane = np.zeros(ny * nx)
             plane[at] = group[c].to_numpy() * 255
             planes[k] = down @ plane.reshape(ny, nx) @ across.T
-        out = _session(key, factory)(planes)
+        out = session(key, factory)(planes)
         rows: dict[str, list] = {c.split(" ")[0]: [] for c in CELLS.split(", ")}
         for stride in STRIDES:
             cls, obj = (np.asarray(out[f"{c}_{stride}"], float).ravel() for c in ("cls", "obj"))

@@ -1,20 +1,17 @@
-"""Operators whose steps depend on each other within an image: one group for each image or component.
-
-By the data model an image fits in one array, so a group is bounded by an image.
-"""
+"""Operators whose steps depend on each other within an image: components by tiles, diffusion by bundles of components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emulsa.plans.stages import written
+
 SWEEPS = 250
-#: Below this probability a pixel outside the holes stays as it is: a fixed value.
-LOCKED = 0.15
+#: Side of the tiles that are labelled apart, and hole pixels that one task fills together.
+TILE, BUNDLE = 1024, 20_000
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
@@ -38,17 +35,54 @@ def label_components(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(df: DataFrame, flag: str) -> DataFrame:
-    """image_id, y, x and component (least y * width + x) of flagged pixels."""
+def _tile_labels(on: DataFrame, tile: int) -> DataFrame:
+    """image_id, y, x, width and node: the least place of the pixel's component within its tile."""
+
+    def run(group: pa.Table) -> pa.Table:
+        y, x, width = (group[c].to_numpy() for c in ("y", "x", "width"))
+        y0, x0 = int(y[0]) // tile * tile, int(x[0]) // tile * tile
+        plane = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), bool)
+        plane[y - y0, x - x0] = True
+        least = label_components(plane)[y - y0, x - x0]
+        node = (least // plane.shape[1] + y0) * width.astype(np.int64) + least % plane.shape[1] + x0
+        return group.select(["image_id", "y", "x", "width"]).append_column("node", pa.array(node, pa.int64()))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((int(pdf.height.iloc[0]), int(pdf.width.iloc[0])), bool)
-        on = pdf[pdf.on]
-        plane[on.y, on.x] = True
-        label = label_components(plane)
-        return pd.DataFrame({"image_id": on.image_id, "y": on.y, "x": on.x, "component": label[on.y, on.x].astype(np.int64)})
+    tiles = [F.floor(F.col(c) / tile).alias(f"_t{c}") for c in "yx"]
+    return on.groupBy("image_id", *tiles).applyInArrow(run, "image_id long, y int, x int, width int, node long")
 
-    return df.select("image_id", "y", "x", "width", "height", F.col(flag).alias("on")).groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, component long")
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """image_id, node and root, the least node that it is tied to, by passing minima on and halving paths until nothing changes."""
+    both = written(edges.select("image_id", "a", "b").union(edges.select("image_id", "b", "a")).distinct())
+    roots, before = both.select("image_id", F.col("a").alias("node"), F.col("a").alias("root")).distinct(), None
+    while True:
+        other = roots.select("image_id", F.col("node").alias("b"), F.col("root").alias("near"))
+        near = both.join(other, ["image_id", "b"]).groupBy("image_id", F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        passed = written(roots.join(near, ["image_id", "node"]).select("image_id", "node", F.least("root", "near").alias("root")))
+        up = passed.select("image_id", F.col("node").alias("root"), F.col("root").alias("up"))
+        roots = written(passed.join(up, ["image_id", "root"]).select("image_id", "node", F.col("up").alias("root")))
+        now = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return roots
+        before = now
+
+
+def components(df: DataFrame, flag: str, tile: int = TILE) -> DataFrame:
+    """image_id, y, x and component (least y * width + x) of flagged pixels.
+
+    Tiles are labelled apart, so that a task holds a tile and not an image; labels that touch across a border
+    are merged.
+    """
+    on = df.where(flag).select("image_id", *[F.col(c).cast("int").alias(c) for c in ("y", "x", "width")])
+    labels = written(_tile_labels(on, tile))
+    edges = []
+    for c in "xy":
+        first = labels.where(F.col(c) % tile == tile - 1).select("image_id", *[(F.col(k) + int(k == c)).alias(k) for k in "yx"], F.col("node").alias("a"))
+        edges.append(first.join(labels.where(F.col(c) % tile == 0).select("image_id", "y", "x", F.col("node").alias("b")), ["image_id", "y", "x"]))
+    edges = written(edges[0].unionByName(edges[1]).select("image_id", "a", "b").distinct())
+    if edges.isEmpty():
+        return labels.select("image_id", "y", "x", F.col("node").alias("component"))
+    return labels.join(_roots(edges), ["image_id", "node"], "left").select("image_id", "y", "x", F.coalesce("root", "node").alias("component"))
 
 
 def identity_guard(df: DataFrame, flag: str, most: float = 0.06) -> DataFrame:
@@ -59,117 +93,78 @@ def identity_guard(df: DataFrame, flag: str, most: float = 0.06) -> DataFrame:
     return n.join(size, "image_id", "left").select("image_id", share.alias("deviation"), (share <= most).alias("passed"))
 
 
-def diffuse(planes: np.ndarray, hole: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Fills holes: each starts from its known 8-neighbours' mean and then, in reading order and in place,
-    becomes the mean of its four neighbours, again and again; coordinates clamp at the border."""
-    out, (h, w) = planes.astype(np.float64).copy(), hole.shape
-    ys, xs = np.nonzero(hole)
-    for y, x in zip(ys, xs, strict=True):
-        y0, y1, x0, x1 = max(0, y - 1), min(h, y + 2), max(0, x - 1), min(w, x + 2)
-        known = ~hole[y0:y1, x0:x1]
-        if known.any():
-            out[y, x] = planes[y0:y1, x0:x1][known].mean(0)
-    up, down, left, right = np.maximum(ys - 1, 0), np.minimum(ys + 1, h - 1), np.maximum(xs - 1, 0), np.minimum(xs + 1, w - 1)
-    # holes of one anti-diagonal don't touch, and reading order visits what lies above and left first
-    diagonals = [np.flatnonzero(ys + xs == d) for d in np.unique(ys + xs)]
+def diffuse(y: np.ndarray, x: np.ndarray, part: np.ndarray, values: np.ndarray, hole: np.ndarray, width: int, height: int, sweeps: int = SWEEPS) -> np.ndarray:
+    """Values of pixels after the holes among them are filled.
+
+    Each hole starts from its known 8-neighbours' mean and then, in reading order and in place, becomes the
+    mean of its four neighbours, again and again; coordinates clamp at the image's border.  Pixels come as a list;
+    those of different ``part`` don't see each other, and the pixels that a hole touches are listed.
+    """
+    place = (part * height + y) * width + x
+    order = np.argsort(place)
+    at = place[order]
+
+    def other(dy: int, dx: int) -> np.ndarray:
+        """Index of every hole's neighbour, -1 where it isn't listed."""
+        p, q = hy + dy, hx + dx
+        key = (part[holes] * height + p) * width + q
+        k = np.minimum(np.searchsorted(at, key), len(at) - 1)
+        return np.where((p >= 0) & (p < height) & (q >= 0) & (q < width) & (at[k] == key), order[k], -1)
+
+    holes = np.flatnonzero(hole)
+    if not len(holes):
+        return values
+    hy, hx, out = y[holes], x[holes], values.astype(np.float64).copy()
+    total, n = np.zeros((len(holes), values.shape[1])), np.zeros(len(holes))
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            k = other(dy, dx)
+            known = (k >= 0) & ~hole[k]
+            total[known] += values[k[known]]
+            n += known
+    out[holes[n > 0]] = total[n > 0] / n[n > 0, None]
+    near = [np.where((k := other(dy, dx)) >= 0, k, holes) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+    # holes of one anti-diagonal don't touch, and reading order visits what lies above and left first; as parts are
+    # apart, each counts its diagonals from its own first one
+    first = np.full(int(part.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, part[holes], hy + hx)
+    diagonal = hy + hx - first[part[holes]]
+    sort = np.argsort(diagonal, kind="stable")
+    steps = [(holes[k], [m[k] for m in near]) for k in np.split(sort, np.flatnonzero(np.diff(diagonal[sort])) + 1)]
     for _ in range(sweeps):
-        for k in diagonals:
-            out[ys[k], xs[k]] = (out[up[k], xs[k]] + out[down[k], xs[k]] + out[ys[k], left[k]] + out[ys[k], right[k]]) / 4
+        for k, (up, down, left, right) in steps:
+            out[k] = (out[up] + out[down] + out[left] + out[right]) / 4
     return out
 
 
-def inpaint(masked: DataFrame, hole: str = "hole", strength: float = 1.0) -> DataFrame:
-    """Diffusion inpainting of flagged pixels; others, and alpha, stay as they are."""
+def inpaint(masked: DataFrame, hole: str = "hole", strength: float = 1.0, bundle: int = BUNDLE) -> DataFrame:
+    """Diffusion inpainting of flagged pixels; others, and alpha, stay as they are.
+
+    Components of holes don't see each other, so a task fills a bundle of whole components, of about ``bundle`` hole
+    pixels together, from them and their rim; an image is never gathered.  A single larger component is one task.
+    """
     if strength <= 0:
         return masked.drop(hole)
-    rest = [c for c in masked.columns if c != hole]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"]).reset_index(drop=True)
-        shape = (int(pdf.y.max()) + 1, int(pdf.x.max()) + 1)
-        planes, holes = pdf[["r", "g", "b"]].to_numpy().reshape(*shape, 3), pdf[hole].to_numpy(bool).reshape(shape)
-        filled = diffuse(planes, holes).reshape(-1, 3)
-        at = holes.ravel()
-        new = pdf[["r", "g", "b"]].to_numpy()
-        new[at] += (filled[at] - new[at]) * strength
-        pdf[["r", "g", "b"]] = new
-        return pdf[rest]
-
-    return masked.groupBy("image_id").applyInPandas(run, masked.select(*rest).schema)
-
-
-def gaussian_plane(plane: np.ndarray, sigma: float) -> np.ndarray:
-    r = max(1, round(4 * sigma))
-    k = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma * sigma))
-    k /= k.sum()
-    for axis in (0, 1):
-        pad = [(0, 0)] * plane.ndim
-        pad[axis] = (r, r)
-        wide = np.pad(plane, pad, mode="reflect" if plane.shape[axis] > r else "symmetric")
-        plane = sum(k[i] * np.take(wide, np.arange(i, i + plane.shape[axis]), axis) for i in range(2 * r + 1))
-    return plane
-
-
-def dilate_plane(on: np.ndarray, r: int) -> np.ndarray:
-    for axis in (0, 1):
-        out = on.copy()
-        for s in range(1, r + 1):
-            for a, b in ((slice(s, None), slice(None, -s)), (slice(None, -s), slice(s, None))):
-                i, j = [slice(None)] * 2, [slice(None)] * 2
-                i[axis], j[axis] = a, b
-                out[tuple(i)] |= on[tuple(j)]
-        on = out
-    return on
-
-
-def tiled_inpaint(planes: np.ndarray, hole: np.ndarray, probability: np.ndarray, protected: np.ndarray, model, tile: int = 512, overlap: int = 128, strength: float = 1.0) -> tuple[np.ndarray, str]:
-    """Fills tiles in reading order with a model (BGR planes 0..1 and mask in, 0..255 out); later tiles see
-    earlier fills; the fill is feathered into the picture.  Without a model, or if it fails: diffusion, and a note."""
-    from emulsa.operators.resample import tile_starts
-
-    locked = protected | (~hole & (probability < LOCKED))
-    fill = dilate_plane(hole, 6) & ~locked
-    if not fill.any() or strength <= 0:
-        return planes, ""
-    try:
-        if model is None:
-            raise ValueError("no model")
-        h, w = hole.shape
-        ph, pw = max(0, tile - h), max(0, tile - w)
-        work, mask = np.pad(planes, ((0, ph), (0, pw), (0, 0)), mode="edge"), np.pad(fill, ((0, ph), (0, pw)))
-        for y in tile_starts(work.shape[0], tile, overlap):
-            for x in tile_starts(work.shape[1], tile, overlap):
-                at = (slice(y, y + tile), slice(x, x + tile))
-                if mask[at].any():
-                    got = np.asarray(model(work[at][..., ::-1].transpose(2, 0, 1), mask[at].astype(float))).transpose(1, 2, 0)[..., ::-1] / 255
-                    work[at][mask[at]] = np.clip(got, 0, 1)[mask[at]]
-                    mask[at] = False
-        filled, note = work[:h, :w], ""
-    except Exception as error:
-        filled, note = diffuse(planes, hole), f"fallback: {error}"
-    alpha = np.where(locked, 0.0, np.maximum(gaussian_plane(fill.astype(float), 1.5), fill)) * strength
-    out = np.where(alpha[..., None] > 0, np.clip(planes + (filled - planes) * alpha[..., None], 0, 1), planes)
-    return out, note
-
-
-def locked(hole: str = "hole") -> Column:
-    """Pixels that a fill must not touch."""
-    return F.col("protected") | (~F.col(hole) & (F.col("probability") < LOCKED))
-
-
-def tiled_fill(masked: DataFrame, model: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, hole: str = "hole", tile: int = 512, overlap: int = 128, strength: float = 1.0) -> DataFrame:
-    """Pixels after the model's tiled fill, and ``note`` (empty, or why diffusion was used); one image a group.
-
-    Tiles of an image depend on the tiles before them; images are independent.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"]).reset_index(drop=True)
-        shape = (int(pdf.y.max()) + 1, int(pdf.x.max()) + 1)
-        plane = lambda c, kind: pdf[c].to_numpy(kind).reshape(shape)
-        out, note = tiled_inpaint(pdf[["r", "g", "b"]].to_numpy(float).reshape(*shape, 3), plane(hole, bool), plane("probability", float), plane("protected", bool), model, tile, overlap, strength)
-        pdf[["r", "g", "b"]] = out.reshape(-1, 3)
-        return pdf[["image_id", "y", "x", "r", "g", "b"]].assign(note=note)
-
-    own = masked.select("image_id", "y", "x", "r", "g", "b", hole, "probability", "protected")
-    return own.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, r double, g double, b double, note string")
+    keys = ["image_id", "y", "x"]
+    parts = written(components(masked, hole))
+    bundles = parts.groupBy("image_id").agg(F.ceil(F.count("*") / bundle).alias("_n"))
+    parts = parts.join(bundles, "image_id").withColumn("_bundle", F.pmod(F.xxhash64("component"), F.col("_n")))
+    step = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    rim = parts.select("image_id", "_bundle", "component", F.col("y").alias("_y"), F.col("x").alias("_x"), step("y").alias("y")).withColumn("x", step("_x"))
+    rim = rim.groupBy("image_id", "_bundle", "component", "y", "x").agg(F.max((F.col("y") == F.col("_y")) & (F.col("x") == F.col("_x"))).alias("own"))
+    rim = rim.join(masked.select(*keys, "width", "height", "r", "g", "b", F.col(hole).alias("_hole")), keys)
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group["own"].to_numpy(zero_copy_only=False)
+        _, part = np.unique(group["component"].to_numpy(), return_inverse=True)
+        values = np.stack([group[c].to_numpy() for c in "rgb"], 1)
+        # another component's holes, met across a corner, are neither filled here nor known
+        use = own | ~group["_hole"].to_numpy(zero_copy_only=False)
+        y, x = (group[c].to_numpy().astype(np.int64)[use] for c in "yx")
+        filled = diffuse(y, x, part[use], values[use], own[use], group["width"][0].as_py(), group["height"][0].as_py())[own[use]]
+        new = values[own] + (filled - values[own]) * strength
+        return group.filter(pa.array(own)).select(keys).append_column("_r", pa.array(new[:, 0])).append_column("_g", pa.array(new[:, 1])).append_column("_b", pa.array(new[:, 2]))
+
+    filled = rim.groupBy("image_id", "_bundle").applyInArrow(run, "image_id long, y int, x int, _r double, _g double, _b double")
+    out = masked.join(filled, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in "rgb"})
+    return out.select(*[c for c in masked.columns if c != hole])

@@ -23,6 +23,15 @@ def area_resize(df: DataFrame, cols: list[str], width: int, height: int) -> Data
     return _area_axis(_area_axis(df, cols, "x", width), cols, "y", height)
 
 
+def _cubic(t: Column) -> list[Column]:
+    """Weights of four places by the Keys kernel, a = -0.75."""
+    a = -0.75
+    inner = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
+    outer = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+    w = [outer(t + 1), inner(t), inner(1 - t)]
+    return [*w, F.lit(1.0) - w[0] - w[1] - w[2]]
+
+
 def _taps_axis(df: DataFrame, cols: list[str], axis: str, out: int, cubic: bool) -> DataFrame:
     other, n = AXES[axis]
     keep = [c for c in ("width", "height") if c != n]
@@ -31,11 +40,7 @@ def _taps_axis(df: DataFrame, cols: list[str], axis: str, out: int, cubic: bool)
     grid = grid.withColumn("_s", F.floor(f).cast("int")).withColumn("_t", f - F.col("_s"))
     t, s = F.col("_t"), F.col("_s")
     if cubic:
-        a = -0.75
-        inner = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
-        outer = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
-        w = [outer(t + 1), inner(t), inner(1 - t)]
-        w.append(F.lit(1.0) - w[0] - w[1] - w[2])
+        w = _cubic(t)
         taps = [(s + k - 1, w[k]) for k in range(4)]
     else:
         first = F.when(s < 0, 0).when(s >= F.col(n) - 1, F.col(n) - 1).otherwise(s)
@@ -70,8 +75,8 @@ def working_size(long_side: int, grow: bool = False) -> tuple[Column, Column]:
     return side("width"), side("height")
 
 
-def _shares(sizes: DataFrame, axis: str, n: str, out: str) -> DataFrame:
-    """image_id, the output place _o, an input place and its weight: area means where ``area`` holds, else linear taps."""
+def _shares(sizes: DataFrame, axis: str, n: str, out: str, grow: str) -> DataFrame:
+    """image_id, the output place _o, an input place and its weight: area means where ``area`` holds, else linear or cubic taps."""
     scale, o = F.col(n) / F.col(out).cast("double"), F.col("_o")
     grid = sizes.select("image_id", n, out, "area", F.explode(F.sequence(F.lit(0), F.col(out) - 1)).alias("_o"))
     first = F.floor(o * scale).cast("int")
@@ -81,26 +86,28 @@ def _shares(sizes: DataFrame, axis: str, n: str, out: str) -> DataFrame:
     f = (o + 0.5) * scale - 0.5
     low, t = F.floor(f).cast("int"), f - F.floor(f)
     inside = lambda k: F.least(F.greatest(k, F.lit(0)), F.col(n) - 1)
-    two = F.array(F.struct(inside(low).alias("at"), (1.0 - t).alias("w")), F.struct(inside(low + 1).alias("at"), t.alias("w")))
+    w = _cubic(t) if grow == "cubic" else [F.lit(0.0), 1.0 - t, t, F.lit(0.0)]
+    two = F.array(*[F.struct(inside(low + k - 1).alias("at"), w[k].alias("w")) for k in (range(4) if grow == "cubic" else (1, 2))])
     taps = grid.select("image_id", "_o", F.explode(F.when(F.col("area"), mean).otherwise(two)).alias("_p"))
     return taps.select("image_id", "_o", F.col("_p.at").alias(axis), F.col("_p.w").alias("_w"))
 
 
-def resize_each(df: DataFrame, cols: list[str], sizes: DataFrame) -> DataFrame:
+def resize_each(df: DataFrame, cols: list[str], sizes: DataFrame, grow: str = "linear") -> DataFrame:
     """Every image at its own new size: sizes has image_id, width, height, to_width, to_height.
 
-    Area means where both axes shrink or stay, else bilinear; images that keep their size skip all shuffles.
+    Area means where both axes shrink or stay, else bilinear; with ``grow="cubic"`` bicubic in either case.
+    Images that keep their size skip all shuffles.
     Other columns than keys, sizes and ``cols`` go.
     """
     keep = ["image_id", "y", "x", "width", "height"]
     sizes = sizes.select(*[c for c in ("image_id", "width", "height", "to_width", "to_height")])
     same = (F.col("width") == F.col("to_width")) & (F.col("height") == F.col("to_height"))
     plain = df.select(*keep, *cols)
-    rest = sizes.where(~same).withColumn("area", (F.col("to_width") <= F.col("width")) & (F.col("to_height") <= F.col("height")))
+    rest = sizes.where(~same).withColumn("area", F.lit(grow != "cubic") & (F.col("to_width") <= F.col("width")) & (F.col("to_height") <= F.col("height")))
     some = plain.join(rest.select("image_id"), "image_id", "left_semi").select("image_id", "y", "x", *cols)
-    across = some.join(_shares(rest, "x", "width", "to_width"), ["image_id", "x"])
+    across = some.join(_shares(rest, "x", "width", "to_width", grow), ["image_id", "x"])
     across = across.groupBy("image_id", "y", F.col("_o").alias("_x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in cols])
-    down = across.join(_shares(rest, "y", "height", "to_height"), ["image_id", "y"])
+    down = across.join(_shares(rest, "y", "height", "to_height", grow), ["image_id", "y"])
     down = down.groupBy("image_id", F.col("_o").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in cols])
     made = down.join(rest.select("image_id", F.col("to_width").alias("width"), F.col("to_height").alias("height")), "image_id").select(*keep, *cols)
     return plain.join(sizes.where(same).select("image_id"), "image_id", "left_semi").unionByName(made)

@@ -598,6 +598,11 @@ def pipeline_audit(spark, sf):
     return restoration.audit(masked(spark, sf), dm.Settings())
 
 
+@query("run_report")
+def run_report(spark, sf):
+    return restoration.report(masked(spark, sf), dm.Settings())
+
+
 @query("restoration")
 def restore(spark, sf):
     return rounded(restoration.restore(masked(spark, sf), dm.Settings()), KEYS, ["r", "g", "b"])

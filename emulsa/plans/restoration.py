@@ -15,6 +15,11 @@ from emulsa.plans.stages import written
 PERCENT = "format_string('%.2f', {})"
 
 
+def no_enhancer(pixels: DataFrame) -> DataFrame:
+    """Stands where no face enhancer was given: asking for one is an error, not a silent nothing."""
+    raise NotImplementedError("no face enhancer is built in; give one, or leave enhance off")
+
+
 def restore(masked: DataFrame, s: dm.Settings, enhance: Callable[[DataFrame], DataFrame] | None = None, faces: DataFrame | None = None) -> DataFrame:
     """Pixels after all stages; with a strict guard, images that fail it keep their toned, unfilled pixels.
 
@@ -31,8 +36,8 @@ def restore(masked: DataFrame, s: dm.Settings, enhance: Callable[[DataFrame], Da
         filled = filled.withColumns({c: F.when(F.col("passed"), F.col(c)).otherwise(F.col(f"_{c}")) for c in "rgb"}).drop("passed", "_r", "_g", "_b")
     filled = written(filled)  # the fill is not repeated for what reads it next
     grained = dm.grain_match(filled, masked, repair=s.repair) if s.grain else filled
-    if s.enhance and enhance is not None:
-        grained = enhance(grained)
+    if s.enhance:
+        grained = (enhance or no_enhancer)(grained)
     return dm.unsharp(grained, s.sharpening)
 
 
@@ -50,3 +55,18 @@ def audit(masked: DataFrame, s: dm.Settings) -> DataFrame:
     ]
     rows = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("seq"), F.lit(n).alias("stage"), F.lit(bool(a)).alias("applied"), m.alias("message")) for k, (n, a, m) in enumerate(stages)]))
     return c.select("image_id", rows.alias("a")).select("image_id", "a.*")
+
+
+def report(masked: DataFrame, s: dm.Settings) -> DataFrame:
+    """``audit`` with what the run itself found: the guard's verdict, the measured grain, and which tones were corrected."""
+    guard = kn.identity_guard(masked.withColumn("hole", dm.reconstructable(s.repair)), "hole").select("image_id", "deviation", "passed")
+    sigma, tones = dm.grain_sigma(masked, s.repair), dm.color_stats(masked).select("image_id", "avg_l", "p01", "p99", "mean_s")
+    rows = audit(masked, s).join(guard, "image_id").join(sigma, "image_id", "left").join(tones, "image_id", "left")
+    largest = F.concat(F.lit("largest rebuilt area "), F.format_string("%.2f%%", 100 * F.col("deviation")))
+    failed = "strict: kept the toned image" if s.strict_guard else "warning only"
+    verdict = F.concat(largest, F.when(F.col("passed"), F.lit(", passed")).otherwise(F.lit(f", {failed}")))
+    tone = F.concat(F.col("message"), F.format_string(", luminance %.2f from %.2f to %.2f, saturation %.2f", "avg_l", "p01", "p99", "mean_s"))
+    grain = F.concat(F.col("message"), F.format_string(", sigma %.4f", F.coalesce("sigma", F.lit(0.0))))
+    said = F.when(F.col("stage") == "IdentityGuard", verdict).when(F.col("applied") & (F.col("stage") == "Grain"), grain).when(F.col("applied") & (F.col("stage") == "Color"), tone).otherwise(F.col("message"))
+    done = F.when(F.col("stage") == "IdentityGuard", F.col("passed")).when(F.col("stage") == "Grain", F.col("applied") & (F.coalesce("sigma", F.lit(0.0)) > 0.0005)).otherwise(F.col("applied"))
+    return rows.select("image_id", "seq", "stage", done.alias("applied"), said.alias("message"))

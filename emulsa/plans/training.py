@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsa.operators import alignment as al
-from emulsa.operators import kernels as kn
+from emulsa.operators import fill as fl
 from emulsa.operators import learning as ln
 from emulsa.operators import library as lb
 from emulsa.operators import neighbourhood as nb
@@ -143,17 +143,24 @@ def replay_scores(spark, sf):
 # --- fills --------------------------------------------------------------------------------------------
 @query("locked_pixels", with_sql(f"select image_id, y, x, protected or (not {HOLE} and probability < 0.15e0) as locked from masked", MASKED_SQL))
 def locked_pixels(spark, sf):
-    return masked(spark, sf).withColumn("hole", F.expr(HOLE)).select(*KEYS, kn.locked().alias("locked"))
+    return masked(spark, sf).withColumn("hole", F.expr(HOLE)).select(*KEYS, fl.locked().alias("locked"))
 
 
-def flat_model(planes: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """A fill model's stand-in: masked pixels become 0.2, others stay."""
-    return np.where(mask > 0, 51.0, planes * 255)
+class MeanFill:
+    """A fill model's stand-in: masked pixels become the mean of a tile's others."""
+
+    def __call__(self):
+        def run(planes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            known = planes[:, mask == 0]
+            return np.broadcast_to((known.mean(1) if known.size else np.zeros(3))[:, None, None] * 255, planes.shape)
+
+        return run
 
 
 @query("tiled_fill")
 def tiled_fill(spark, sf):
-    return rounded(kn.tiled_fill(masked(spark, sf).withColumn("hole", F.expr(HOLE)), flat_model, tile=32, overlap=8), [*KEYS, "note"], ["r", "g", "b"])
+    """Works at a longer side of 56, so that some images shrink."""
+    return rounded(fl.tiled_fill(masked(spark, sf).withColumn("hole", F.expr(HOLE)), MeanFill(), tile=32, overlap=8, long_side=56), [*KEYS, "note"], ["r", "g", "b"])
 
 
 # --- files --------------------------------------------------------------------------------------------

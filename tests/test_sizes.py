@@ -8,6 +8,7 @@ from emulsa.operators import alignment as al
 from emulsa.operators import faces as fc
 from emulsa.operators import learning as ln
 from emulsa.operators import resample as rs
+from emulsa.operators import sessions
 from emulsa.plans import catalogue
 
 
@@ -176,6 +177,6 @@ def test_faces_over_tiles(spark):
 def test_session_is_made_once_a_worker():
     made = []
     for _ in range(3):
-        fc._session("a", lambda: made.append(1) or (lambda planes: {}))
-    fc._session("b", lambda: made.append(1) or (lambda planes: {}))
+        sessions.session("a", lambda: made.append(1) or (lambda planes: {}))
+    sessions.session("b", lambda: made.append(1) or (lambda planes: {}))
     assert len(made) == 2

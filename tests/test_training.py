@@ -8,8 +8,9 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from tests.test_kernels import gaussian_plane
+
 from emulsa.operators import alignment as al
-from emulsa.operators import kernels as kn
 from emulsa.operators import learning as ln
 from emulsa.operators import library as lb
 from emulsa.plans import catalogue, training
@@ -55,7 +56,7 @@ def label_by_hand(scan, target, drawn):
         error = np.abs(x @ fit - t).mean(1)
         use = error < np.sort(error)[int(0.6 * (len(x) - 1))]
     mapped = np.clip(terms(scan) @ fit, 0, 1)
-    residual = np.abs(kn.gaussian_plane(mapped, 1.5) - kn.gaussian_plane(target, 1.5)).mean(-1)
+    residual = np.abs(gaussian_plane(mapped, 1.5) - gaussian_plane(target, 1.5)).mean(-1)
     lum = np.pad(target @ np.array([0.2126, 0.7152, 0.0722]), 3, mode="edge")
     box = lambda p: np.lib.stride_tricks.sliding_window_view(p, (7, 7)).mean((2, 3))
     texture = np.sqrt(np.maximum(box(lum * lum) - box(lum) ** 2, 0))
@@ -128,17 +129,6 @@ def test_corrupt_documents_are_not_listed(spark):
     assert [tuple(r) for r in paths.select(lb.file_name("p"), lb.file_stem("p")).collect()] == [("x.y.png", "x.y"), ("n", "n"), ("", "")]
 
 
-def test_tiled_fill(spark):
-    planes, hole = np.full((50, 40, 3), 0.5), np.zeros((50, 40), bool)
-    hole[10:20, 5:12] = True
-    zero = np.zeros((50, 40))
-    masked = table(spark, planes, hole=hole, probability=zero + hole, protected=zero > 0)
-    got = kn.tiled_fill(masked, training.flat_model, tile=32, overlap=8).toPandas().sort_values(["y", "x"])
-    r = got.r.to_numpy().reshape(50, 40)
-    assert set(got.note) == {""} and np.allclose(r[hole], 0.2) and np.allclose(r[~hole], 0.5)
-    assert np.allclose(kn.tiled_fill(masked, None).toPandas().r, 0.5) and "no model" in kn.tiled_fill(masked, None).first().note
-
-
 def test_image_files_come_back(spark, tmp_path):
     p = rt.drawn_raster(spark)
     (tmp_path / "a.png").write_bytes(bytes(rt.encode_images(p).first().content))
