@@ -3,8 +3,10 @@
 A linear model over word-shape features minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with logistic loss, full-batch gradient steps, and, where the bracket is negative, a step back along it.
-Trusted positives are labelled good rows; unlabelled ones are rows whose labels are not looked at.  The
-class prior is estimated as the share of good rows among the training labels, not from the unlabelled text.
+Trusted positives are labelled good rows; unlabelled ones are rows whose labels are not looked at, and rows labelled
+bad are not used at all.  The class prior is estimated from these two alone: of the sets of rows above a score,
+none holds a smaller share of unlabelled rows than the prior times its share of positives, so that the least ratio of
+the two bounds the prior, and meets it where negatives are few; scores come from the other half of the samples.
 After the fit the constant is moved, so that ``THRESHOLD`` lies where the prior's share of unlabelled rows
 passes, or where all but ``LEAST`` of the trusted positives do, if that is lower.
 
@@ -78,6 +80,42 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def separate(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Weights that tell positives from unlabelled rows, by logistic loss."""
+    x = np.concatenate([positive, unlabelled])
+    y = np.r_[np.ones(len(positive)), np.zeros(len(unlabelled))].astype(np.float32)
+    each = np.where(y > 0, 0.5 / len(positive), 0.5 / len(unlabelled)).astype(np.float32)
+    w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
+    for t in range(1, STEPS + 1):
+        g = x.T @ ((sigmoid(x @ w) - y) * each) + DECAY * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = (w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    return w
+
+
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The ratio of unlabelled to positive rows above a score, where it and its uncertainty are least."""
+    cuts = np.unique(positive)
+    share = lambda x: (len(x) - np.searchsorted(np.sort(x), cuts)) / len(x)
+    p, u = share(positive), share(unlabelled)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (positive, unlabelled))
+    k = int(np.argmin((u + 1.01 * slack) / p))
+    return float(u[k] / p[k])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Class prior of the unlabelled rows, from them and positives; each half is judged by the weights of the other."""
+    scale = np.maximum(np.abs(np.concatenate([positive, unlabelled])).max(0), 1e-6)
+    p, u = (positive / scale).astype(np.float32), (unlabelled / scale).astype(np.float32)
+    if min(len(p), len(u)) < 2:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        w = separate(p[k::2], u[k::2])
+        found.append(least_ratio(p[1 - k :: 2] @ w, u[1 - k :: 2] @ w))
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """(weights, scale of the features) of least non-negative risk, by Adam."""
     scale = np.maximum(np.abs(np.concatenate([positive, unlabelled])).max(0), 1e-6)
@@ -118,14 +156,14 @@ def sampled(docs: DataFrame, size: int) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(crc_mod(F.col("doc_id"), 5) != 0)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull())
-    seen = labels.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count("*").alias("n")).first()
-    if not seen.n or not seen.good:
+    good = labels.where("quality = 1").select("doc_id")
+    if good.isEmpty():
         return None
-    positive = sampled(docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), sample)
+    positive = sampled(docs.join(good, "doc_id", "left_semi"), sample)
     unlabelled = sampled(docs, sample)
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, seen.good / seen.n)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def scorer(model):

@@ -166,3 +166,16 @@ def test_non_negative_risk_separates():
     good[:, 2 * op9_quality.SHAPES] = bad[:, 2 * op9_quality.SHAPES] = 1
     w, scale = op9_quality.fit(good[:200].astype(np.float32), np.concatenate([good[200:], bad]).astype(np.float32), 0.25)
     assert (good / scale @ w).mean() > (bad / scale @ w).mean()
+
+
+def test_prior_comes_from_positives_and_unlabelled_rows():
+    """No labels of the unlabelled rows are looked at; the prior they were drawn with is found."""
+    rng = np.random.default_rng(8)
+    for prior in (0.2, 0.5, 0.85):
+        good = lambda n: rng.normal(1.5, 1, (n, 6))
+        n = 4000
+        k = int(prior * n)
+        unlabelled = np.concatenate([good(k), rng.normal(-1.5, 1, (n - k, 6))])[rng.permutation(n)]
+        wide = lambda x: np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float32)
+        assert abs(op9_quality.estimate_prior(wide(good(2000)), wide(unlabelled)) - prior) < 0.05
+    assert op9_quality.estimate_prior(np.ones((1, 3), np.float32), np.ones((9, 3), np.float32)) == 0.5
