@@ -18,8 +18,8 @@ The distance of two sets is 1 - Jaccard; a link is a distance of at most 0.25.
    outside its largest cluster).  Each member belongs to the Voronoi region of its nearest one, and is replicated to
    those no further away than the nearest by twice the distance of a link, as the triangle inequality asks for.
    This is repeated on the regions; a cell that lies too close together to be halved stays whole.
-4. Leaves.  Of a cell still open, stragglers meet all members in blocks of bounded size, where intersections are
-   counted exactly; what the difference of their distances to the pivot rules out is left out, and one link for each straggler and
+4. Leaves.  Of a cell still open, stragglers meet all members in pairs of blocks of bounded size, and groups grow in number
+   with these pairs, not in size.  There, intersections are counted exactly; what the difference of their distances to the pivot rules out is left out, and one link for each straggler and
    cluster comes back.
 
 Sets are compared by the full 64-bit hashes of their shingles and named by 64 bits too; names that two different
@@ -366,6 +366,9 @@ def leaves(cells: DataFrame, sets: DataFrame, n: int) -> DataFrame:
         blocks(F.count("*"), F.sum("n_shingles")).alias("rights"),
     )
     placed = cells.join(sizes, "cell")
+    # as many groups as hold two blocks' rows each, so that a group stays as small however many pairs of blocks there are
+    sent = placed.agg(F.sum(F.when(straggler, F.col("rights")).otherwise(0) + F.col("lefts")).alias("rows"), F.sum((F.when(straggler, F.col("rights")).otherwise(0) + F.col("lefts")) * F.col("n_shingles")).alias("shingles")).first()
+    n = max(n, -(-(sent.rows or 0) // (2 * BLOCK_NODES)), -(-(sent.shingles or 0) // (2 * BLOCK_SHINGLES)))
     at = F.xxhash64("node")
     own = ["cell", "node", "n_shingles", "gap", "label"]
     left = placed.where(straggler).select(*own, F.pmod(at, "lefts").cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"), F.lit(True).alias("first"))
