@@ -47,13 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-ROW = "__row"
-
-
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with ``ROW``, 128 bits of hashes of all columns: equal for rows that agree in everything, and only for those."""
-    columns = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    return docs.withColumn(ROW, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)]))
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, lengthened until no column of docs has it, in any case."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name += "_"
+    return name
+
+
+def with_row(docs: DataFrame, row: str) -> DataFrame:
+    """docs with ``row``, 128 bits of hashes of all columns: equal for rows that agree in everything, and only for those.
+
+    Columns that hold maps count by their JSON, so maps of another order differ.
+    """
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    columns = [x for f in docs.schema.fields for x in (plain(f), F.col(f"`{f.name}`").isNull())]
+    return docs.withColumn(row, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0") for k in (1, 2)]))
 
 
 def n_buckets(docs: DataFrame, per_partition: int = 4) -> int:

@@ -18,7 +18,7 @@ case; each as a share and, where it matters if it occurs at all, as log(1 + coun
 Null or empty text: all features 0 but the constant and the mark of emptiness.  Without labelled rows the
 score is 0.5 everywhere.  Repeated rows are scored each, rows with a null id too.  Very long texts are read
 whole, one in a slice.  An empty table gives an empty result.  Columns beside id and text are not read, whatever
-their names (but ``__score``, which is ours).
+their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import crc_mod, slices, split_words
+from emulsa.llm.common import crc_mod, cut, free_name, slices, split_words
 from emulsa.llm.common import distinct as distinct_of
 
 SAMPLE, SHAPES, THRESHOLD = 8_000, 192, 0.3
@@ -138,18 +138,21 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
     return w, scale
 
 
-def sampled(docs: DataFrame, size: int) -> np.ndarray:
-    """Features of at most ``size`` rows, the first by a hash of id and text."""
-    order = F.xxhash64(F.lit(17), "doc_id", "text")
-    # only hashes are sorted, never texts; the limit bounds rows that share the last hash
-    last = docs.select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    chosen = docs.where(order <= F.lit(last).cast("long")).limit(size)
+def sampled(docs: DataFrame, size: int, ids: DataFrame | None = None) -> np.ndarray:
+    """Features of at most ``size`` rows, the first by a hash of id and text, of those with one of the ids if given.
+
+    Only ids and hashes are joined and sorted; texts stay where they are read and meet the chosen hashes, ``size`` at most, there.
+    """
+    hashed = docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h"))
+    hashed = hashed.join(ids, "doc_id", "left_semi") if ids is not None else hashed
+    chosen = cut(hashed.select("h").orderBy("h").limit(size).distinct())
+    rows = docs.withColumn("h", F.xxhash64(F.lit(17), "doc_id", "text")).join(F.broadcast(chosen), "h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in features(batch.column(0))], pa.binary())], names=["f"])
 
-    rows = chosen.select("text").mapInArrow(run, "f binary").collect()  # ``size`` rows at most
+    rows = rows.select("text").mapInArrow(run, "f binary").limit(size).collect()  # the limit bounds rows that share a hash
     return np.stack([np.frombuffer(bytes(r.f), np.float32) for r in rows]) if rows else np.empty((0, WIDTH), np.float32)
 
 
@@ -159,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     good = labels.where("quality = 1").select("doc_id")
     if good.isEmpty():
         return None
-    positive = sampled(docs.join(good, "doc_id", "left_semi"), sample)
+    positive = sampled(docs, sample, good)
     unlabelled = sampled(docs, sample)
     if not len(positive) or not len(unlabelled):
         return None
@@ -184,18 +187,19 @@ def scorer(model):
     return score
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """docs with ``__score``; only texts go to Python, and one number a row comes back."""
+def scored(docs: DataFrame, labels: DataFrame, sample: int, out: str = "score") -> DataFrame:
+    """docs with the score; only texts go to Python, and one number a row comes back."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))  # two vectors of WIDTH numbers
-    return docs.withColumn("__score", scorer(model)(F.col("text")))
+    return docs.withColumn(out, scorer(model)(F.col("text")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, sample)
-    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    return scored(docs, labels, sample).where(F.col("__score") >= THRESHOLD).drop("__score")
+    out = free_name(docs, "__score")
+    return scored(docs, labels, sample, out).where(F.col(out) >= THRESHOLD).drop(out)

@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
 Ids may be null or repeated: decisions come back by a hash of all columns, and of rows that agree in
-everything ``exact`` and ``near`` keep one.
+everything ``exact`` and ``near`` keep one.  Further columns of any name and type pass through every stage but the last.
+An empty table passes through all stages as such; very long texts are read whole, one in a slice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsa.llm import op5_jaccard, op6_packing, op7_exact, op9_quality, op10_suffix
-from emulsa.llm.common import ROW, cut, shared_dir, with_row
+from emulsa.llm.common import cut, free_name, shared_dir, with_row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,22 +22,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of docs for each ``ROW`` in kept."""
-    return with_row(docs).join(kept.select(ROW), ROW, "left_semi").dropDuplicates([ROW]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def rows_of(docs: DataFrame, kept: DataFrame, row: str) -> DataFrame:
+    """One row of docs for each value of ``row`` in kept."""
+    return with_row(docs, row).join(kept.select(row), row, "left_semi").dropDuplicates([row]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, one stays."""
-    return rows_of(docs, op7_exact.deduplicate(with_row(docs), row=ROW).where("kept"))
+    row = free_name(docs, "__row")
+    return rows_of(docs, op7_exact.deduplicate(with_row(docs, row), row=row).where("kept"), row)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, its least id stays (null last); a text without shingles stays."""
-    found = cut(op5_jaccard.join_components(with_row(docs), row=ROW))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    winners = found.where("label is not null").groupBy("label").agg(least.alias(ROW))
-    return rows_of(docs, winners.select(ROW).union(found.where("label is null").select(ROW)))
+    row = free_name(docs, "__row")
+    found = cut(op5_jaccard.join_components(with_row(docs, row), row=row))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row]
+    winners = found.where("label is not null").groupBy("label").agg(least.alias(row))
+    return rows_of(docs, winners.select(row).union(found.where("label is null").select(row)), row)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Stages of the pipeline on null and repeated ids and repeated rows, against plain Python."""
 
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from emulsa.llm import pipeline as corpus_pipeline
 
@@ -48,3 +52,46 @@ def test_stages_in_a_row(spark, edges, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.collect(), name
+
+
+def test_clashing_names_and_maps(spark, sf):
+    """Columns named like inner ones, and maps, come through every stage unchanged."""
+    words = [" ".join(f"{k}w{i}" for i in range(40)) for k in range(3)]
+    data = [(k, words[k % 3], {"a": k % 3}, "r", 1.5, "x") for k in range(6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, tags map<string,int>, __row string, __Score double, `a.b` string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        found = got.collect()
+        assert all((r[3], r[4], r[5]) == ("r", 1.5, "x") and r.tags == {"a": r.doc_id % 3} for r in found), name
+        if name in ("exact", "near"):
+            assert sorted(r.doc_id for r in found) == [0, 1, 2]
+
+
+def test_empty_table(spark, empty, sf):
+    docs = empty.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.char_length("text").cast("long")})
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.collect() == [], name
+
+
+def test_run_packs_what_the_stages_keep(spark, sf):
+    """The pipeline's rows are the library's ids of the texts that the first four stages leave, packed without gap or overlap."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_padding()
+    library.no_truncation()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    want, total = Counter(), 0
+    for r in docs.collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want[r.doc_id, k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.r_[0, np.cumsum(g.length)[:-1]]).all() and g.length.sum() <= 2048
+    assert got.sequence_id.nunique() <= 1.05 * -(-total // 2048) + 1
