@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,8 @@ BLOCK, SHARD, BITS, PROBES = 64 << 10, 64 << 20, 10, 7
 FOOTER = struct.Struct("<8sQIQIIQQI")
 INDEX = struct.Struct("<9sQIIQ")
 ENTRY = struct.Struct("<BBI")
+#: Intervals of keys in which wanted ids and shards meet, at most.
+FENCES = 4096
 MANIFEST = "shard string, first_key binary, last_key binary, n_docs long, n_ids long, n_bytes long"
 
 
@@ -210,24 +212,32 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, tokens) for the wanted ids that exist, shard by shard through filter and index.
 
-    The driver sees one row for each shard (its key range), never the ids.
+    Wanted ids and shards meet by intervals between at most ``FENCES`` first keys, drawn by a hash; the driver sees
+    no more than these, however many shards there are.
     """
-    shards = [(bytes(r.first_key), bytes(r.last_key), r.shard) for r in manifest.select("first_key", "last_key", "shard").orderBy("first_key", "last_key").collect()]
+    drawn = manifest.select("first_key").distinct().orderBy(F.xxhash64("first_key")).limit(FENCES).collect()
+    fences = sorted(bytes(r.first_key) for r in drawn)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lasts = [x[1] for x in shards]
+    def of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id in batch.column(0).to_pylist():
-                key = key_of(doc_id)
-                k = bisect_right(lasts, key)
-                while k and lasts[k - 1] == key:
-                    k -= 1
-                while k < len(shards) and shards[k][0] <= key:
-                    rows.append((shards[k][2], doc_id))
-                    k += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["shard", "doc_id"])
+            at = [bisect_right(fences, key_of(d)) for d in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0)], names=["interval", "doc_id"])
+
+    def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in range(bisect_right(fences, r[0]), bisect_right(fences, r[1]) + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.string()))], names=["interval", "first_key", "last_key", "shard"])
+
+    def meet(wanted: pa.Table, shards: pa.Table) -> pa.Table:
+        shards = sorted(zip(*(shards[c].to_pylist() for c in ("last_key", "first_key", "shard")), strict=True))
+        lasts, rows = [x[0] for x in shards], []
+        for doc_id in wanted["doc_id"].to_pylist():
+            key = key_of(doc_id)
+            for _, first, shard in shards[bisect_left(lasts, key) :]:
+                if first > key:
+                    break
+                rows.append((shard, doc_id))
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.string()), "doc_id": pa.array([r[1] for r in rows], pa.int64())})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reader = None, None
@@ -240,7 +250,9 @@ def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
 
-    wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "shard string, doc_id long")
+    asked = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(of_ids, "interval int, doc_id long")
+    ranges = manifest.select("first_key", "last_key", "shard").mapInArrow(of_shards, "interval int, first_key binary, last_key binary, shard string")
+    wanted = asked.groupBy("interval").cogroup(ranges.groupBy("interval")).applyInArrow(meet, "shard string, doc_id long")
     return wanted.repartition("shard", F.pmod(F.col("doc_id"), F.lit(8))).sortWithinPartitions("shard", "doc_id").mapInArrow(probe, "doc_id long, tokens array<long>")
 
 

@@ -42,7 +42,9 @@ def test_shards(table, request, library):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [d for d, _ in rows]
 
 
-def test_lookup(spark, docs, library):
+@pytest.mark.parametrize("fences", [0, 3, 4096])
+def test_lookup(spark, docs, library, fences, monkeypatch):
+    monkeypatch.setattr(op1_sstable, "FENCES", fences)
     manifest = op1_sstable.write_shards(docs, op1_sstable.shard_folder(spark))
     some = [d for d, _ in plain(docs)][::17]
     got = {r.doc_id: r.tokens for r in op1_sstable.lookup(manifest, spark.createDataFrame([(d,) for d in [*some, 10**12]], "doc_id long")).collect()}
