@@ -6,7 +6,7 @@ scan's frame, in shares of its width and height.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,30 +66,29 @@ def first_best(df: DataFrame, keys: list[str], score: str, order: list[str], val
     return df.groupBy(*keys).agg(F.max_by(F.struct(score, *values), rank).alias("_b")).select(*keys, "_b.*")
 
 
-def shrink(n_in: int, n_out: int) -> np.ndarray:
-    """Area weights, (n_out, n_in)."""
-    edges_in, edges_out = np.arange(n_in + 1), np.arange(n_out + 1) * n_in / n_out
-    share = np.minimum(edges_in[1:], edges_out[1:, None]) - np.maximum(edges_in[:-1], edges_out[:-1, None])
-    return np.maximum(share, 0) * n_out / n_in
-
-
 def gradient_planes(pixels: DataFrame, sides: list[int]) -> DataFrame:
-    """For each image and long side, the gradient length of the reduced luminance; one image a group, as a plane each."""
+    """For each image and long side, the gradient length of the reduced luminance, as a plane each.
+
+    Spark reduces the images, so that a group holds the pixels of one plane and never an image.
+    """
+    lum = written(pixels.select(*KEYS, "width", "height", luminance().alias("lum")))
+    sizes = written(lum.select("image_id", "width", "height").distinct())
+    parts = []
+    for side in sides:
+        to = [F.greatest(F.lit(8), s) for s in rs.working_size(side)]
+        small = rs.resize_each(lum, ["lum"], sizes.withColumns({"to_width": to[0], "to_height": to[1]}))
+        parts.append(small.withColumn("side", F.lit(side)))
+    full = sizes.select("image_id", F.col("width").alias("full_width"), F.col("height").alias("full_height"))
+    whole = reduce(DataFrame.unionByName, parts).join(full, "image_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        w, h = int(pdf.width.iloc[0]), int(pdf.height.iloc[0])
-        lum, out = pdf.lum.to_numpy().reshape(h, w), []
-        for side in sides:
-            scale = min(1.0, side / max(w, h))
-            nw, nh = max(8, round(w * scale)), max(8, round(h * scale))
-            small = shrink(h, nh) @ lum @ shrink(w, nw).T
-            plane = np.zeros((nh, nw))
-            plane[1:-1, 1:-1] = np.hypot(small[1:-1, 2:] - small[1:-1, :-2], small[2:, 1:-1] - small[:-2, 1:-1])
-            out.append((int(pdf.image_id.iloc[0]), side, nw, nh, w, h, plane.ravel()))
-        return pd.DataFrame(out, columns=["image_id", "side", "width", "height", "full_width", "full_height", "plane"])
+        one = pdf.iloc[0]
+        small, plane = np.zeros((int(one.height), int(one.width))), np.zeros((int(one.height), int(one.width)))
+        small[pdf.y, pdf.x] = pdf.lum
+        plane[1:-1, 1:-1] = np.hypot(small[1:-1, 2:] - small[1:-1, :-2], small[2:, 1:-1] - small[:-2, 1:-1])
+        return pd.DataFrame([(int(one.image_id), int(one.side), int(one.width), int(one.height), int(one.full_width), int(one.full_height), plane.ravel())], columns=["image_id", "side", "width", "height", "full_width", "full_height", "plane"])
 
-    return pixels.select(*KEYS, "width", "height", luminance().alias("lum")).groupBy("image_id").applyInPandas(run, PLANES)
+    return whole.groupBy("image_id", "side").applyInPandas(run, PLANES)
 
 
 def overlap_score(d: np.ndarray, r: np.ndarray, at: np.ndarray) -> float:
@@ -115,27 +114,25 @@ def _plane(row, prefix: str) -> np.ndarray:
 def align(damaged: DataFrame, restored: DataFrame) -> DataFrame:
     """image_id, the four parameters and score of each pair, and the sizes that ``warp`` asks for.
 
-    Coarse: one task row for each pair and scale tries all shifts.  Fine: coordinate descent on three finer planes.
+    Coarse: a group for each pair tries all scales and shifts.  Fine: coordinate descent on three finer planes.
     """
     sides = [COARSE, *[s for s, _ in FINE]]
     rename = lambda df, p: df.select("image_id", "side", *[F.col(c).alias(f"{p}_{c}") for c in ("width", "height", "full_width", "full_height", "plane")])
-    planes = rename(gradient_planes(damaged, sides), "d").join(rename(gradient_planes(restored, sides), "r"), ["image_id", "side"])
-
-    def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                d, r = _plane(row, "d"), _plane(row, "r")
-                shape_d, shape_r = row.d_full_width / row.d_full_height, row.r_full_width / row.r_full_height
-                sx, sy = (row.scale, row.scale * shape_d / shape_r) if shape_r > shape_d else (row.scale * shape_r / shape_d, row.scale)
-                shifts = [-0.1 + np.arange(int(np.floor((1.2 - s + 1e-9) * n)) + 1) / n for s, n in ((sx, d.shape[1]), (sy, d.shape[0]))]
-                tried = np.array([(sx, sy, tx, ty) for tx in shifts[0] for ty in shifts[1]])
-                scores = np.array([overlap_score(d, r, t) for t in tried])
-                out.append((row.image_id, row.place, *tried[scores.argmax()], scores.max()))
-            yield pd.DataFrame(out, columns=["image_id", "place", *PARAMETERS, "score"])
-
-    scales = F.posexplode(F.array(*[F.lit(s) for s in SCALES])).alias("place", "scale")
-    tries = planes.where(F.col("side") == COARSE).select("*", scales).mapInPandas(coarse, "image_id long, place int, scale_x double, scale_y double, offset_x double, offset_y double, score double")
+    planes = written(rename(gradient_planes(damaged, sides), "d").join(rename(gradient_planes(restored, sides), "r"), ["image_id", "side"]))
+
+    def coarse(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, out = pdf.iloc[0], []
+        d, r = _plane(row, "d"), _plane(row, "r")
+        shape_d, shape_r = row.d_full_width / row.d_full_height, row.r_full_width / row.r_full_height
+        for place, scale in enumerate(SCALES):
+            sx, sy = (scale, scale * shape_d / shape_r) if shape_r > shape_d else (scale * shape_r / shape_d, scale)
+            shifts = [-0.1 + np.arange(int(np.floor((1.2 - s + 1e-9) * n)) + 1) / n for s, n in ((sx, d.shape[1]), (sy, d.shape[0]))]
+            tried = np.array([(sx, sy, tx, ty) for tx in shifts[0] for ty in shifts[1]])
+            scores = np.array([overlap_score(d, r, t) for t in tried])
+            out.append((row.image_id, place, *tried[scores.argmax()], scores.max()))
+        return pd.DataFrame(out, columns=["image_id", "place", *PARAMETERS, "score"])
+
+    tries = planes.where(F.col("side") == COARSE).groupBy("image_id").applyInPandas(coarse, "image_id long, place int, scale_x double, scale_y double, offset_x double, offset_y double, score double")
     start = first_best(tries, ["image_id"], "score", ["place"], PARAMETERS).drop("score")
 
     def fine(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +206,7 @@ def fit_mapping(known: DataFrame, most: int = DRAWS, passes: int = 3, keep: floa
     fits = fitted(drawn)
     for _ in range(passes - 1):
         error = sum((F.abs(mapped(f"{t}_fit") - F.col(t)) for t in ("tr", "tg", "tb")), F.lit(0.0)) / 3
-        judged = drawn.join(fits, "image_id").withColumn("_e", error).drop("tr_fit", "tg_fit", "tb_fit")
+        judged = written(drawn.join(fits, "image_id").withColumn("_e", error).drop("tr_fit", "tg_fit", "tb_fit"))
         cut = dm.percentile_floor(judged, "_e", keep).withColumnRenamed("value", "_cut")
         fits = fitted(judged.join(cut, "image_id").where("_e < _cut"))
     return fits

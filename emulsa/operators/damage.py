@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emulsa.functions.pixels import clamp, luminance, normalize, safe_divide, saturation
 from emulsa.operators import neighbourhood as nb
+from emulsa.plans.stages import written
 
 #: Damage classes and those whose content is missing: fixed values.
 TYPES = ("None", "WhiteOrBleachedPatch", "YellowingOrColorCast", "StainOrDiscoloration", "CreaseScratchOrTear", "FadedLowContrast", "MetallicOrFoxingSpeckle")
@@ -67,11 +68,31 @@ def brush(masks: DataFrame, strokes: DataFrame) -> DataFrame:
     return masks.join(disk, ["image_id", "y", "x"], "left").withColumn("brushed", F.coalesce("brushed", F.lit(False)))
 
 
+#: Bins of a selection's histogram.
+BINS = 4096
+
+
 def percentile_floor(df: DataFrame, column: str, p: float, keys=("image_id",)) -> DataFrame:
-    """keys and ``value``: the element at index floor(p (n - 1)) of the ascending values."""
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, column, F.row_number().over(w.orderBy(column)).alias("_k"), F.count("*").over(w).alias("_n"))
-    return ranked.where(F.col("_k") == F.floor(F.lit(p) * (F.col("_n") - 1)) + 1).select(*keys, F.col(column).alias("value"))
+    """keys and ``value``: the element at index floor(p (n - 1)) of the ascending values, which are finite.
+
+    Exact and without sorting them: a histogram, combined before its shuffle, shows the bin that holds the element, and
+    only the distinct values of this bin are put in order.  df is read three times.
+    """
+    keys = list(keys)
+    values = df.select(*keys, F.col(column).cast("double").alias("_v"))
+    bounds = values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
+    span = F.col("_hi") - F.col("_lo")
+    at = F.when(span > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / span * BINS))).otherwise(0)
+    binned = values.join(bounds, keys).withColumn("_bin", at)
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    wanted = F.floor(F.lit(p) * (F.col("_n") - 1)) + 1
+    running = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin"))  # BINS rows at most
+    bins = counts.withColumn("_to", running).where((F.col("_to") >= wanted) & (F.col("_to") - F.col("_c") < wanted))
+    inside = binned.join(bins.select(*keys, "_bin", (wanted - F.col("_to") + F.col("_c")).alias("_k")), [*keys, "_bin"])
+    distinct = inside.groupBy(*keys, "_v").agg(F.count("*").alias("_c"), F.first("_k").alias("_k"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+    found = distinct.withColumn("_to", upto).where((F.col("_to") >= F.col("_k")) & (F.col("_to") - F.col("_c") < F.col("_k")))
+    return found.select(*keys, F.col("_v").alias("value"))
 
 
 def rule_detector(pixels: DataFrame, sensitivity: float = 0.2) -> DataFrame:
@@ -84,6 +105,7 @@ def rule_detector(pixels: DataFrame, sensitivity: float = 0.2) -> DataFrame:
     df = nb.local_stats_of(df, [({}, {"var3": "lum"}, 3), ({"lum20": "lum", "sat20": "sat"}, {}, 20)])
     zero = F.lit(0.0)
     df = df.withColumn("anomaly", F.greatest(zero, F.col("lum") - F.col("lum20")) * F.greatest(zero, F.col("sat20") - F.col("sat")) * F.sqrt("var3"))
+    df = written(df)  # the selection reads it again
     at = percentile_floor(df, "anomaly", 1 - (0.03 + 0.07 * s)).withColumnRenamed("value", "anomaly_at")
     df = df.join(at, "image_id")  # one row for each image
     lum, var, a, t = F.col("lum"), F.col("var3"), F.col("anomaly"), F.col("anomaly_at")

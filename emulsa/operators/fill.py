@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.functions.pixels import clamp
+from emulsa.functions.pixels import clamp, lerp
 from emulsa.operators import kernels as kn
 from emulsa.operators import neighbourhood as nb
 from emulsa.operators import resample as rs
@@ -103,7 +103,7 @@ def tiled_fill(masked: DataFrame, factory: Callable[[], Model] | None, hole: str
     soft = nb.gaussian(df.join(some.select("image_id"), "image_id", "left_semi"), {"_soft": "_fill"}, SEAM)
     alpha = F.when(F.col("_locked"), 0.0).otherwise(F.greatest("_soft", "_fill")) * strength
     both = soft.withColumn("_a", alpha).join(full, KEYS).join(notes, "image_id")
-    blend = {c: F.when(F.col("_a") > 0, clamp(F.col(c) + (clamp(f"_{c}") - F.col(c)) * F.col("_a"))).otherwise(F.col(c)) for c in "rgb"}
+    blend = {c: F.when(F.col("_a") > 0, clamp(lerp(c, clamp(f"_{c}"), F.col("_a")))).otherwise(F.col(c)) for c in "rgb"}
     done = both.where("note = ''").select(*KEYS, *[v.alias(k) for k, v in blend.items()], "note")
     rest = df.join(some.select("image_id"), "image_id", "left_anti").select(*KEYS, "r", "g", "b", F.lit("").alias("note"))
     failed = notes.where("note != ''")

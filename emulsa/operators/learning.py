@@ -244,11 +244,11 @@ def solve(equations: dict[tuple[str, str], float], target: str, ridge: float = 1
 
 
 def stratified(df: DataFrame, total: int = 60000, positive: float = 0.30, seed: int = 1, keys=("image_id",)) -> DataFrame:
-    """Without replacement, at least ``positive`` damaged; ties and order by a hash of the place."""
+    """Without replacement, at least ``positive`` damaged where there are as many; in order of a digest of seed and place."""
     n = df.groupBy(*keys).agg(F.count_if("damage").alias("_p"), F.count_if(~F.col("damage")).alias("_q"))
     all_of = F.least(F.lit(total), F.col("_p") + F.col("_q"))
     pos = F.least(F.col("_p"), F.floor(all_of * F.greatest(F.lit(positive), F.col("_p") / (F.col("_p") + F.col("_q")))))
     n = n.withColumns({"_pos": pos}).withColumn("_neg", F.least(F.col("_q"), all_of - F.col("_pos")))
-    w = Window.partitionBy(*keys, "damage").orderBy(F.xxhash64(F.lit(seed), "y", "x"), "y", "x")
+    w = Window.partitionBy(*keys, "damage").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "y", "x")), "y", "x")
     return df.withColumn("_k", F.row_number().over(w)).join(n, list(keys)).where(F.col("_k") <= F.when(F.col("damage"), F.col("_pos")).otherwise(F.col("_neg"))).drop("_k", "_p", "_q", "_pos", "_neg")
 

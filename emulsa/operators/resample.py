@@ -61,11 +61,6 @@ def bicubic(df: DataFrame, cols: list[str], width: int, height: int) -> DataFram
     return _taps_axis(_taps_axis(df, cols, "x", width, True), cols, "y", height, True)
 
 
-def resize(df: DataFrame, cols: list[str], size_in: tuple[int, int], width: int, height: int) -> DataFrame:
-    """Area means where both axes shrink or stay, else bilinear."""
-    return area_resize(df, cols, width, height) if width <= size_in[0] and height <= size_in[1] else bilinear(df, cols, width, height)
-
-
 # --- sizes that differ from image to image ------------------------------------------------------------
 def working_size(long_side: int, grow: bool = False) -> tuple[Column, Column]:
     """Width and height at which the longer side is ``long_side``; smaller images stay as they are unless they may grow."""

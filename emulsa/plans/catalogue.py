@@ -22,6 +22,7 @@ from emulsa.operators import neighbourhood as nb
 from emulsa.operators import resample as rs
 from emulsa.plans import restoration
 from emulsa.plans.stages import shared_folder
+from emulsa.sources.file_formats import digests, save_files
 from emulsa.sources.rasters import image_files, rasters, rasters_sql, save_images
 
 KEYS = ["image_id", "y", "x"]
@@ -407,6 +408,21 @@ def tiles(spark, sf):
     return p.groupBy("image_id", F.col("t.ty").alias("ty"), F.col("t.tx").alias("tx")).agg(F.bool_or(F.col("hole") & inside).alias("work"))
 
 
+@query("tile_count", with_sql(f"select image_id, count(*) filter (work) as n from (select image_id, ty, tx, bool_or({HOLE} and y between ty and ty + 15 and x between tx and tx + 15) as work from pixels cross join (values (0), (12), (24)) a(ty) cross join (values (0), (12), (24), (32)) b(tx) group by image_id, ty, tx) group by image_id"))
+def tile_count(spark, sf):
+    """Tiles of each image that have something to fill."""
+    return tiles(spark, sf).groupBy("image_id").agg(F.count_if("work").alias("n"))
+
+
+@query("file_digests", "select 'supplier-' || s_suppkey || '.txt' as name, octet_length(encode(s_name)) as length, sha256(s_name) as sha256 from supplier")
+def file_digests(spark, sf):
+    """A file for each supplier, written by the sink and read back for its length and digest."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    save_files(s.select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), F.col("s_name").cast("binary").alias("content")), folder)
+    return digests(spark, folder)
+
+
 # --- features and learning ----------------------------------------------------------------------------
 def features_sql() -> str:
     base = f"f0 as (select *, {L} as lum, {sat_sql('1e-6')} as sat, r - g as o1, (r + g) / 2 - b as o2, {MOST} as most, {LEAST} as least_ from pixels),\nf1 as (select *, sqrt(pow(coalesce({DX} / 2, 0), 2) + pow(coalesce({DY} / 2, 0), 2)) as grad, lum * lum as lum_sq from f0)"
@@ -470,9 +486,13 @@ def normal_equations(spark, sf):
     return rounded(ln.normal_equations(pairs(spark, sf).where("known"), ["image_id"]), ["image_id", "i", "j"], ["value"])
 
 
-@query("stratified_sample", with_sql("select image_id, damage, least(case when damage then p else q end, case when damage then pos else t - pos end) as n from (select *, least(p, cast(floor(t * greatest(0.3e0, p / (p + q)::double)) as bigint)) as pos from (select image_id, count(*) filter (damage) as p, count(*) filter (not damage) as q, least(500, count(*)) as t from pairs group by image_id)) cross join (values (true), (false)) v(damage)", PAIRS_SQL))
+@query("stratified_sample", with_sql("""select image_id, y, x, damage from (
+  select p.*, row_number() over (partition by image_id, damage order by md5('1:' || y || ':' || x), y, x) as k from pairs p)
+join (select *, least(p, cast(floor(t * greatest(0.3e0, p / (p + q)::double)) as bigint)) as pos from (select image_id, count(*) filter (damage) as p, count(*) filter (not damage) as q, least(500, count(*)) as t from pairs group by image_id)) using (image_id)
+where k <= case when damage then pos else least(q, t - pos) end""", PAIRS_SQL))
 def stratified_sample(spark, sf):
-    return ln.stratified(pairs(spark, sf), 500).groupBy("image_id", "damage").agg(F.count("*").alias("n"))
+    """The drawn rows themselves."""
+    return ln.stratified(pairs(spark, sf), 500).select(*KEYS, "damage")
 
 
 @query("replay_split", with_sql("select image_id, (y * width + x) % 5 <> 0 as trains, count(*) as n, " + r6(mean="avg(r)") + " from pixels group by all"))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emulsa.operators import damage as dm
 from emulsa.operators import faces as fc
+from emulsa.operators import fill as fl
 from emulsa.operators import kernels as kn
 from emulsa.plans.stages import written
 
-PERCENT = "format_string('%.2f', {})"
+Stage = Callable[[DataFrame, dm.Settings], DataFrame]
 
 
 def no_enhancer(pixels: DataFrame) -> DataFrame:
@@ -20,25 +22,74 @@ def no_enhancer(pixels: DataFrame) -> DataFrame:
     raise NotImplementedError("no face enhancer is built in; give one, or leave enhance off")
 
 
-def restore(masked: DataFrame, s: dm.Settings, enhance: Callable[[DataFrame], DataFrame] | None = None, faces: DataFrame | None = None) -> DataFrame:
+def tone(masked: DataFrame, s: dm.Settings) -> DataFrame:
+    return dm.color_restore(masked, s.color)
+
+
+def fill(toned: DataFrame, s: dm.Settings) -> DataFrame:
+    return kn.inpaint(toned.withColumn("hole", dm.reconstructable(s.repair)), "hole", s.reconstruction)
+
+
+def tiled(factory: Callable[[], fl.Model] | None) -> Stage:
+    """A stage that fills by a model over tiles."""
+
+    def run(toned: DataFrame, s: dm.Settings) -> DataFrame:
+        made = fl.tiled_fill(toned.withColumn("hole", dm.reconstructable(s.repair)), factory, strength=s.reconstruction)
+        made = made.select("image_id", "y", "x", *[F.col(c).alias(f"_{c}") for c in "rgb"])
+        return toned.join(made, ["image_id", "y", "x"]).select(*[F.col(f"_{c}").alias(c) if c in ("r", "g", "b") else F.col(c) for c in toned.columns])
+
+    return run
+
+
+def guard(masked: DataFrame, s: dm.Settings) -> DataFrame:
+    return kn.identity_guard(masked.withColumn("hole", dm.reconstructable(s.repair)), "hole")
+
+
+def grain(filled: DataFrame, masked: DataFrame, s: dm.Settings) -> DataFrame:
+    return dm.grain_match(filled, masked, repair=s.repair)
+
+
+def sharpen(pixels: DataFrame, s: dm.Settings) -> DataFrame:
+    return dm.unsharp(pixels, s.sharpening)
+
+
+@dataclass(frozen=True)
+class Stages:
+    """The exchangeable parts of a run; each takes and gives pixel tables, the guard gives (image_id, deviation, passed).
+
+    ``detect`` adds probability and damage_type to pixels; without it they come with the mask.
+    """
+
+    tone: Stage = tone
+    fill: Stage = fill
+    guard: Stage = guard
+    grain: Callable[[DataFrame, DataFrame, dm.Settings], DataFrame] = grain
+    enhance: Callable[[DataFrame], DataFrame] = no_enhancer
+    sharpen: Stage = sharpen
+    detect: Stage | None = None
+
+
+def restore(masked: DataFrame, s: dm.Settings, stages: Stages = Stages(), faces: DataFrame | None = None) -> DataFrame:
     """Pixels after all stages; with a strict guard, images that fail it keep their toned, unfilled pixels.
 
     With faces (boxes: image_id, x, y, width, height) and ``lock_faces``, less certain damage on them is cleared first.
     """
+    if stages.detect is not None:
+        masked = written(stages.detect(masked, s))
     if s.lock_faces and faces is not None:
         masked = fc.lock(masked, faces, s.face_confidence, s.repair).drop("cleared")
-    toned = dm.color_restore(masked, s.color)
-    filled = kn.inpaint(toned.withColumn("hole", dm.reconstructable(s.repair)), "hole", s.reconstruction)
+    toned = stages.tone(masked, s)
+    filled = stages.fill(toned, s)
     if s.strict_guard:
-        passed = kn.identity_guard(masked.withColumn("hole", dm.reconstructable(s.repair)), "hole")
+        passed = stages.guard(masked, s)
         old = toned.select("image_id", "y", "x", *[F.col(c).alias(f"_{c}") for c in "rgb"])
         filled = filled.join(passed.select("image_id", "passed"), "image_id").join(old, ["image_id", "y", "x"])
         filled = filled.withColumns({c: F.when(F.col("passed"), F.col(c)).otherwise(F.col(f"_{c}")) for c in "rgb"}).drop("passed", "_r", "_g", "_b")
     filled = written(filled)  # the fill is not repeated for what reads it next
-    grained = dm.grain_match(filled, masked, repair=s.repair) if s.grain else filled
+    grained = stages.grain(filled, masked, s) if s.grain else filled
     if s.enhance:
-        grained = (enhance or no_enhancer)(grained)
-    return dm.unsharp(grained, s.sharpening)
+        grained = stages.enhance(grained)
+    return stages.sharpen(grained, s)
 
 
 def audit(masked: DataFrame, s: dm.Settings) -> DataFrame:
@@ -59,9 +110,9 @@ def audit(masked: DataFrame, s: dm.Settings) -> DataFrame:
 
 def report(masked: DataFrame, s: dm.Settings) -> DataFrame:
     """``audit`` with what the run itself found: the guard's verdict, the measured grain, and which tones were corrected."""
-    guard = kn.identity_guard(masked.withColumn("hole", dm.reconstructable(s.repair)), "hole").select("image_id", "deviation", "passed")
+    checked = guard(masked, s).select("image_id", "deviation", "passed")
     sigma, tones = dm.grain_sigma(masked, s.repair), dm.color_stats(masked).select("image_id", "avg_l", "p01", "p99", "mean_s")
-    rows = audit(masked, s).join(guard, "image_id").join(sigma, "image_id", "left").join(tones, "image_id", "left")
+    rows = audit(masked, s).join(checked, "image_id").join(sigma, "image_id", "left").join(tones, "image_id", "left")
     largest = F.concat(F.lit("largest rebuilt area "), F.format_string("%.2f%%", 100 * F.col("deviation")))
     failed = "strict: kept the toned image" if s.strict_guard else "warning only"
     verdict = F.concat(largest, F.when(F.col("passed"), F.lit(", passed")).otherwise(F.lit(f", {failed}")))

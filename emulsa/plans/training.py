@@ -133,6 +133,22 @@ def cross_validation(spark, sf):
     return tr.cross_validated(p, names, options=tr.Options(rate=5e-3, steps=8))
 
 
+TILT = [((i * 7919) % 2001 - 1000) / 2000 for i in range(tf.FEATURES)]
+_TILT_SQL = "[" + ", ".join(f"{t}e0" for t in TILT) + "]"
+
+
+@query("loss_gradient", f"""with r as (select list_transform(embedding[1:{tf.FEATURES}], lambda e: e::double) as x, (label % 2 = 1)::int as y, (1 + vec_id % 4)::double as w from embeddings where vec_id % 5 <> 0),
+p as (select *, 1 / (1 + exp(-(list_dot_product(x, {_TILT_SQL}) + 0.1e0))) as p from r)
+select -1 as place, {r6(value="sum(w * -(case when y = 1 then ln(p) else ln(1 - p) end))")} from p union all select -2, {r6(value="sum(w)")} from p
+union all select i - 1, {r6(value="sum(w * (p - y) * x[i])")} from p, range(1, {tf.FEATURES + 1}) t(i) group by i union all select {tf.FEATURES}, {r6(value="sum(w * (p - y))")} from p""")
+def loss_gradient(spark, sf):
+    """Weighted cross entropy (place -1), weight (-2) and gradient (0 on; the bias last) of one layer over the replayed rows."""
+    layer = ln.Network([tf.FEATURES, 1], [0.0] * tf.FEATURES, [1.0] * tf.FEATURES, [TILT], [[0.1]])
+    [sums] = tr.partial_sums(tr.replayed(replay_rows(spark, sf), False), [(-1, layer)], True)
+    rows = [(-1, float(sums[0])), (-2, float(sums[1])), *[(k, float(v)) for k, v in enumerate(sums[2:])]]
+    return rounded(spark.createDataFrame(rows, "place int, value double"), ["place"], ["value"])
+
+
 @query("replay_scores", "with r as (select label % 2 = 1 as label, 1 + vec_id % 4 as weight, embedding[1] > 0 as flag from embeddings where vec_id % 5 = 0)\nselect coalesce(sum(weight) filter (flag and label) / nullif(sum(weight) filter (flag or label), 0)::double, 1) as iou from r")
 def replay_scores(spark, sf):
     one = [1.0] + [0.0] * (tf.FEATURES - 1)
@@ -169,8 +185,12 @@ BYTE = "round_even({} * 255, 0) / 255"
 
 @query("pair_files", with_sql(f"select 'pair-' || image_id as path, 'image ' || image_id as name, y, x, width, height, {r6(**{c: BYTE.format(c) for c in 'rgb'})}, damage, known from pairs", PAIRS_SQL))
 def pair_files(spark, sf):
+    """Written as files, one for each pair, and read by the data source."""
     named = pairs(spark, sf).withColumns({"path": F.concat(F.lit("pair-"), "image_id"), "name": F.concat(F.lit("image "), "image_id")})
-    back = tf.decode_pairs(tf.encode_pairs(named))
+    folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    ff.save_files(tf.encode_pairs(named).select(F.concat("path", F.lit(".bin")).alias("name"), "content"), folder)
+    back = spark.read.format("pair_files").option("path", folder).load()
+    back = back.withColumn("path", F.regexp_extract("path", r"([^/]*)\.bin$", 1))
     return rounded(back, ["path", "name", "y", "x", "width", "height", "damage", "known"], ["r", "g", "b"])
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from emulsa.sources import training_files as tf
@@ -177,3 +178,9 @@ def save_files(files: DataFrame, path: str, mode: str = "append") -> None:
     """Writes (name, content) as files."""
     register(files.sparkSession)
     files.select("name", "content").write.format("named_files").mode(mode).option("path", path).save()
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """name, length and SHA-256 of the files of a folder."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))

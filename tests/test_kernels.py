@@ -254,3 +254,18 @@ def test_restoration_is_its_stages(spark):
     assert f"{sigma:.4f}" in rows["Grain"].message
     with pytest.raises(NotImplementedError):
         restoration.restore(df, dm.Settings(enhance=True))
+
+
+def test_stages_can_be_exchanged(spark):
+    """A model's fill, another guard, an enhancer and a detector take their places in a run."""
+    df, p, rebuilt = masked(spark, 40)
+    s = dm.Settings(grain=False, sharpening=0.0, color=0.0, enhance=True)
+    seen = []
+    stages = restoration.Stages(fill=restoration.tiled(training.MeanFill()), enhance=lambda d: seen.append(1) or d.withColumn("r", F.col("r") / 2), detect=lambda d, s: d.withColumn("probability", F.when(F.expr("y between 20 and 29 and x between 20 and 29"), 0.9).otherwise(0.0)))
+    got = planes_of(restoration.restore(df, s, stages), rebuilt.shape)
+    detected = df.withColumn("probability", F.when(F.expr("y between 20 and 29 and x between 20 and 29"), 0.9).otherwise(0.0))
+    want = planes_of(fl.tiled_fill(detected.withColumn("hole", F.col("probability") > 0), training.MeanFill(), strength=s.reconstruction), rebuilt.shape) * [0.5, 1, 1]
+    assert np.allclose(got, want) and seen == [1]
+    never = restoration.Stages(guard=lambda d, s: d.groupBy("image_id").agg(F.lit(1.0).alias("deviation"), F.lit(False).alias("passed")))
+    kept = planes_of(restoration.restore(df, dm.Settings(grain=False, sharpening=0.0, color=0.0, strict_guard=True), never), rebuilt.shape)
+    assert np.allclose(kept, p)
