@@ -10,7 +10,8 @@ prefix-compressed against the entry before, the first key of a block whole.  Ind
 key (9 bytes), offset (8), size (4), entries (4) and ids before it in the shard (8).  Bloom filter: bits
 of ``BITS`` per key, ``PROBES`` probes.  Footer (56 bytes): magic, offsets and sizes, documents, ids.
 
-Null text: empty, so the end id alone.  Equal ids stand side by side in order of their text's hash.
+Null text: empty, so the end id alone.  Equal ids stand side by side in order of their text's hash; where
+rows of one id fill several shards, these shards' order, and so ``start`` within that id, may differ between runs.
 Empty tables give no shard.  Only id and text are read, so other columns can't clash.
 """
 

@@ -10,7 +10,8 @@ or null text has none.  Likeness is the Jaccard coefficient of two sets, 1 for t
 reach the threshold lie in the same or neighbouring partitions.  There, only the rarest signatures are
 joined (prefix filter) and a pair is dropped from its lengths alone when these rule the threshold out.
 
-Ids may be null (first in order) or repeated (ordered by the text's hash); an empty table gives an empty
+Ids may be null (first in order) or repeated (ordered by the text's hash); all null ids, and all rows of one repeated
+id, are put in order by one task.  An empty table gives an empty
 result; only id and text are read.
 """
 

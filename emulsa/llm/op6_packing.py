@@ -6,6 +6,8 @@ repeat counts are fitted to the histogram by non-negative least squares and roun
 left over is packed best-fit-decreasing, still as counts.  The plan says, for the r-th piece of length
 l, in which sequence and where it lies; pieces learn their rank from per-chunk counts.
 
+Both sides of the final cogroup come from the same rows, so a chunk has its ranks whenever it has pieces.
+
 Null and empty texts have the end id alone.  Repeated rows are packed each for itself.  An empty table
 gives an empty result.  Other columns of the input, whatever their names, are not read.
 """
