@@ -64,11 +64,12 @@ def replayed(replay: DataFrame, check: bool) -> DataFrame:
 
 @dataclass(frozen=True)
 class Staged:
-    """Where the batches lie; ``batches`` of them besides the checking rows (batch -1)."""
+    """Where the batches lie, in ``files`` files each; ``batches`` of them besides the checking rows (batch -1)."""
 
     folder: str
     batches: int
     rows: int
+    files: int
 
     def read(self, spark, batch: int) -> DataFrame:
         return spark.read.schema(ROWS).parquet(f"{self.folder}/batch={batch}")
@@ -92,12 +93,15 @@ def staged(rows: DataFrame, options: Options) -> Staged:
     # a batch larger than a task's share lies in several files
     share = max(1, -(-n // batches // 50_000))
     placed.repartition(F.col("batch"), draw("share", share)).write.partitionBy("batch").parquet(folder)
-    return Staged(folder, batches, n)
+    return Staged(folder, batches, n, share)
 
 
 # --- steps --------------------------------------------------------------------------------------------
-def partial_sums(rows: DataFrame, models: list[tuple[int, ln.Network]], gradients: bool) -> list[np.ndarray]:
-    """For each (fold, network): loss, weight and, if wanted, the gradient, summed over the rows outside its fold."""
+def partial_sums(rows: DataFrame, models: list[tuple[int, ln.Network]], gradients: bool, few: bool = False) -> list[np.ndarray]:
+    """For each (fold, network): loss, weight and, if wanted, the gradient, summed over the rows outside its fold.
+
+    With ``few`` tasks, ``FAN`` at most, their sums come to the driver as they are.
+    """
     shared = [(fold, net.layer_sizes, np.array(net.mean), np.array(net.scale), net.flat()) for fold, net in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +128,8 @@ def partial_sums(rows: DataFrame, models: list[tuple[int, ln.Network]], gradient
         return pa.table({"part": pa.array([parts["part"][0].as_py() % FAN], pa.int32()), "model": parts["model"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, model int, sums binary"
-    parts = rows.mapInArrow(run, schema).groupBy("model", F.pmod("part", F.lit(FAN))).applyInArrow(add, schema)
+    parts = rows.mapInArrow(run, schema)
+    parts = parts if few else parts.groupBy("model", F.pmod("part", F.lit(FAN))).applyInArrow(add, schema)
     found = sorted(parts.collect())  # FAN rows a model at most
     empty = np.zeros(2 + (len(shared[0][4]) if gradients else 0))
     return [sum((np.frombuffer(r.sums, float) for r in found if r.model == k), empty) for k in range(len(models))]
@@ -178,11 +183,12 @@ def train(rows: DataFrame, start: ln.Network, options: Options = Options(), fold
 
     def each(batch: int, gradients: bool) -> None:
         open_ = [(k, r) for k, r in zip(own, runs, strict=True) if not r.done]
-        sums = partial_sums(at.read(spark, batch), [(k, r.current()) for k, r in open_], gradients)
+        sums = partial_sums(frames[batch], [(k, r.current()) for k, r in open_], gradients, at.files <= FAN)
         for (_, r), s in zip(open_, sums, strict=True):
             (r.step if gradients else r.check)(s)
 
     have = {int(r.batch) for r in spark.read.parquet(at.folder).select("batch").distinct().collect()}  # at most ``steps`` + 1 rows
+    frames = {b: at.read(spark, b) for b in have}  # files are listed once
     each(-1, False)
     for epoch in range(options.epochs):
         for batch in epoch_order(options, epoch, at.batches):

@@ -1,5 +1,7 @@
 """Every registered raster query against its SQL, on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ def duck(sf):
 def test_equals_sql(name, spark, sf, duck):
     df = catalogue.queries()[name](spark, sf)
     got, want = df.toPandas(), duck.execute(SQL[name]).df()
-    assert df.count() == len(got)  # under an aggregate columns are pruned
+    if re.search("FlatMap|MapIn", df._jdf.queryExecution().analyzed().toString()):  # what runs Python sees other columns under an aggregate
+        assert df.count() == len(got)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 

@@ -111,7 +111,7 @@ def replay(spark, turned=False):
 
 def test_gate(spark):
     p, names = photos(spark, 3)
-    options = tr.Options(epochs=8, batch=64, rate=0.02)
+    options = tr.Options(epochs=6, batch=64, rate=0.03)
     report = tr.train_gated(p, names, replay(spark), options=options, per_pair=200)
     gate, pairs = report.gate.first(), report.pairs.toPandas()
     assert gate.accepted and gate.candidate_iou > gate.current_iou and gate.pairs == 3 and gate.summary.startswith("accepted")
@@ -127,7 +127,7 @@ def test_gate(spark):
     # the same network once more is no worse; one that has forgotten the replayed rows is turned away
     again = tr.train_gated(p, names, replay(spark), current=report.model, options=tr.Options(epochs=1, rate=0.0), per_pair=200).gate.first()
     assert again.accepted and again.current_iou == again.candidate_iou
-    lost = tr.train_gated(p, names, replay(spark, turned=True), current=report.model.changed(weights=[(-np.array(w)).tolist() if k == len(report.model.weights) - 1 else w for k, w in enumerate(report.model.weights)], biases=[(-np.array(b)).tolist() if k == len(report.model.biases) - 1 else b for k, b in enumerate(report.model.biases)]), options=options, per_pair=2000)
+    lost = tr.train_gated(p, names, replay(spark, turned=True), current=report.model.changed(weights=[(-np.array(w)).tolist() if k == len(report.model.weights) - 1 else w for k, w in enumerate(report.model.weights)], biases=[(-np.array(b)).tolist() if k == len(report.model.biases) - 1 else b for k, b in enumerate(report.model.biases)]), options=options, per_pair=200)
     row = lost.gate.first()
     assert row.accepted == (row.candidate_iou >= row.current_iou - 1e-4 and row.candidate_replay >= 0.95 * row.current_replay)
     assert lost.model == (lost.candidate if row.accepted else lost.model)
