@@ -37,5 +37,4 @@ def test_equals_sql(name, spark, sf, duck):
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
 def test_runs(name, spark, sf):
     df = catalogue.queries()[name](spark, sf)
-    n = df.count()
-    assert n > 0 and df.groupBy(df.columns[0]).agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] == n
+    assert df.groupBy(df.columns[0]).agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] > 0

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tests.test_kernels import gaussian_plane
 
 from emulsa.operators import alignment as al
-from emulsa.operators import learning as ln
 from emulsa.operators import library as lb
-from emulsa.plans import catalogue, training
+from emulsa.plans import training
 from emulsa.sources import rasters as rt
 from emulsa.sources import training_files as tf
 
