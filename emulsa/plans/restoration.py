@@ -78,7 +78,7 @@ def restore(masked: DataFrame, s: dm.Settings, stages: Stages = Stages(), faces:
         masked = written(stages.detect(masked, s))
     if s.lock_faces and faces is not None:
         masked = fc.lock(masked, faces, s.face_confidence, s.repair).drop("cleared")
-    toned = stages.tone(masked, s)
+    toned = written(stages.tone(masked, s))  # read by the fill and the guard
     filled = stages.fill(toned, s)
     if s.strict_guard:
         passed = stages.guard(masked, s)
