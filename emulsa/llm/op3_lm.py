@@ -1,9 +1,9 @@
 """Bigram language model in log-frequency Bloom filters, with exact unigram counts beside it.
 
-Counting: every batch sends its distinct words and word pairs, as 64-bit hashes with counts, to buckets
-by hash; a bucket adds them up.  A bucket's filter holds for each n-gram its quantised count
-q = 1 + floor(log_BASE c): the n-gram is inserted at levels 1 to q.  A count is read back by probing
-levels 1, 2, ... until one is absent.  A filter is sized by its own n-grams, and every pair is in it.
+Counting: texts are dealt into slices.  A slice sends its distinct words and word pairs, as 64-bit hashes with their counts
+in training rows (0 in none), to buckets by hash, ascending; a bucket adds them up.  A bucket's filter holds for each n-gram
+of training its quantised count q = 1 + floor(log_BASE c): the n-gram is inserted at levels 1 to q.  A count is read back by
+probing levels 1, 2, ... until one is absent.  A filter is sized by its own n-grams, and every pair is in it.
 The number of buckets follows the bytes of the training texts, so that no score depends on the cluster.
 
 Score of a token w after v (the start of a text is a word of its own):
@@ -13,11 +13,10 @@ filters' rate of false hits, measured from their fill: the first term sums to k(
 included, and rare words, whose few true pairs false hits would outweigh, fall back on the second term.  So a sum
 over w is 1 but for the quantised counts and chance; tests hold it between 0.8 and 1.25.
 
-Filters stay in their buckets.  Broadcast are only the levels of at most ``FREQUENT`` words (those that make
-up more than N / FREQUENT of all tokens each, with their exact counts for the base) and of ``FREQUENT_PAIRS``
-pairs (by the same rule within each bucket).  All other n-grams are asked for: texts are dealt into slices, a
-slice sends its distinct open n-grams to their buckets, ascending, and gets levels and exact counts back in that
-order.  What is broadcast is read from the same filters, so the two limits change no score.
+Filters stay in their buckets: what a slice sends to be counted is also its question.  A bucket reads the level of each
+n-gram that any slice holds from its filter, once, and answers each slice in the order of its hashes, with the words' exact
+counts for the base and with its totals.  Every slice writes to every bucket, so that all totals reach it.  N-grams cross the
+network once, and nothing is broadcast or sent to the driver.
 
 Words have 64-bit hashes, pairs 48-bit ones.
 
@@ -37,10 +36,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import crc_mod, cut, distinct, filled, hash_strings, mix, packed, slices, split_words, unpacked
+from emulsa.llm.common import crc_mod, distinct, filled, hash_strings, mix, slices, split_words, unpacked
 
 BASE, PROBES, BITS = 1.35, 8, 12
-FREQUENT, FREQUENT_PAIRS = 1 << 20, 1 << 21
+#: A slice adds up what is frequent in it whenever more n-grams than these wait.
+FREQUENT = 1 << 20
 BUCKET, WIDE_BUCKET, MANY = 2 << 20, 64 << 20, 4096
 STRONG, WEAK = 0.75, 4.0
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,7 +73,9 @@ def pairs(h: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((mix(h) >> np.uint64(16)) % np.uint64(n)).astype(np.int32)
+    """By intervals of the upper 32 bits of 64, or of the 48 that pairs have: what lies in a bucket is close together, so steps are short."""
+    upper = np.where(h >> np.uint64(48), h >> np.uint64(32), h >> np.uint64(16))
+    return (upper * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 #: Planes of a packed n-gram: its lowest 32 bits, the 8 above and the rest.
@@ -182,132 +184,148 @@ def looked_up(h: np.ndarray, table: np.ndarray, *values: np.ndarray) -> tuple[np
     return hit, *(np.where(hit, x[at], 0) for x in values)
 
 
-PACKED = "bucket int, h0 binary, h1 binary, h2 binary, counts binary, pairs boolean"
-COUNTED = "bucket int, hashes binary, counts binary, often binary, often_levels binary, filter binary, n_tokens long, n_words long, false_hits double"
-ASKED = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in PLANES), ("slice", pa.int32())])
-ANSWERED = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())])
+#: Planes of a count: its lowest 8 bits and the 32 above.
+COUNT_PLANES = {"c0": "u1", "c1": "<u4"}
+ASKED = "bucket int, slice int, pairs boolean, h0 binary, h1 binary, h2 binary, c0 binary, c1 binary"
+ANSWERED = "slice int, bucket int, pairs boolean, levels binary, counts binary, n_tokens long, n_words long, false_hits double"
+COUNTED = "bucket int, hashes binary, counts binary, filter binary, n_tokens long, n_words long, false_hits double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def buckets_for(docs: DataFrame) -> int:
+def n_buckets(size: int) -> int:
     """One bucket for each BUCKET bytes of text, and from MANY buckets on for each WIDE_BUCKET bytes; 16 at least."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     return max(16, min(-(-size // BUCKET), MANY), -(-size // WIDE_BUCKET))
 
 
-def train(docs: DataFrame, n: int) -> DataFrame:
-    """One row for each bucket: its words with exact counts, its filter, and its frequent pairs; counts of all rows of docs."""
+def buckets_for(docs: DataFrame) -> int:
+    return n_buckets(docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0)
+
+
+def flagged(docs: DataFrame, trains, scored: bool = True) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), trains.alias("trains"), F.lit(scored).alias("scored"))
+
+
+def dealt(rows: DataFrame, n_slices: int) -> DataFrame:
+    return rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(n_slices)).cast("int"))
+
+
+def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct hashes, their summed counts, where each of h is among them)"""
+    order = np.argsort(h, kind="stable")
+    x = h[order]
+    new = np.r_[True, x[1:] != x[:-1]][: len(x)]
+    at, back = np.flatnonzero(new), np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[at], np.add.reduceat(c[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64), back
+
+
+def ask(rows: DataFrame, n: int) -> DataFrame:
+    """The n-grams of each slice of rows (text, trains, slice) with their counts in training rows: two rows, words and pairs, for each slice and bucket."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
+    def send(table: pa.Table) -> pa.Table:
+        waiting: tuple[list, list] = ([], [])  # words, pairs
+        for batch in slices(table.select(["text", "trains"]).to_batches(), most=SLICE):
             h, codes, offsets = tokens(batch.column(0))
-            c = np.bincount(codes, minlength=len(h))
-            by = np.flatnonzero(c > 0)
-            by = by[np.argsort(h[by])]
-            for x, counts, are_pairs in ((h[by], c[by], False), (*np.unique(pairs(h, codes, offsets)[1], return_counts=True), True)):
-                bucket = bucket_of(x, n)
-                order, steps = in_steps(bucket, x)
-                for rows in packed(bucket[order], steps | {"counts": counts[order].astype("<u4")}):
-                    yield rows.append_column("pairs", pa.array([are_pairs] * rows.num_rows))
-
-    def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order].astype(np.int64)
-        if not len(h):
-            return h, c
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        return h[at], np.add.reduceat(c, at)
-
-    def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        cells = [from_steps(*x) for x in zip(*(table[k].to_pylist() for k in PLANES), strict=True)]
-        return summed(np.concatenate([np.empty(0, np.uint64), *cells]), unpacked(table["counts"], "<u4"))
+            counted = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(offsets))
+            c, there = np.bincount(codes[counted], minlength=len(h)), np.bincount(codes, minlength=len(h)) > 0
+            p, of_pairs, _ = summed(pairs(h, codes, offsets)[1], counted)
+            for kind, x, of_x in ((0, h[there], c[there]), (1, p, of_pairs)):
+                waiting[kind].append((x, of_x))
+                if sum(len(y) for y, _ in waiting[kind]) > FREQUENT:
+                    waiting[kind][:] = [summed(*map(np.concatenate, zip(*waiting[kind], strict=True)))[:2]]
+        parts = []
+        for kind in (0, 1):
+            h, c, _ = summed(*map(np.concatenate, zip(*waiting[kind], strict=True)))
+            bucket = bucket_of(h, n)
+            order, planes = in_steps(bucket, h)
+            planes |= {"c0": (c[order] & 0xFF).astype("u1"), "c1": (c[order] >> 8).astype("<u4")}
+            ends = np.cumsum(np.bincount(bucket, minlength=n))
+            cells = {k: pa.array([v[s:e].tobytes() for s, e in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()) for k, v in planes.items()}
+            parts.append(pa.table({"bucket": pa.array(np.arange(n), pa.int32()), "slice": pa.array([table["slice"][0].as_py()] * n, pa.int32()), "pairs": pa.array([kind == 1] * n)} | cells))
+        return pa.concat_tables(parts)
+
+    return rows.groupBy("slice").applyInArrow(send, ASKED)
+
+
+class Bucket:
+    """What slices have sent to one bucket: of words and of pairs the distinct hashes, counts and each slice's places among them; the filter of those that training has."""
+
+    def __init__(self, table: pa.Table):
+        self.kinds = []
+        for kind in (False, True):
+            part = table.filter(pc.equal(table["pairs"], kind))
+            cells = [from_steps(*x) for x in zip(*(part[k].to_pylist() for k in PLANES), strict=True)]
+            low, high = (unpacked(part[k], t).astype(np.int64) for k, t in COUNT_PLANES.items())
+            h, c, back = summed(np.concatenate([np.empty(0, np.uint64), *cells]), low | high << 8)
+            self.kinds.append((part["slice"].to_pylist(), [len(x) for x in cells], h, c, back))
+        (*_, h, c, _), (*_, p, d, _) = self.kinds
+        self.words, self.counts = h[c > 0], c[c > 0]
+        self.bits = build_filter(np.r_[self.words, p[d > 0]], np.r_[self.counts, d[d > 0]])
+        self.totals = {"n_tokens": int(c.sum()), "n_words": len(self.words), "false_hits": false_hits(self.bits)}
+
+
+def train(docs: DataFrame, n: int) -> DataFrame:
+    """The model of all rows of docs as a table: one row for each bucket, with its words, their exact counts and its filter."""
 
     def add(table: pa.Table) -> pa.Table:
-        (h, c), (p, d) = (gathered(table.filter(pc.equal(table["pairs"], kind))) for kind in (False, True))
-        bits = build_filter(np.r_[h, p], np.r_[c, d])
-        often = p[d > int(d.sum()) // max(1, FREQUENT_PAIRS // n)]
-        columns = {"hashes": h, "counts": c.astype("<i8"), "often": often, "often_levels": Filters(np.array([len(bits)]), bits).levels(often).astype("u1")}
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in columns.items()} | {"filter": pa.array([bits], pa.binary()), "n_tokens": pa.array([int(c.sum())], pa.int64()), "n_words": pa.array([len(h)], pa.int64()), "false_hits": pa.array([false_hits(bits)], pa.float64())})
+        b = Bucket(table)
+        return pa.Table.from_pylist([{"bucket": table["bucket"][0].as_py(), "hashes": b.words.tobytes(), "counts": b.counts.astype("<i8").tobytes(), "filter": b.bits} | b.totals], pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("false_hits", pa.float64())]))
 
-    return docs.select("text").mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(add, COUNTED)
+    return ask(dealt(flagged(docs, F.lit(True)), max(1, n // 4)), n).groupBy("bucket").applyInArrow(add, COUNTED)
 
 
-def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> DataFrame:
-    """Scores of every row of docs under a model of all rows of training."""
-    spark = docs.sparkSession
-    n = buckets_for(training)
-    model = cut(train(training, n))
-    rate = F.avg(F.round(F.col("false_hits") * 1e12).cast("long")) * 1e-12  # whole numbers, so that the order of summing is no matter
-    total = model.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), rate.alias("f")).first()
-    n_train, n_words = total.n or 0, total.v or 0
-    false_mass = (total.f or 0.0) * n_words
-    above = n_train // FREQUENT
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts, often, often_levels, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, c = np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i8")
-                h, c = h[c > above], c[c > above]
-                yield pa.RecordBatch.from_pydict({"h": [h.tobytes()], "c": [c.tobytes()], "l": [Filters(np.array([len(bits)]), bits).levels(h).astype("u1").tobytes()], "p": [often], "q": [often_levels]})
-
-    often = model.select("hashes", "counts", "often", "often_levels", "filter").mapInArrow(top, "h binary, c binary, l binary, p binary, q binary").collect()  # FREQUENT words and FREQUENT_PAIRS pairs at most
-    h, c, word_level, p, pair_level = (np.frombuffer(b"".join(bytes(r[k]) for r in often), t) for k, t in enumerate(("<u8", "<i8", "u1", "<u8", "u1")))
-    by, by_pair = np.argsort(h), np.argsort(p)
-    frequent = spark.sparkContext.broadcast((h[by], c[by], word_level[by], p[by_pair], pair_level[by_pair]))
-    del often, h, c, word_level, p, pair_level
-    scale = n_train + 0.1 * (n_words + 1)
-    dealt = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(max(1, n // 4))).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), dealt.alias("slice"))
-    rows = rows.groupBy("slice")
+def answer(table: pa.Table) -> pa.Table:
+    """Levels, from the filter, and words' exact counts for each slice that has sent to this bucket, in the order of its hashes."""
+    b, bucket, parts = Bucket(table), table["bucket"][0].as_py(), []
+    lm = Filters(np.array([len(b.bits)]), b.bits)
+    for are_pairs, (slice_ids, sizes, h, c, back) in zip((False, True), b.kinds, strict=True):
+        level, ends = lm.levels(h).astype("u1")[back], np.cumsum(sizes)
+        exact = np.empty(0, "<i8") if are_pairs else c.astype("<i8")[back]
+        cut_up = lambda x: pa.array([x[e - k : e].tobytes() for k, e in zip(sizes, ends, strict=True)], pa.binary())
+        same = lambda v, t: pa.array([v] * len(sizes), t)
+        parts.append(pa.table({"slice": pa.array(slice_ids, pa.int32()), "bucket": same(bucket, pa.int32()), "pairs": same(are_pairs, pa.bool_()), "levels": cut_up(level), "counts": cut_up(exact)} | {k: same(v, pa.float64() if k == "false_hits" else pa.int64()) for k, v in b.totals.items()}))
+    return pa.concat_tables(parts)
+
+
+def _score(flags: DataFrame) -> DataFrame:
+    """Scores of the rows that ``scored`` marks under a model of those that ``trains`` marks."""
+    size = flags.agg(F.sum(F.octet_length("text")).alias("all"), F.sum(F.when(F.col("trains"), F.octet_length("text"))).alias("training")).first()
+    n = n_buckets(size.training or 0)
+    rows = dealt(flags, max(1, n_buckets(size["all"] or 0) // 4))
 
     def read(text: pa.Array) -> tuple:
-        """offsets; code of each token and, by code, hash, whether it is broadcast, level and count; the same of the pairs, without counts."""
+        """offsets; code of each token and, by code, hash; the same of the pairs."""
         h, codes, offsets = tokens(text)
-        words, counts, word_levels, pair_table, pair_levels = frequent.value
-        pair, back = np.unique(pairs(h, codes, offsets)[1], return_inverse=True)
-        return offsets, (codes, h, *looked_up(h, words, word_levels, counts)), (back, pair, *looked_up(pair, pair_table, pair_levels))
-
-    def open_hashes(parts: Iterator[tuple]) -> np.ndarray:
-        """The distinct n-grams of a slice that aren't broadcast, ascending, whatever the order of its rows."""
-        found = np.empty(0, np.uint64)
-        for _, (codes, h, hit, *_), (_, pair, pair_hit, _) in parts:
-            found = distinct(np.concatenate([found, h[~hit & (np.bincount(codes, minlength=len(h)) > 0)], pair[~pair_hit]]))
-        return found
-
-    def ask(table: pa.Table) -> pa.Table:
-        h = open_hashes(read(x.column(0)) for x in slices(table.select(["text"]).to_batches(), most=SLICE))
-        bucket = bucket_of(h, n)
-        order, steps = in_steps(bucket, h)
-        parts = [x.append_column("slice", pa.array([table["slice"][0].as_py()] * x.num_rows, pa.int32())) for x in packed(bucket[order], steps)]
-        return pa.Table.from_batches(parts, schema=ASKED)
-
-    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return ANSWERED.empty_table()
-        there = counted.num_rows > 0  # an empty side comes without columns
-        lm = [Filters(np.array([len(x)]), x) for x in counted["filter"].to_pylist()] if there else []
-        words, exact = (unpacked(counted[c], t) if there else np.empty(0, t) for c, t in (("hashes", "<u8"), ("counts", "<i8")))
-        out = []
-        for k in range(asked.num_rows):
-            h = from_steps(*(asked[c][k].as_py() for c in PLANES))
-            level = lm[0].levels(h) if lm else np.zeros(len(h))
-            out.append((level.astype("u1").tobytes(), looked_up(h, words, exact)[1].astype("<u4").tobytes()))
-        return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "levels": pa.array([x for x, _ in out], pa.binary()), "counts": pa.array([x for _, x in out], pa.binary())})
+        pair, _, back = summed(pairs(h, codes, offsets)[1], np.zeros(len(codes), np.int64))
+        return offsets, codes, h, back, pair
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         value = level_counts()
-        batches = list(slices(table.select(["doc_id", "text", "held_out"]).to_batches(), most=SLICE))
+        batches = list(slices(table.select(["doc_id", "text", "held_out", "scored"]).to_batches(), most=SLICE))
         texts = [read(x.column(1)) for x in batches] if table.nbytes <= 4 * SLICE else None  # a large slice is read twice
-        asked = open_hashes(texts or (read(x.column(1)) for x in batches))
-        levels, exact = np.empty(len(asked), np.uint8), np.empty(len(asked), np.int64)
-        if len(asked):
-            told, order = told.sort_by("bucket"), np.argsort(bucket_of(asked, n), kind="stable")
-            levels[order], exact[order] = unpacked(told["levels"], "u1"), unpacked(told["counts"], "<u4")
+        words, all_pairs = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        for _, codes, h, _, pair in texts or (read(x.column(1)) for x in batches):
+            words = distinct(np.concatenate([words, h[np.bincount(codes, minlength=len(h)) > 0]]))
+            all_pairs = distinct(np.concatenate([all_pairs, pair]))
+        told = told.sort_by("bucket")
+        of_words, of_pairs = (told.filter(pc.equal(told["pairs"], kind)) for kind in (False, True))
+        n_train, n_words = (pc.sum(of_words[k]).as_py() for k in ("n_tokens", "n_words"))
+        rates = [x for x in of_words["false_hits"].to_pylist() if x]
+        false_mass = sum(rates) / max(1, len(rates)) * n_words
+        scale = n_train + 0.1 * (n_words + 1)
+
+        def placed(h: np.ndarray, col, dtype) -> np.ndarray:
+            out = np.empty(len(h), dtype)
+            out[np.argsort(bucket_of(h, n), kind="stable")] = unpacked(col, dtype)
+            return out
+
+        word_levels, exact, pair_levels = placed(words, of_words["levels"], "u1"), placed(words, of_words["counts"], "<i8"), placed(all_pairs, of_pairs["levels"], "u1")
         out = []
         for k, batch in enumerate(batches):
-            offsets, (codes, h, hit, level, count), (back, pair, pair_hit, pair_level) = texts[k] if texts else read(batch.column(1))
-            _, told_level, told_count = looked_up(h, asked, levels, exact)
-            level, count = np.where(hit, level, told_level), np.where(hit, count, told_count)
-            pair_level = np.where(pair_hit, pair_level, looked_up(pair, asked, levels)[1])
+            offsets, codes, h, back, pair = texts[k] if texts else read(batch.column(1))
+            _, level, count = looked_up(h, words, word_levels, exact)
+            pair_level = looked_up(pair, all_pairs, pair_levels)[1]
             first = offsets[:-1]
             c1 = value[level]
             base = (c1 + 0.1) / scale
@@ -317,19 +335,23 @@ def score(docs: DataFrame, training: DataFrame, with_model: bool = False) -> Dat
             c2 = np.minimum(value[pair_level][back], of_before)
             trust = STRONG * of_before / (of_before + false_mass + WEAK)
             p = trust * c2 / np.maximum(of_before + false_mass, 1) + (1 - trust) * base[codes]
-            out.append(pa.RecordBatch.from_arrays(
+            made = pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64)[codes], first), pa.int64()), pa.array(np.full(batch.num_rows, n_train), pa.int64()),
                  pa.array(np.add.reduceat(np.log10((count + 0.1) / scale)[codes], first)), pa.array(np.add.reduceat(np.log10(p), first))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            ))
+            )
+            out.append(made.filter(batch.column(3)))
         return pa.Table.from_batches(out)
 
-    asked = rows.applyInArrow(ask, "bucket int, h0 binary, h1 binary, h2 binary, slice int")
-    counted = model.select("bucket", "hashes", "counts", "filter").groupBy("bucket")
-    told = asked.groupBy("bucket").cogroup(counted).applyInArrow(answer, "slice int, bucket int, levels binary, counts binary")
-    return rows.cogroup(told.groupBy("slice")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = ask(rows, n).groupBy("bucket").applyInArrow(answer, ANSWERED)
+    return rows.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(finish, SCORED)
+
+
+def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """Scores of every row of docs under a model of all rows of training."""
+    return _score(flagged(docs, F.lit(False)).unionByName(flagged(training, F.lit(True), False)))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Learns from the rows that are not held out and scores them all."""
-    return score(docs, docs.where(crc_mod(F.col("doc_id"), 10) != 0))
+    return _score(flagged(docs, crc_mod(F.col("doc_id"), 10) != 0))
