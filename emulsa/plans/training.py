@@ -190,7 +190,7 @@ def pair_files(spark, sf):
     folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
     ff.save_files(tf.encode_pairs(named).select(F.concat("path", F.lit(".bin")).alias("name"), "content"), folder)
     back = spark.read.format("pair_files").option("path", folder).load()
-    back = back.withColumn("path", F.regexp_extract("path", r"([^/]*)\.bin$", 1))
+    back = back.withColumn("path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.bin$", ""))
     return rounded(back, ["path", "name", "y", "x", "width", "height", "damage", "known"], ["r", "g", "b"])
 
 

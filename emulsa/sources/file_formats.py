@@ -4,7 +4,8 @@
 committed to their names, so that a repeated task leaves no second file and a failed job none at all.  Mode
 ``append`` keeps what is there and replaces files of the same name, ``overwrite`` clears the folder's files first.
 
-``pair_files`` and ``replay_files`` plan partitions by file: as many files a partition as hold ``partition_mb`` together.
+``pair_files`` and ``replay_files`` plan partitions by file: as many files a partition as hold ``partition_mb`` together;
+by default a 256th of all bytes, but 1 MB at least (a quarter of a million pixels) and 16 MB at most.
 A file that can't be read raises, or with ``skip`` is left out.  Option ``path`` is a folder or a file on
 any file system that Arrow knows (file, hdfs, s3); folders are searched for ``*.bin`` files, in all their folders.
 """
@@ -103,6 +104,10 @@ class NamedFiles(DataSource):
 ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32())}
 
 
+#: Partitions by default, and what each holds at least and at most: bytes are compact here, a pixel takes four.
+PARTITIONS, LEAST, MOST = 256, 1e6, 16e6
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(None)
@@ -114,7 +119,7 @@ class TrainingReader(DataSourceReader):
         self.path, self.rows = options.get("path", ""), rows
         self.schema = pa.schema([(c.split()[0], ARROW[c.split()[1]]) for c in columns.split(", ")])
         self.skip = options.get("skip", "false").lower() == "true"
-        self.most = float(options.get("partition_mb", "64")) * 1e6
+        self.most = float(options["partition_mb"]) * 1e6 if "partition_mb" in options else None
 
     def partitions(self) -> list[Files]:
         store, at = located(self.path)
@@ -124,10 +129,11 @@ class TrainingReader(DataSourceReader):
         found = [info] if info.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and f.base_name.endswith(".bin") and "/_temporary/" not in f.path]
         parts: list[list[str]] = []
         room = 0.0
+        most = min(max(sum(f.size for f in found) / PARTITIONS, LEAST), MOST) if self.most is None else self.most
         for f in sorted(found, key=lambda f: f.path):
             if not parts or f.size > room:
                 parts.append([])
-                room = self.most
+                room = most
             parts[-1].append(f.path)
             room -= f.size
         return [Files(p) for p in parts] or [Files([])]

@@ -119,3 +119,20 @@ def test_training_files_come_back(spark, tmp_path):
         spark.read.format("replay_files").option("path", f"file://{tmp_path}/missing").load().count()
     (tmp_path / "empty").mkdir()
     assert spark.read.format("replay_files").option("path", str(tmp_path / "empty")).load().count() == 0
+
+
+def test_partitions_are_small_by_default_but_not_many(tmp_path):
+    def planned(sizes, **options):
+        for old in tmp_path.iterdir():
+            old.unlink()
+        for k, size in enumerate(sizes):
+            with open(tmp_path / f"{k:04d}.bin", "wb") as f:
+                f.truncate(size)
+        parts = ff.TrainingReader({"path": str(tmp_path)} | options, tf.pair_rows, tf.PAIR_ROWS).partitions()
+        assert [p for part in parts for p in part.paths] == [str(tmp_path / f"{k:04d}.bin") for k in range(len(sizes))]
+        return [len(p.paths) for p in parts]
+
+    assert planned([16_400] * 600) == [60] * 10  # 64 x 64 pixels each: one task for all of them before
+    assert planned([400_000_000, 1000, 1000]) == [1, 2]
+    assert max(planned([2_000_000] * 512)) == 2 and max(planned([8_000_000] * 1024)) == 2  # 4 MB, and never more than 16
+    assert planned([16_400] * 600, partition_mb="64") == [600]
