@@ -202,7 +202,7 @@ def fit_mapping(known: DataFrame, most: int = DRAWS, passes: int = 3, keep: floa
     """
     enough = known.groupBy("image_id").count().where("count >= 1000").select("image_id")
     drawn = with_replacement(known.join(enough, "image_id", "left_semi").select(*KEYS, "r", "g", "b", "tr", "tg", "tb"), most)
-    drawn = drawn.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("_one", "times")
+    drawn = written(drawn.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("_one", "times"))  # each pass reads it twice
     fits = fitted(drawn)
     for _ in range(passes - 1):
         error = sum((F.abs(mapped(f"{t}_fit") - F.col(t)) for t in ("tr", "tg", "tb")), F.lit(0.0)) / 3
@@ -226,7 +226,7 @@ def ground_truth(damaged: DataFrame, restored: DataFrame, alignments: DataFrame)
     placed = warp(restored, alignments, ["r", "g", "b"]).select(*KEYS, *[F.col(c).alias(t) for t, c in targets.items()])
     scans = damaged.join(alignments.select("image_id"), "image_id", "left_semi").select(*KEYS, "width", "height", "r", "g", "b")
     both = scans.join(placed, KEYS, "left").withColumn("valid", F.col("tr").isNotNull()).fillna(0.0, list(targets))
-    both = nb.cross(both, "valid", "known", False, 2)
+    both = written(nb.cross(both, "valid", "known", False, 2))  # the fit reads it several times, and so do the labels
     fits = fit_mapping(both.where("known"))
     both = both.join(fits, "image_id")
     both = both.withColumns({f"m{t}": F.least(F.greatest(mapped(f"{t}_fit"), F.lit(0.0)), F.lit(1.0)) for t in targets}).drop(*[f"{t}_fit" for t in targets])
